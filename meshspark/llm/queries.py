@@ -17,7 +17,12 @@ def _late(module: str, name: str):
 
 
 QUERIES = {
+    "op2_warc_archive": _late("warc", "query"),
     "op3_simhash_dedup": _late("simhash", "query"),
+    "op5_language_id": _late("langid", "query"),
+    "op6_decontamination": _late("decontaminate", "query"),
+    "op7_token_shards": _late("tokens", "query"),
+    "op10_nearest": _late("ann", "query"),
 }
 
 
@@ -26,4 +31,6 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import decontaminate, warc
+
+    return {"op2_warc_archive": warc.SQL, "op6_decontamination": decontaminate.SQL}
