@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,12 @@ class Work:
             at = jvm.org.apache.hadoop.fs.Path(name)
             at.getFileSystem(conf).delete(at, True)
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of plans that nothing refers to any more; it does so when
+        the driver collects its garbage, which may otherwise be long after."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def result(self, df: DataFrame) -> DataFrame:
         """A small result, checkpointed, so that the work tables can go. Spark removes the checkpoint
         once nothing refers to it, where spark.cleaner.referenceTracking.cleanCheckpoints is set."""

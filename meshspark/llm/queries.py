@@ -17,11 +17,15 @@ def _late(module: str, name: str):
 
 
 QUERIES = {
+    "op1_license_scan": _late("licenses", "query"),
     "op2_warc_archive": _late("warc", "query"),
     "op3_simhash_dedup": _late("simhash", "query"),
+    "op4_near_passages": _late("passages", "query"),
     "op5_language_id": _late("langid", "query"),
     "op6_decontamination": _late("decontaminate", "query"),
     "op7_token_shards": _late("tokens", "query"),
+    "op8_remove_repeats": _late("repeats", "query"),
+    "op9_mixing": _late("mixing", "query"),
     "op10_nearest": _late("ann", "query"),
 }
 
@@ -31,6 +35,6 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, warc
+    from . import decontaminate, licenses, warc
 
-    return {"op2_warc_archive": warc.SQL, "op6_decontamination": decontaminate.SQL}
+    return {"op1_license_scan": licenses.sql(), "op2_warc_archive": warc.SQL, "op6_decontamination": decontaminate.SQL}
