@@ -63,9 +63,10 @@ def write_archive(pages: DataFrame, at: str, work: Work, smallest: int = SMALLES
     other = (F.col("n") >= smallest) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     records = heads.join(owners, "digest").withColumn("record_type", F.when(other, "revisit").otherwise("response")).withColumn("refers_to", F.when(other, F.col("owner")))
     records.select("digest", _header(F.col("n")).alias("header")).write.option("compression", "zstd").parquet(f"{at}/headers")
-    first = owners.withColumnRenamed("digest", "own")
-    kept = keyed.drop("url").join(first, F.col("page_id").eqNullSafe(F.col("owner")) & (F.col("digest") == F.col("own")), "left_semi")
-    kept.groupBy("page_id", "digest").agg(F.first("payload").alias("payload")).select("digest", "payload").write.option("compression", "zstd").parquet(f"{at}/payloads")
+    none = F.lit(-(1 << 63)).cast("long")  # plain keys, so that the grouping keeps the join's partitioning
+    first = owners.select(F.coalesce("owner", none).alias("key"), "digest")
+    kept = keyed.select(F.coalesce("page_id", none).alias("key"), "digest", "payload").join(first, ["key", "digest"], "left_semi")
+    kept.groupBy("key", "digest").agg(F.first("payload").alias("payload")).select("digest", "payload").write.option("compression", "zstd").parquet(f"{at}/payloads")
 
 
 def _field(name: str, pattern: str) -> Column:
