@@ -34,7 +34,7 @@ FAMILIES = {
     "sinitic": "zh yue",
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-BUCKETS = 1 << 14
+BUCKETS = 1 << 12
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -52,7 +52,7 @@ def trigrams(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(low) >= 3:
         code = (low[:-2] << 16) | (low[1:-1] << 8) | low[2:]
         spaces = (low == 32).astype(np.uint8)
-        hashed = ((code * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64) % (BUCKETS - 1) + 1
+        hashed = ((code * np.uint32(2654435761)) >> np.uint32(12)).astype(np.int64) % (BUCKETS - 1) + 1
         out[:-2] = np.where(spaces[:-2] + spaces[1:-1] + spaces[2:] >= 2, 0, hashed)
     for back in (1, 2):
         ends = offsets[1:] - back
@@ -80,16 +80,21 @@ class Machine:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 150, reg: float = 1e-4):
         n, self.mean = len(y), x.mean(0)
-        z, cost = x - self.mean, np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-        scale = np.sqrt((z * z).sum(1).mean()) or 1.0
-        z = np.hstack([z / scale, np.ones((n, 1), z.dtype)])
-        w = v = np.zeros(z.shape[1])
-        step, t = 1 / (2 * np.linalg.norm(z * np.sqrt(cost)[:, None], 2) ** 2 + reg), 1.0
+        z, cost = x - self.mean, np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+        scale = float(np.sqrt((z * z).sum(1).mean())) or 1.0
+        z = np.hstack([z / scale, np.ones((n, 1), np.float32)])
+        w = v = np.zeros(z.shape[1], np.float32)
+        y, top = y.astype(np.float32), np.ones(z.shape[1], np.float32)
+        for _ in range(20):  # the largest curvature
+            top = z.T @ (cost * (z @ top))
+            most = float(np.linalg.norm(top))
+            top /= most
+        step, t = 1 / (2.2 * most + reg), 1.0
         for _ in range(rounds):
             slack = np.maximum(0, 1 - y * (z @ v))
             new = v - step * (reg * v - 2 * (z.T @ (cost * y * slack)))
             t, was = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-            v, w = new + (was - 1) / t * (new - w), new
+            v, w = new + np.float32((was - 1) / t) * (new - w), new
         margin, slope = y * (z @ w), 1.0
         for _ in range(100):
             slope += 2 * (cost * margin * _sigmoid(-slope * margin)).sum()
