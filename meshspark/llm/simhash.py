@@ -96,3 +96,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays, that of the smallest doc_id; of rows that repeat its doc_id
+    one stays. Rows without a doc_id stay."""
+    found = near_duplicates(docs)
+    gone = Work(spark).save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct(), "gone")
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return kept
