@@ -189,7 +189,7 @@ def _anchors(docs: DataFrame, length: int, bare: bool = False) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "h long" if bare else "h long, around long, d long, t long, p long")
 
 
-def spans(docs: DataFrame, work: Work, length: int = LENGTH, hot: int = 2000, task_bytes: int = 4 << 20) -> DataFrame:
+def spans(docs: DataFrame, work: Work, length: int = LENGTH, hot: int = 2000, task_bytes: int = 3 << 19) -> DataFrame:
     """(d, t, starts, ends): the repeated spans of each document that has any, in bytes. d is its doc_id,
     t the hash of its text."""
     twice = _anchors(docs, length, bare=True).groupBy("h").count().where("count > 1").select("h")
@@ -207,24 +207,26 @@ def spans(docs: DataFrame, work: Work, length: int = LENGTH, hot: int = 2000, ta
     def around(batches):
         for b in batches:
             out = {k: [] for k in ("d", "t", "starts", "ends", "pieces", "hot")}
-            for d, t, body, marks in zip(*(b.column(k) for k in range(4))):
+            marks = b.column(3)
+            cut, held = marks.offsets.to_numpy() - marks.offsets[0].as_py(), marks.flatten()
+            place, *flags = (held.field(k).to_numpy(zero_copy_only=False) for k in ("p", "full", "sort", "hot"))
+            for k, (d, t, body) in enumerate(zip(b.column(0), b.column(1), b.column(2))):
                 text = np.frombuffer(body.as_buffer(), np.uint8)
-                a, rows = Anchors(text, np.array([0, len(text)]), length), sorted(marks.as_py(), key=lambda m: m["p"])
+                a, rows = Anchors(text, np.array([0, len(text)]), length), slice(cut[k], cut[k + 1])
+                p, (full, sort, hot_) = place[rows], (f[rows] for f in flags)
                 low, high, _ = a.around()
-                where = np.searchsorted(a.at, [m["p"] for m in rows])
-                full = where[np.array([m["full"] for m in rows], bool)]
-                starts, ends = joined(low[full], high[full])
+                at = np.searchsorted(a.at, p[full])
+                starts, ends = joined(low[at], high[at])
                 own, sums = [], []
-                for m in rows:
-                    if m["sort"]:
-                        x, y = a.strings(m["p"], 0)
-                        if y >= x and m["hot"]:
-                            s = np.arange(x, y + 1)
-                            sums += [{"w": w, "s": k} for w, k in zip(a.spans.hash(s, s + length).view(np.int64).tolist(), s.tolist())]
-                        elif y >= x:
-                            own.append({"h": int(a.h[m["p"]].view(np.int64)), "s": x, "body": text[x : y + length].tobytes()})
-                for k, v in zip(out, (d.as_py(), t.as_py(), starts.tolist(), ends.tolist(), own, sums)):
-                    out[k].append(v)
+                for q, many in sorted(zip(p[sort].tolist(), hot_[sort].tolist())):
+                    x, y = a.strings(q, 0)
+                    if y >= x and many:
+                        s = np.arange(x, y + 1)
+                        sums += [{"w": w, "s": i} for w, i in zip(a.spans.hash(s, s + length).view(np.int64).tolist(), s.tolist())]
+                    elif y >= x:
+                        own.append({"h": int(a.h[q].view(np.int64)), "s": x, "body": text[x : y + length].tobytes()})
+                for name, v in zip(out, (d.as_py(), t.as_py(), starts.tolist(), ends.tolist(), own, sums)):
+                    out[name].append(v)
             types = {"d": pa.int64(), "t": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "pieces": pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int64()), ("body", pa.binary())])), "hot": pa.list_(pa.struct([("w", pa.int64()), ("s", pa.int64())]))}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
 
