@@ -20,6 +20,7 @@ come first; an empty table writes no shard."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -36,21 +37,38 @@ END, NULL_ID = 0, -(1 << 63)
 HEAD = struct.Struct("<4sIqqIIIII")
 
 # The pattern of the byte-level pre-tokenizer, for texts of ASCII and Latin letters only, where Python's
-# classes agree with it; any other text goes to the library whole.
+# classes agree with it; any other text goes to the library whole. So do texts that may name special tokens.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_OTHER = re.compile(r"[^\t-\r -~À-ÖØ-öø-ɏ]|<\|")
+_KNOWN = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)])  # of U+00C0 to U+027F in UTF-8
+# A blank with white space on both sides: there a text can't be cut at its blanks.
+_MARKS = frozenset(".,;:!?|%$&*#")
+_BLANKS = re.compile(rb"[\t\n\r ] [\t\n\r ]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models have for each byte: printable Latin-1 as it is, others from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
 class Encoder:
-    """The tokenizers library behind a memory of pieces it has seen."""
+    """The tokenizers library behind a memory of what it has seen: pieces as the pre-tokenizer cuts them,
+    and above these, words between single blanks, which are whole pieces with the blank before them.
+    Tokenizers other than byte-level BPE encode whole texts without any memory."""
 
     _held: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most_pieces: int = 1_000_000, most_common: int = 60_000, most_rare: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.seen, self.most = Tokenizer.from_file(path), {}, most
+        self.tok, self.pieces, self.words, self.rare = Tokenizer.from_file(path), {}, {}, {}
+        self.most = most_pieces, most_common, most_rare
+        parts = json.loads(self.tok.to_str())
+        pre = parts["pre_tokenizer"] or {}
+        self.bare = parts["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and parts["model"]["type"] == "BPE"
+        self.model, self.letters = self.tok.model, _byte_letters()
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -58,63 +76,115 @@ class Encoder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
+    def _piece(self, p: str) -> bytes:
+        got = self.pieces.get(p)
+        if got is None:
+            if len(self.pieces) > self.most[0]:
+                self.pieces.clear()
+            ids = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]
+            got = self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
+
+    def _cut(self, text: str) -> bytes:
+        """Ids of any text, by its pieces; new ones go to the library's model."""
+        return b"".join(map(self._piece, _PIECE.findall(text)))
+
+    def _word(self, w: str) -> bytes:
+        """Ids of a blank and a word. Letters, and letters before one mark, need no pattern."""
+        if w.isalpha():
+            return self._piece(" " + w)
+        if w[-1:] in _MARKS and w[:-1].isalpha():
+            return self._piece(" " + w[:-1]) + self._piece(w[-1])
+        return self._cut(" " + w)
+
+    def _whole(self, raw: bytes) -> bytes | None:
+        """Ids of a text that can't be cut at its blanks, else None."""
+        if not self.bare or b"<|" in raw or raw.translate(None, _KNOWN):
+            return np.array(self.tok.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if (b"  " in raw or b"\n " in raw or b"\t " in raw or b"\r " in raw) and _BLANKS.search(raw):
+            return self._cut(raw.decode())
+        return None
+
+    def _rare(self, w: str) -> bytes:
+        """Ids of a blank and a word that is not among the common ones; met again, it may become one."""
+        got = self.rare.get(w)
+        if got is not None:
+            if len(self.words) < self.most[1]:
+                self.words[w] = got
+            return got
+        if len(self.rare) > self.most[2]:
+            self.rare.clear()
+        got = self.rare[w] = self._word(w)
+        return got
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if _OTHER.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found = _PIECE.findall(text)
-        try:
-            return b"".join(map(self.seen.__getitem__, found))
-        except KeyError:
-            if len(self.seen) > self.most:
-                self.seen.clear()
-            new = [p for p in dict.fromkeys(found) if p not in self.seen]
-            for p, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-                self.seen[p] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(self.seen.__getitem__, found))
-
-
-def frequent_pairs(pairs: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, count) of those counted `least` times or more, at most `most`, the most frequent first.
-    Buckets of hashes that are too rare leave before the exact count."""
-    bucket = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
-    full = np.bincount(bucket, minlength=1 << 18) >= least
-    pair, n = np.unique(pairs[full[bucket]], return_counts=True)
+        whole = self._whole(text.encode())
+        if whole is not None:
+            return whole
+        first, *rest = text.split(" ")
+        common, rare = self.words.get, self._rare
+        return self._cut(first) + b"".join([common(w) or rare(w) for w in rest])
+
+
+def frequent_pairs(pairs: np.ndarray, bucket: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, bucket) of those counted `least` times or more, at most `most`, the most frequent first, and
+    the most frequent alone of those in one bucket of hashes. Buckets that are too rare leave before the
+    exact count."""
+    full = np.bincount(bucket, minlength=BUCKETS) >= least
+    own = full[bucket]
+    pair, n = np.unique(pairs[own], return_counts=True)
     pair, n = pair[n >= least], n[n >= least]
-    order = np.lexsort((pair, -n))[:most]
-    return pair[order], n[order]
+    pair = pair[np.lexsort((pair, -n))]
+    at = bucket_of(pair)
+    first = np.sort(np.unique(at, return_index=True)[1])[:most]
+    return pair[first], at[first]
+
+
+BUCKETS = 1 << 18
 
 
-def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = 24, rounds: int = 5, most: int = 15_000):
+def bucket_of(pairs: np.ndarray) -> np.ndarray:
+    if pairs.dtype == np.uint32:
+        return (pairs * np.uint32(2654435761)) >> np.uint32(14)
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.uint32)
+
+
+def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = 48, rounds: int = 3, most: int = 15_000):
     """(symbols, ends in symbols, rules as pairs). ends: one past each document's last id."""
     sym, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
     rules = np.zeros((0, 2), np.uint32)
+    narrow = terminals + most <= 1 << 16
+    rank_at, pair_at = np.empty(BUCKETS, np.int32), np.zeros(BUCKETS, np.uint32 if narrow else np.uint64)
     for _ in range(rounds):
         if len(sym) < 2 or len(rules) >= most:
             break
-        pairs = (sym[:-1].astype(np.uint64) << np.uint64(32)) | sym[1:]
-        own = ~last[:-1]
-        pair, _ = frequent_pairs(pairs[own], least, most - len(rules))
-        if not len(pair):
+        pairs = (sym[:-1] << np.uint32(16)) | sym[1:] if narrow else (sym[:-1].astype(np.uint64) << np.uint64(32)) | sym[1:]
+        bucket, own = bucket_of(pairs), ~last[:-1]
+        pair, at = frequent_pairs(pairs[own], bucket[own], least, most - len(rules))
+        none = len(pair)
+        if not none:
             break
-        by, rank_of = np.sort(pair), np.argsort(pair)
-        at = np.minimum(np.searchsorted(by, pairs), len(by) - 1)
-        rank = np.where((by[at] == pairs) & own, rank_of[at], len(pair))
-        rank = np.concatenate([[len(pair)], rank, [len(pair)]])
-        take = np.flatnonzero((rank[1:-1] < rank[:-2]) & (rank[1:-1] <= rank[2:]) & (rank[1:-1] < len(pair)))
-        used = np.bincount(rank[1 + take], minlength=len(pair)) >= 2
+        rank_at.fill(none)
+        rank_at[at], pair_at[at] = np.arange(none), pair
+        rank = np.full(len(sym) + 1, none, np.int32)
+        rank[1:-1] = np.where((pair_at[bucket] == pairs) & own, rank_at[bucket], none)
+        take = np.flatnonzero((rank[1:-1] < rank[:-2]) & (rank[1:-1] <= rank[2:]))
+        used = np.bincount(rank[1 + take], minlength=none) >= 2
         take = take[used[rank[1 + take]]]
         if not len(take):
             break
         name = np.cumsum(used) - 1 + terminals + len(rules)
+        left, right = sym[take].copy(), sym[take + 1].copy()
         sym[take] = name[rank[1 + take]]
         last[take] = last[take + 1]
+        new = np.zeros((int(used.sum()), 2), np.uint32)
+        new[sym[take] - terminals - len(rules)] = np.stack([left, right], 1)
         keep = np.ones(len(sym), bool)
         keep[take + 1] = False
         sym, last = sym[keep], last[keep]
-        new = pair[used]
-        rules = np.concatenate([rules, np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
+        rules = np.concatenate([rules, new])
     return sym, np.flatnonzero(last) + 1, rules
 
 
@@ -125,15 +195,13 @@ def lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     return out
 
 
-def pack(part: int, place: int, doc_ids: list[int | None], ids: list[bytes], terminals: int) -> bytes:
-    """A shard of whole documents; ids has the bytes of each, the end id included."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    ends = np.cumsum([len(x) // 4 for x in ids])
+def pack(part: int, place: int, doc_ids: list[int | None], flat: np.ndarray, ends: np.ndarray, terminals: int) -> bytes:
+    """A shard of whole documents: their ids in a row, and one past the last of each."""
     terminals = max(terminals, int(flat.max(initial=0)) + 1)
     sym, cut, rules = grammar(flat, ends, terminals)
     wide = 2 if terminals + len(rules) <= 1 << 16 else 4
     body = b"".join(x.tobytes() for x in (np.array([NULL_ID if d is None else d for d in doc_ids], "<i8"), np.diff(cut, prepend=0).astype("<u4"), np.diff(ends, prepend=0).astype("<u4"), rules.astype("<u4"), lengths(rules, terminals).astype("<u4"), sym.astype(f"<u{wide}")))
-    return HEAD.pack(b"RPG1", HEAD.size - 8 + len(body), part, place, len(ids), len(rules), len(sym), terminals, wide) + body
+    return HEAD.pack(b"RPG1", HEAD.size - 8 + len(body), part, place, len(ends), len(rules), len(sym), terminals, wide) + body
 
 
 class Shard:
@@ -153,18 +221,21 @@ class Shard:
 
         self.doc_ids, cut, size = take("<i8", docs), take("<u4", docs), take("<u4", docs)
         self.rules, self.long, self.sym = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules), take(f"<u{wide}", n)
+        self.table = None
         self.cut, self.ends = np.concatenate([[0], np.cumsum(cut, dtype=np.int64)]), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
 
     def expand(self, sym: np.ndarray) -> np.ndarray:
-        sym = sym.astype(np.uint32)
-        while (deep := sym >= self.terminals).any():
-            at = np.arange(len(sym)) + np.concatenate([[0], np.cumsum(deep)[:-1]])
-            out = np.empty(len(sym) + int(deep.sum()), np.uint32)
-            rule = self.rules[sym[deep] - self.terminals]
-            out[at[~deep]] = sym[~deep]
-            out[at[deep]], out[at[deep] + 1] = rule[:, 0], rule[:, 1]
-            sym = out
-        return sym
+        """The ids of some symbols. The rules are expanded once, into one row; rules refer to earlier ones."""
+        if self.table is None:
+            own = []
+            for a, b in self.rules.tolist():
+                own.append(np.concatenate([own[x - self.terminals] if x >= self.terminals else [x] for x in (a, b)]))
+            self.table = np.concatenate([np.arange(self.terminals), *own]).astype(np.uint32)
+            self.size = np.concatenate([np.ones(self.terminals, np.int32), self.long.astype(np.int32)])
+            self.begin = (np.cumsum(self.size) - self.size).astype(np.int32)
+        size = self.size[sym]
+        shift = self.begin[sym] - (np.cumsum(size) - size)
+        return self.table[np.repeat(shift, size) + np.arange(int(size.sum()))]
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of the shard; only the symbols that reach into the range are expanded."""
@@ -192,24 +263,36 @@ def shards(data: bytes):
 def write(docs: DataFrame, at: str, tokenizer: str, shard_tokens: int = 1 << 19, end: int = END) -> None:
     """Write documents (doc_id, text) as shard files, in ascending order of doc_id."""
     closing = np.array([end], "<u4").tobytes()
-
     def run(batches):
         from pyspark import TaskContext
 
         coder, part, place = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
         terminals = coder.tok.get_vocab_size()
-        doc_ids, ids, size = [], [], 0
+        held, size = [], 0
+
+        def shard():
+            doc_ids, ids, ends = zip(*held)
+            before = np.cumsum([0, *map(len, ids[:-1])])
+            data = pack(part, place, [d for own in doc_ids for d in own], np.concatenate(ids), np.concatenate([e + x for e, x in zip(ends, before)]), terminals)
+            return pa.RecordBatch.from_pydict({"shard": pa.array([data], pa.binary())})
+
         for b in batches:
-            for d, t in zip(b.column(0), b.column(1)):
-                own = coder.encode(t.as_py() or "") + closing
-                doc_ids.append(d.as_py())
-                ids.append(own)
-                size += len(own) // 4
-                if size >= shard_tokens:
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([pack(part, place, doc_ids, ids, terminals)], pa.binary())})
-                    doc_ids, ids, size, place = [], [], 0, place + 1
-        if ids:
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([pack(part, place, doc_ids, ids, terminals)], pa.binary())})
+            for low in range(0, b.num_rows, 2000):
+                own = b.slice(low, 2000)
+                coded = [coder.encode(t or "") + closing for t in own.column(1).to_pylist()]
+                ids, ends = np.frombuffer(b"".join(coded), "<u4"), np.cumsum([len(x) // 4 for x in coded])
+                names, first = own.column(0).to_pylist(), 0
+                while first < len(ends):  # documents up to the one that fills the shard
+                    base = int(ends[first - 1]) if first else 0
+                    stop = min(len(ends), int(np.searchsorted(ends, base + shard_tokens - size, "left")) + 1)
+                    held.append((names[first:stop], ids[base : ends[stop - 1]], ends[first:stop] - base))
+                    size += int(ends[stop - 1]) - base
+                    first = stop
+                    if size >= shard_tokens:
+                        yield shard()
+                        held, size, place = [], 0, place + 1
+        if held:
+            yield shard()
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(run, "shard binary").select(F.col("shard").cast("string").alias("value")).write.text(at)
