@@ -412,7 +412,7 @@ def test_license_scan(spark):
     rows = [*ODD, (20, f"prose here\n{mit[0]}\nmore"), (21, gpl[1].replace(" ", "\n", 3)), (22, f"a\n\n{mit[1][:300]}\n{mit[1][300:]}\n\nb"), (23, "Released under the Foo License"), (24, f"{mit[0]}\n{gpl[0]}")]
     got = {r.doc_id: r for r in licenses.scan(docs_of(spark, rows)).collect()}
     assert [got[k].license for k in (20, 21, 22, 24)] == ["MIT", "GPL-3.0", "MIT", "GPL-3.0"] and got[23].license is None
-    assert got[24].n_passages == 2 and got[20].score == 1.0 and all(got[d].license is None for d, _ in ODD)
+    assert got[24].n_passages == 3 and got[20].score == 1.0 and all(got[d].license is None for d, _ in ODD)
     for n in range(1, 40):  # no size out of bounds can reach the threshold
         low, high = licenses.bounds(n, 0.8)
         assert all((2 * min(a, n) / (a + n) >= 0.8) == (low <= a <= high) for a in range(1, 99))
