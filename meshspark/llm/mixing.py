@@ -192,11 +192,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, whole: float = 0.9) -> DataFrame:
     """Keeps a document with the probability of its rate, drawn from a hash of its id; rates of `whole`
-    or more count as one, so that documents of the wanted domains stay."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    work = Work(spark)
-    own = model.apply(features(docs.select("doc_id", "text"))).select("tokens", "p")
-    rate = rates(work.save(own, "members"), WEIGHTS)
+    or more count as one, so that documents of the wanted domains stay. Rows of one doc_id go together,
+    if none of them would stay; rows without a doc_id stay. The decisions are a table of their own: as a
+    filter over the texts, the optimizer would put the whole classifier into every step of the rate."""
+    model, work = fit(docs, table(spark, sf_dir, "labels")), Work(spark)
+    own = work.save(model.apply(features(docs.select("doc_id", "text"))), "members")
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 20)) / float(1 << 20) * whole
-    row = docs.select(F.struct(*docs.columns).alias("row_"), "doc_id", "text")
-    return model.apply(features(row)).where(rate >= draw).select("row_.*")
+    told = own.where("doc_id is not null").select("doc_id", (rates(own, WEIGHTS) >= draw).alias("stays"))
+    gone = told.groupBy(F.col("doc_id").alias("gone_")).agg(F.bool_or("stays").alias("stays")).where("not stays").select("gone_")
+    return docs.join(work.save(gone, "gone"), F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")
