@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -13,7 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def lean(spark: SparkSession) -> None:
+    """Texts go to Python in batches of 1,000 rows and 16 MB, where the session has Spark's own 10,000 rows:
+    two workers share an executor's memory, and texts can be long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +46,13 @@ class Work:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/work-{uuid.uuid4().hex}", 0
+        lean(spark)
+        atexit.register(self._leave)
+
+    def _leave(self) -> None:
+        """What a lazy result still reads stays until the program ends."""
+        with contextlib.suppress(Exception):
+            self.drop()
 
     def path(self, name: str = "t") -> str:
         self.n += 1
@@ -83,7 +101,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 21):
+def pieces(offsets: np.ndarray, most: int = 1 << 19):
     """(first, end) runs of texts of about `most` bytes together; a longer text stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = b.column(at)
             body, offsets = flat(texts)
             lang, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
-            for i, j in pieces(offsets, 1 << 20) if m else ():
+            for i, j in pieces(offsets) if m else ():
                 own, cut = body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 got = m.predict(trigrams(own, cut), cut)
                 letter = (_FOLD[own] != 32) & (own < 128)

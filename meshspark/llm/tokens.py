@@ -59,7 +59,7 @@ class Encoder:
 
     _held: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, most_pieces: int = 1_000_000, most_common: int = 60_000, most_rare: int = 500_000):
+    def __init__(self, path: str, most_pieces: int = 400_000, most_common: int = 60_000, most_rare: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
