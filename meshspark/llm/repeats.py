@@ -13,7 +13,8 @@ the common prefixes of neighbours tell the repeats. Suffixes longer than needed
 gathered piece ends where its last string ends.
 
 An anchor of more than `hot` different surroundings would bring too many pieces into one task. Its strings
-are counted by their hashes instead, which are summed before they are dealt.
+are counted by their hashes instead, which are summed before they are dealt: first units of 8 neighbouring
+strings, by the bytes that all of them share, then the strings of units that occur twice.
 
 Defined results: a null text is empty. Rows that repeat a doc_id and text are documents of their own, and
 so repeats of each other. Texts shorter than `length` lose nothing. Strings never cross documents."""
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Spans, Work, flat, pieces, table
+from .common import Spans, Work, flat, mix, pieces, table
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM, UNIT = 200, 32, 8
 
 
 def _slide(x: np.ndarray, w: int, by) -> np.ndarray:
@@ -177,7 +178,7 @@ def _anchors(docs: DataFrame, length: int, bare: bool = False) -> DataFrame:
         for b in batches:
             body, offsets = flat(b.column(1))
             d, t = b.column(0), b.column(2).to_numpy()
-            for i, j in pieces(offsets, 1 << 20):
+            for i, j in pieces(offsets):
                 a = Anchors(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
                 if len(a.at):
                     h = pa.array(a.h[a.at].view(np.int64))
@@ -192,12 +193,13 @@ def _anchors(docs: DataFrame, length: int, bare: bool = False) -> DataFrame:
 def spans(docs: DataFrame, work: Work, length: int = LENGTH, hot: int = 2000, task_bytes: int = 3 << 19) -> DataFrame:
     """(d, t, starts, ends): the repeated spans of each document that has any, in bytes. d is its doc_id,
     t the hash of its text."""
-    twice = _anchors(docs, length, bare=True).groupBy("h").count().where("count > 1").select("h")
+    # a saved table under each join, so that Spark can split a hot key: it can't where a side still aggregates
+    twice = work.save(_anchors(docs, length, bare=True).groupBy("h").count().where("count > 1").select("h"), "twice")
     some = work.save(_anchors(docs, length).join(twice, "h"), "anchors")
     work.release()
     kinds = work.save(some.groupBy("h", "around").agg(F.count("*").alias("n"), F.min(F.xxhash64("d", "t", "p")).alias("shown")), "kinds")
-    many = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
-    told = kinds.join(many, "h").where("n > 1 or kinds > 1")
+    many = work.save(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "many")
+    told = work.save(kinds.join(many, "h").where("n > 1 or kinds > 1"), "told")
     flagged = some.join(told, ["h", "around"]).withColumn("sort", (F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("shown") == F.xxhash64("d", "t", "p"))))
     per = work.save(flagged.where("n > 1 or sort").groupBy("d", "t").agg(F.collect_set(F.struct("p", (F.col("n") > 1).alias("full"), "sort", (F.col("kinds") > hot).alias("hot"))).alias("a")), "per")
     work.drop(some)
@@ -221,17 +223,21 @@ def spans(docs: DataFrame, work: Work, length: int = LENGTH, hot: int = 2000, ta
                 for q, many in sorted(zip(p[sort].tolist(), hot_[sort].tolist())):
                     x, y = a.strings(q, 0)
                     if y >= x and many:
-                        s = np.arange(x, y + 1)
-                        sums += [{"w": w, "s": i} for w, i in zip(a.spans.hash(s, s + length).view(np.int64).tolist(), s.tolist())]
+                        back = (q - np.arange(x, y + 1)) // UNIT  # strings of one unit share all bytes but the outer few
+                        cut_ = np.flatnonzero(np.diff(back, prepend=-1, append=-1))
+                        w = a.spans.hash(np.arange(x, y + 1), np.arange(x, y + 1) + length).view(np.int64)
+                        core = q - UNIT * back[cut_[:-1]]
+                        key = (a.spans.hash(core, core + length - UNIT + 1) ^ mix(back[cut_[:-1]].astype(np.uint64))).view(np.int64)
+                        sums += [{"k": i, "s": x + int(e), "w": w[e:f]} for i, e, f in zip(key.tolist(), cut_[:-1], cut_[1:])]
                     elif y >= x:
                         own.append({"h": int(a.h[q].view(np.int64)), "s": x, "body": text[x : y + length].tobytes()})
                 for name, v in zip(out, (d.as_py(), t.as_py(), starts.tolist(), ends.tolist(), own, sums)):
                     out[name].append(v)
-            types = {"d": pa.int64(), "t": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "pieces": pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int64()), ("body", pa.binary())])), "hot": pa.list_(pa.struct([("w", pa.int64()), ("s", pa.int64())]))}
+            types = {"d": pa.int64(), "t": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "pieces": pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int64()), ("body", pa.binary())])), "hot": pa.list_(pa.struct([("k", pa.int64()), ("s", pa.int64()), ("w", pa.list_(pa.int64()))]))}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
 
     texts = _keyed(docs).alias("x").join(per.alias("y"), F.col("x.d").eqNullSafe(F.col("y.d")) & (F.col("x.t") == F.col("y.t"))).select("x.d", "x.t", "body", "a")
-    found = work.save(texts.mapInArrow(around, "d long, t long, starts array<long>, ends array<long>, pieces array<struct<h:long,s:long,body:binary>>, hot array<struct<w:long,s:long>>"), "found")
+    found = work.save(texts.mapInArrow(around, "d long, t long, starts array<long>, ends array<long>, pieces array<struct<h:long,s:long,body:binary>>, hot array<struct<k:long,s:long,w:array<long>>>"), "found")
     work.release()
 
     def sort(batches):
@@ -254,8 +260,10 @@ def spans(docs: DataFrame, work: Work, length: int = LENGTH, hot: int = 2000, ta
     cut = found.where("size(pieces) > 0").select("d", "t", F.explode("pieces").alias("p")).select("d", "t", "p.h", "p.s", "p.body")
     total = cut.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     sorted_ = cut.repartition(max(1, math.ceil(total / task_bytes)), "h").mapInArrow(sort, "d long, t long, starts array<long>, ends array<long>")
-    sums = found.where("size(hot) > 0").select("d", "t", F.explode("hot").alias("x")).select("d", "t", "x.w", "x.s")
-    again = sums.groupBy("w").count().where("count > 1").select("w")
+    units = found.where("size(hot) > 0").select("d", "t", F.explode("hot").alias("x")).select("d", "t", "x.k", "x.s", "x.w")
+    cores = work.save(units.groupBy("k").count().where("count > 1").select("k"), "cores")
+    sums = units.join(cores, "k").select("d", "t", "s", F.posexplode("w").alias("i", "w")).select("d", "t", "w", (F.col("s") + F.col("i")).alias("s"))
+    again = work.save(sums.groupBy("w").count().where("count > 1").select("w"), "again")
     counted = sums.join(again, "w").groupBy("d", "t").agg(F.collect_set("s").alias("starts")).select("d", "t", "starts", F.transform("starts", lambda s: s + length).alias("ends"))
     every = found.where("size(starts) > 0").select("d", "t", "starts", "ends").union(sorted_).union(counted)
     both = work.save(every.groupBy("d", "t").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "spans")
