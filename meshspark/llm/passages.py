@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import GOLD, Work, flat, mix, pieces, table
-from .components import connected_components, roots
+from .components import connected_components
 from .decontaminate import Words
 from .repeats import joined
 
-SHINGLE, MIN_WORDS, THRESHOLD, HASHES = 5, 50, 0.8, 4
+SHINGLE, MIN_WORDS, THRESHOLD, HASHES = 5, 50, 0.8, 2
 
 
 def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,101 +89,164 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, width: int, hashes: int, bare: bool = False) -> DataFrame:
-    names = ["h", "around", "d", "t", "c", "low", "high"]
+    names = ["h", "around", "d", "t", "c"]
 
     def run(batches):
         for b in batches:
             body, offsets = flat(b.column(1))
             d, t = b.column(0), b.column(2).to_numpy()
-            for i, j in pieces(offsets, 1 << 20):
+            for i, j in pieces(offsets):
                 p = Passages(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, hashes)
                 if len(p.c):
                     h, base = pa.array(p.key), p.first[p.of]
-                    yield pa.RecordBatch.from_arrays([h], ["h"]) if bare else pa.RecordBatch.from_arrays([h, pa.array(p.around()), d.take(pa.array(i + p.of)), pa.array(t[i + p.of]), *(pa.array((x - base).astype(np.int32)) for x in (p.c, p.low, p.high))], names)
+                    yield pa.RecordBatch.from_arrays([h], ["h"]) if bare else pa.RecordBatch.from_arrays([h, pa.array(p.around()), d.take(pa.array(i + p.of)), pa.array(t[i + p.of]), pa.array(((p.c - base) << 20) | ((p.c - p.low) << 10) | (p.high - p.c))], names)
 
-    return _keyed(docs).mapInArrow(run, "h long" if bare else "h long, around long, d long, t long, c int, low int, high int")
+    return _keyed(docs).mapInArrow(run, "h long" if bare else "h long, around long, d long, t long, c long")
 
 
-def similar(x: np.ndarray, cx: int, y: np.ndarray, cy: int, width: int, threshold: float) -> list[tuple[int, int]]:
-    """(start in x, start in y) of passages that hold x[cx] and y[cy] and are as similar as the
-    threshold: for each start in x the most similar of those in y."""
-    same = (x[:, None] == y[None, :]).astype(np.int32)
-    box = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    box[1:, 1:] = same.cumsum(0).cumsum(1)
-    i, j = np.arange(max(0, cx - width + 1), min(cx, len(x) - width) + 1), np.arange(max(0, cy - width + 1), min(cy, len(y) - width) + 1)
+class Piece:
+    """Some shingles of a text in a row, and the place c of the one that its group shares."""
+
+    def __init__(self, x: np.ndarray, c: int, width: int):
+        self.x, self.c = x, c
+        self.starts = np.arange(max(0, c - width + 1), min(c, len(x) - width) + 1)
+        self.sets = None
+        if len(np.unique(x)) < len(x):  # else places that agree are shared shingles
+            kinds = {}
+            self.kind = np.array([kinds.setdefault(frozenset(x[i : i + width].tolist()), len(kinds)) for i in self.starts], np.int64)
+            self.sets = list(kinds)
+            self.size = np.array([len(s) for s in self.sets], np.int64)[self.kind] if kinds else self.kind
+
+
+def similar(p: Piece, q: Piece, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(starts in p, starts in q) of passages with the shared shingle that are as similar as the threshold."""
+    i, j = p.starts, q.starts
     if not len(i) or not len(j):
-        return []
-    both = box[np.ix_(i + width, j + width)] - box[np.ix_(i, j + width)] - box[np.ix_(i + width, j)] + box[np.ix_(i, j)]
-    out = []
-    for a in range(len(i)):
-        b = int(both[a].argmax())
-        if both[a, b] >= threshold * width:  # at least so many are shared where none is twice
-            p, q = set(x[i[a] : i[a] + width].tolist()), set(y[j[b] : j[b] + width].tolist())
-            if len(p & q) >= threshold * len(p | q) - 1e-9:
-                out.append((int(i[a]), int(j[b])))
-    return out
-
-
-def compare(group: list[tuple[np.ndarray, int]], width: int, threshold: float) -> tuple[list[list[int]], list[tuple[int, int]]]:
-    """(for each piece the starts of its near-duplicate passages, the pairs of pieces that share one).
-    A piece is its shingles and the place of the shared one."""
+        return i[:0], j[:0]
+    box = np.zeros((len(p.x) + 1, len(q.x) + 1), np.int16)
+    np.cumsum(np.cumsum(p.x[:, None] == q.x[None, :], 0, dtype=np.int16), 1, out=box[1:, 1:])
+    rows = box[i[0] + width : i[-1] + width + 1] - box[i[0] : i[-1] + 1]
+    both = rows[:, j[0] + width : j[-1] + width + 1] - rows[:, j[0] : j[-1] + 1]
+    if p.sets is None and q.sets is None:
+        near = both >= math.ceil(2 * threshold / (1 + threshold) * width - 1e-9)
+    else:  # places count repeated shingles more than once, so there may only be fewer shared ones
+        p, q = (z if z.sets is not None else _named(z, width) for z in (p, q))
+        near = both >= threshold / (1 + threshold) * np.add.outer(p.size, q.size) - 1e-9
+        pair = p.kind[:, None] * len(q.sets) + q.kind[None, :]
+        true = []
+        for k in np.unique(pair[near]).tolist():
+            a, b = p.sets[k // len(q.sets)], q.sets[k % len(q.sets)]
+            shared = len(a & b)
+            if shared >= threshold * (len(a) + len(b) - shared) - 1e-9:
+                true.append(k)
+        near &= np.isin(pair, true)
+    return i[near.any(1)], j[near.any(0)]
+
+
+def _named(z: Piece, width: int) -> Piece:
+    z.sets = [frozenset(z.x[i : i + width].tolist()) for i in z.starts]
+    z.kind, z.size = np.arange(len(z.sets)), np.full(len(z.sets), width)
+    return z
+
+
+def _windows_with(cells: np.ndarray, width: int, need: int) -> np.ndarray:
+    """For each row and each run of `width` columns, whether `need` cells of it are true."""
+    total = np.zeros((len(cells), cells.shape[1] + 1), np.int16)
+    np.cumsum(cells, 1, out=total[:, 1:])
+    return total[:, width:] - total[:, :-width] >= need
+
+
+def compare(group: list[Piece], width: int, threshold: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """(for each piece its starts of near-duplicate passages, a label for each that pieces linked by such
+    share). All pairs are compared, but for passages that can't have a near-duplicate: those with too many
+    shingles that no other piece has near the same place. A pair is verified if passages that are not
+    yet known to have a near-duplicate, or pieces of two labels, agree in enough places, give or take one."""
     n, span = len(group), 2 * width - 1
-    lined = np.zeros((n, span + 2), np.uint64)  # all have their shared shingle in the same column
-    held = np.zeros((n, span + 2), bool)
-    for k, (x, c) in enumerate(group):
-        lined[k, width - c : width - c + len(x)] = x
-        held[k, width - c : width - c + len(x)] = True
-    need, starts, pairs = math.ceil(2 * threshold / (1 + threshold) * width - 1e-9), [[] for _ in group], []
-    for k in range(n - 1):
-        own, rest = lined[k], lined[k + 1 :]
-        near = np.zeros((n - k - 1, span), bool)
-        for shift in (0, 1, 2):
-            near |= (rest[:, 1:-1] == own[shift : shift + span]) & held[k + 1 :, 1:-1]
-        total = np.cumsum(np.pad(near, ((0, 0), (1, 0))), 1, dtype=np.int32)
-        for m in np.flatnonzero((total[:, width:] - total[:, :-width]).max(1) >= need) + k + 1:
-            found = similar(*group[k], *group[m], width, threshold)
-            if found:
-                pairs.append((k, int(m)))
-                starts[k] += [a for a, _ in found]
-                starts[m] += [b for _, b in found] + [b for b, _ in similar(*group[m], *group[k], width, threshold)]
-    return starts, pairs
+    need, label = math.ceil(2 * threshold / (1 + threshold) * width - 1e-9), np.arange(n)
+    kinds, code = np.unique(np.concatenate([p.x for p in group]), return_inverse=True)
+    lined = np.full((n, span + 2), -1, np.int32)  # all have their shared shingle in the same column
+    open_ = np.zeros((n, width + 2), bool)  # passages without a near-duplicate so far, by their first column
+    ends = np.cumsum([len(p.x) for p in group])
+    for k, p in enumerate(group):
+        at = width - p.c
+        lined[k, at : at + len(p.x)] = code[ends[k] - len(p.x) : ends[k]]
+        open_[k, p.starts + at] = True
+    cell = np.arange(span + 2) * len(kinds) + lined.astype(np.int64)
+    cell[lined < 0] = -1
+    seen, back, many = np.unique(cell, return_inverse=True, return_counts=True)
+    shared = many[back.reshape(cell.shape)] > 1
+    for step in (-len(kinds), len(kinds)):
+        at = np.minimum(np.searchsorted(seen, cell + step), len(seen) - 1)
+        shared |= seen[at] == cell + step
+    shared &= lined >= 0
+    open_[:, 1:-1] &= _windows_with(shared[:, 1:-1], width, need)
+    able, hit = open_.any(1), np.zeros_like(open_)
+    for k in np.flatnonzero(able)[:-1].tolist():
+        rest = np.arange(k + 1, n)
+        rest = rest[able[rest] & (open_[k].any() | open_[rest].any(1) | (label[rest] != label[k]))]
+        if not len(rest):
+            continue
+        own, rows = lined[k], lined[rest, 1:-1]
+        near = rows == own[1:-1]
+        near |= rows == own[:-2]
+        near |= rows == own[2:]
+        near &= rows >= 0
+        enough = near.sum(1, dtype=np.int16) >= need
+        rest, near = rest[enough], near[enough]
+        here = open_[k, 1:-1] | open_[k, 2:] | open_[k, :-2]
+        new = open_[rest, 1:-1] | here | (label[rest] != label[k])[:, None]
+        for m in rest[(_windows_with(near, width, need) & new).any(1)]:
+            a, b = similar(group[k], group[m], width, threshold)
+            if len(a):
+                hit[k, a + width - group[k].c] = True
+                hit[m, b + width - group[m].c] = True
+                open_[k] &= ~hit[k]
+                open_[m] &= ~hit[m]
+                if label[k] != label[m]:
+                    label[label == max(label[k], label[m])] = min(label[k], label[m])
+    return [p.starts[hit[k, p.starts + width - p.c]] for k, p in enumerate(group)], label
 
 
 def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, hashes: int = HASHES, hot: int = 256, task_bytes: int = 4 << 20) -> DataFrame:
     """A row per document: doc_id, starts and ends of the near-duplicate spans in words (maximal ones),
-    and class_id."""
+    and class_id. Passages of up to 1,000 words."""
     work, width = Work(docs.sparkSession), min_words - SHINGLE + 1
-    twice = _windows(docs, width, hashes, bare=True).groupBy("h").count().where("count > 1").select("h")
+    # a saved table under each join, so that Spark can split a hot key: it can't where a side still aggregates
+    twice = work.save(_windows(docs, width, hashes, bare=True).groupBy("h").count().where("count > 1").select("h"), "twice")
     some = work.save(_windows(docs, width, hashes).join(twice, "h"), "windows")
     work.release()
     kinds = work.save(some.groupBy("h", "around").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.min(F.xxhash64("d", "t", "c")).alias("shown")), "kinds")
-    many = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
-    told = kinds.join(many, "h").where("n > 1 or kinds > 1")
+    many = work.save(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "many")
+    told = work.save(kinds.join(many, "h").where("n > 1 or kinds > 1"), "told")
     shown = (F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("shown") == F.xxhash64("d", "t", "c")))
-    flagged = work.save(some.join(told, ["h", "around"]).select("h", "d", "t", "c", "low", "high", (F.col("n") > 1).alias("full"), shown.alias("sort"), (F.col("kinds") > hot).alias("hot"), F.when(F.col("n") > 1, F.col("least")).alias("least")).where("full or sort"), "flagged")
+    flagged = work.save(some.join(told, ["h", "around"]).select("h", "d", "t", "c", (F.col("n") > 1).alias("full"), shown.alias("sort"), (F.col("kinds") > hot).alias("hot"), F.when(F.col("n") > 1, F.col("least")).alias("least")).where("full or sort"), "flagged")
     work.drop(some)
     work.release()
-    per = flagged.groupBy("d", "t").agg(F.collect_set(F.struct("h", "c", "low", "high", "full", "sort", "hot")).alias("a"))
+    per = flagged.groupBy("d", "t").agg(F.collect_set(F.struct("h", "c", "full", "sort", "hot")).alias("a"))
 
     def around(batches):
         for b in batches:
             out = {k: [] for k in ("d", "t", "starts", "ends", "pieces")}
-            for d, t, body, marks in zip(*(b.column(k) for k in range(4))):
-                text = np.frombuffer(body.as_buffer(), np.uint8)
+            marks = b.column(3)
+            cut, every = marks.offsets.to_numpy() - marks.offsets[0].as_py(), marks.flatten()
+            place, keys, *flags = (every.field(k).to_numpy(zero_copy_only=False) for k in ("c", "h", "full", "sort", "hot"))
+            for i, (d, t, body) in enumerate(zip(b.column(0), b.column(1), b.column(2))):
+                text, rows = np.frombuffer(body.as_buffer(), np.uint8), slice(cut[i], cut[i + 1])
                 h = Words(text, np.array([0, len(text)])).grams(SHINGLE)[2]
-                rows = marks.as_py()
-                full = np.array([(m["low"], m["high"] + SHINGLE) for m in rows if m["full"]], np.int64).reshape(-1, 2)
-                starts, ends = joined(full[:, 0], full[:, 1])
+                key, (full, sort, hot_) = keys[rows], (f[rows] for f in flags)
+                c = place[rows] >> 20  # with it, how far the surroundings reach to both sides
+                low, high = c - (place[rows] >> 10 & 1023), c + (place[rows] & 1023)
+                starts, ends = joined(low[full], high[full] + SHINGLE)
                 own = []
-                for m in rows:
-                    if m["sort"]:
-                        c, low, part = m["c"], m["low"], h[m["low"] : m["high"] + 1]
-                        keys = [m["h"]]
-                        if m["hot"]:
-                            keys = [int(mix(h[x : x + 6].sum(keepdims=True) + np.uint64(m["h"] & (1 << 64) - 1) + np.uint64(x < c)).view(np.int64)[0]) for x in (c - 5, c) if m["low"] <= x and x + 5 <= m["high"]] or keys
-                        own += [{"h": k, "s": low, "c": c - low, "body": part.tobytes()} for k in keys]
-                for k, v in zip(out, (d.as_py(), t.as_py(), starts.tolist(), ends.tolist(), own)):
-                    out[k].append(v)
+                for k in np.flatnonzero(sort).tolist():
+                    a, x, z = int(low[k]), int(c[k]), int(high[k])
+                    named = [int(key[k])]
+                    if hot_[k]:
+                        sides = [y for y in (x - 5, x) if a <= y and y + 5 <= z]
+                        named = [int(mix(h[y : y + 6].sum(keepdims=True) + key[k : k + 1].view(np.uint64) + np.uint64(y < x)).view(np.int64)[0]) for y in sides] or named
+                    own += [{"h": v, "s": a, "c": x - a, "body": h[a : z + 1].tobytes()} for v in named]
+                for name, v in zip(out, (d.as_py(), t.as_py(), starts.tolist(), ends.tolist(), own)):
+                    out[name].append(v)
             types = {"d": pa.int64(), "t": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "pieces": pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int32()), ("c", pa.int32()), ("body", pa.binary())]))}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
 
@@ -203,15 +266,16 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float
         for rows in np.split(order, np.flatnonzero(np.diff(h[order])) + 1):
             if len(rows) < 2:
                 continue
-            starts, pairs = compare([(np.frombuffer(bodies[r], np.uint64), c[r]) for r in rows], width, threshold)
-            named = [(d[rows[a]], d[rows[b]]) for a, b in pairs if d[rows[a]] is not None and d[rows[b]] is not None]
-            root = dict(zip(*(x.tolist() for x in roots(*(np.array(x, np.int64) for x in zip(*named)))))) if named else {}
-            for r, own in zip(rows, starts):
-                if own:
-                    at = s[r] + np.unique(own).astype(np.int64)
-                    a, z = joined(at, at + min_words)
-                    for k, v in zip(out, (d[r], t[r], a.tolist(), z.tolist(), root.get(d[r]))):
-                        out[k].append(v)
+            starts, label = compare([Piece(np.frombuffer(bodies[r], np.uint64), c[r], width) for r in rows], width, threshold)
+            least = {}
+            for r, k in zip(rows, label.tolist()):
+                if d[r] is not None:
+                    least[k] = min(d[r], least.get(k, d[r]))
+            for r, own, k in zip(rows, starts, label.tolist()):
+                if len(own):
+                    a, z = joined(s[r] + own, s[r] + own + min_words)
+                    for name, v in zip(out, (d[r], t[r], a.tolist(), z.tolist(), least.get(k))):
+                        out[name].append(v)
         types = {"d": pa.int64(), "t": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "root": pa.int64()}
         yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
 
