@@ -4,8 +4,9 @@ A text is the row of its shingles of 5 words. A passage is `width` shingles in a
 `min_words` words. Under a hash function, all passages whose least shingle is the one at c form a compact
 window: they start at or after l, end at or before r, and hold c. The windows are the nodes of the Cartesian
 tree over the hashes that are wide enough, about 2 n / width of them for n shingles. Two passages
-share a signature if their windows have the same least shingle; `hashes` functions make it all but
-certain that passages with a Jaccard similarity of `threshold` share one.
+share a signature if their windows have the same least shingle. Passages with a Jaccard similarity of s share none
+of `hashes` functions with probability (1 - s)^hashes: at 0.8, one such pair in 15,625 is missed with 6 functions.
+The functions are worked through two at a time, so that the work tables stay those of two.
 
 Windows are joined on their least shingle. Where the surroundings of c (all shingles of the window
 that are in a passage with c) occur twice, all their passages are repeats and need no verification. Where
@@ -26,6 +27,7 @@ doc_id has no class of its own; its row keeps its spans."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from .components import connected_components
 from .decontaminate import Words
 from .repeats import joined
 
-SHINGLE, MIN_WORDS, THRESHOLD, HASHES = 5, 50, 0.8, 2
+SHINGLE, MIN_WORDS, THRESHOLD, HASHES = 5, 50, 0.8, 6
 
 
 def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +61,7 @@ def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
 class Passages:
     """The shingles of some texts and their compact windows."""
 
-    def __init__(self, body: np.ndarray, offsets: np.ndarray, width: int, hashes: int):
+    def __init__(self, body: np.ndarray, offsets: np.ndarray, width: int, functions: range):
         self.words = Words(body, offsets)
         at, self.text, self.h = self.words.grams(SHINGLE)
         self.first = np.searchsorted(self.text, np.arange(len(offsets)))  # of each text, in shingles
@@ -67,7 +69,7 @@ class Passages:
         self.width = width
         parts = []
         wide = np.flatnonzero(np.diff(self.first) >= width)
-        for j in range(hashes):
+        for j in functions:
             hj = mix(self.h ^ np.uint64((j + 1) * int(GOLD) & (1 << 64) - 1))
             for i in wide:
                 a, b = self.first[i], self.first[i + 1]
@@ -88,7 +90,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("d"), body.alias("body")).withColumn("t", F.xxhash64("body"))
 
 
-def _windows(docs: DataFrame, width: int, hashes: int, bare: bool = False) -> DataFrame:
+def _windows(docs: DataFrame, width: int, functions: range, bare: bool = False) -> DataFrame:
     names = ["h", "around", "d", "t", "c"]
 
     def run(batches):
@@ -96,7 +98,7 @@ def _windows(docs: DataFrame, width: int, hashes: int, bare: bool = False) -> Da
             body, offsets = flat(b.column(1))
             d, t = b.column(0), b.column(2).to_numpy()
             for i, j in pieces(offsets):
-                p = Passages(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, hashes)
+                p = Passages(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, functions)
                 if len(p.c):
                     h, base = pa.array(p.key), p.first[p.of]
                     yield pa.RecordBatch.from_arrays([h], ["h"]) if bare else pa.RecordBatch.from_arrays([h, pa.array(p.around()), d.take(pa.array(i + p.of)), pa.array(t[i + p.of]), pa.array(((p.c - base) << 20) | ((p.c - p.low) << 10) | (p.high - p.c))], names)
@@ -207,13 +209,12 @@ def compare(group: list[Piece], width: int, threshold: float) -> tuple[list[np.n
     return [p.starts[hit[k, p.starts + width - p.c]] for k, p in enumerate(group)], label
 
 
-def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, hashes: int = HASHES, hot: int = 256, task_bytes: int = 4 << 20) -> DataFrame:
-    """A row per document: doc_id, starts and ends of the near-duplicate spans in words (maximal ones),
-    and class_id. Passages of up to 1,000 words."""
-    work, width = Work(docs.sparkSession), min_words - SHINGLE + 1
+def _search(work: Work, docs: DataFrame, functions: range, min_words: int, threshold: float, hot: int, task_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(near-duplicate spans of rows, document links) by these hash functions."""
+    width = min_words - SHINGLE + 1
     # a saved table under each join, so that Spark can split a hot key: it can't where a side still aggregates
-    twice = work.save(_windows(docs, width, hashes, bare=True).groupBy("h").count().where("count > 1").select("h"), "twice")
-    some = work.save(_windows(docs, width, hashes).join(twice, "h"), "windows")
+    twice = work.save(_windows(docs, width, functions, bare=True).groupBy("h").count().where("count > 1").select("h"), "twice")
+    some = work.save(_windows(docs, width, functions).join(twice, "h"), "windows")
     work.release()
     kinds = work.save(some.groupBy("h", "around").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.min(F.xxhash64("d", "t", "c")).alias("shown")), "kinds")
     many = work.save(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "many")
@@ -283,10 +284,22 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float
     total = cut.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     checked = work.save(cut.repartition(max(1, math.ceil(total / task_bytes)), "h").mapInArrow(verify, "d long, t long, starts array<long>, ends array<long>, root long"), "checked")
     work.release()
-    every = found.where("size(starts) > 0").select("d", "t", "starts", "ends").union(checked.select("d", "t", "starts", "ends"))
+    every = work.save(found.where("size(starts) > 0").select("d", "t", "starts", "ends").union(checked.select("d", "t", "starts", "ends")), "every")
+    edges = work.save(flagged.where("full").select(F.col("d").alias("a"), F.col("least").alias("b")).union(checked.select("d", "root")).where("a <> b").distinct(), "links")
+    for used in (twice, kinds, many, told, flagged, found, checked):
+        work.drop(used)
+    work.release()
+    return every, edges
+
+
+def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, hashes: int = HASHES, hot: int = 256, task_bytes: int = 4 << 20) -> DataFrame:
+    """A row per document: doc_id, starts and ends of the near-duplicate spans in words (maximal ones),
+    and class_id. Passages of up to 1,000 words."""
+    work = Work(docs.sparkSession)
+    got = [_search(work, docs, range(j, min(j + 2, hashes)), min_words, threshold, hot, task_bytes) for j in range(0, hashes, 2)]
+    every, edges = (reduce(DataFrame.union, part) for part in zip(*got))
     spans = every.groupBy("d", "t").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    edges = flagged.where("full").select(F.col("d").alias("a"), F.col("least").alias("b")).union(checked.select("d", "root")).where("a <> b").distinct()
-    label = connected_components(work, edges).withColumnRenamed("node", "d")
+    label = connected_components(work, edges.distinct()).withColumnRenamed("node", "d")
 
     def tidy(batches):
         for b in batches:

@@ -206,6 +206,17 @@ def test_near_passages_find_planted_and_report_true_ones(spark):
     assert got[31].class_id == got[1].class_id == 1 and got[35].class_id == 1
 
 
+def test_near_passages_find_lone_pairs_at_the_threshold(spark):
+    rng, rows = random.Random(11), []
+    for k in range(400):  # one word of 50 changed: a Jaccard similarity of 41/51
+        w = [f"q{rng.getrandbits(60)}" for _ in range(50)]
+        v = list(w)
+        v[rng.randrange(5, 45)] = "changed"
+        rows += [(2 * k + 1, " ".join(w)), (2 * k + 2, " ".join(v))]
+    got = {r.doc_id: r for r in passages.near_passages(docs_of(spark, rows)).collect()}
+    assert sum(got[2 * k + 2].class_id == 2 * k + 1 and got[2 * k + 1].ends == [50] for k in range(400)) >= 399
+
+
 def test_compact_windows_partition_all_passages():
     rng = np.random.default_rng(4)
     for n in (5, 46, 47, 200):
