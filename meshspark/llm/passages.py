@@ -11,8 +11,9 @@ The functions are worked through two at a time, so that the work tables stay tho
 Windows are joined on their least shingle. Where the surroundings of c (all shingles of the window
 that are in a passage with c) occur twice, all their passages are repeats and need no verification. Where
 there are several kinds of surroundings, one of each is gathered by the shingle, and in each group all
-pairs are compared: passages that can reach the threshold, given the shingles that are near the same place
-in both, are verified by the exact similarity of their shingle sets.
+pairs are compared: passages that can reach the threshold, given how many of their shingles are anywhere in the
+other piece, are verified by the exact similarity of their shingle sets. Overlapping passages of one text
+are not compared.
 
 A shingle with more than `hot` kinds of surroundings is dealt further, by the shingles to its left and by
 those to its right; a passage with one changed word keeps one side or the other. The search
@@ -107,106 +108,100 @@ def _windows(docs: DataFrame, width: int, functions: range, bare: bool = False)
 
 
 class Piece:
-    """Some shingles of a text in a row, and the place c of the one that its group shares."""
+    """Some shingles of a text in a row, and the place c of the one that its group shares. row and s: the text,
+    and where in it the piece starts."""
 
-    def __init__(self, x: np.ndarray, c: int, width: int):
-        self.x, self.c = x, c
+    def __init__(self, x: np.ndarray, c: int, width: int, row: object = None, s: int = 0):
+        self.x, self.c, self.row, self.s = x, c, row, s
         self.starts = np.arange(max(0, c - width + 1), min(c, len(x) - width) + 1)
-        self.sets = None
-        if len(np.unique(x)) < len(x):  # else places that agree are shared shingles
-            kinds = {}
-            self.kind = np.array([kinds.setdefault(frozenset(x[i : i + width].tolist()), len(kinds)) for i in self.starts], np.int64)
-            self.sets = list(kinds)
-            self.size = np.array([len(s) for s in self.sets], np.int64)[self.kind] if kinds else self.kind
+        kinds, code = np.unique(x, return_inverse=True)
+        self.single = len(kinds) == len(x)
+        self.size = np.full(len(self.starts), width) if self.single else _held(code, self.starts, width, len(kinds)).sum(1).astype(np.int64)
+
+
+def _held(code: np.ndarray, starts: np.ndarray, width: int, kinds: int) -> np.ndarray:
+    """A row per passage: 1 for each kind of shingle that is in it."""
+    out = np.zeros((len(starts), kinds), np.float32)
+    out[np.arange(len(starts))[:, None], code[starts[:, None] + np.arange(width)]] = 1
+    return out
 
 
 def similar(p: Piece, q: Piece, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(starts in p, starts in q) of passages with the shared shingle that are as similar as the threshold."""
+    """(starts in p, starts in q) of passages with the shared shingle that are as similar as the threshold.
+    Passages of one text that overlap are not compared."""
     i, j = p.starts, q.starts
     if not len(i) or not len(j):
         return i[:0], j[:0]
-    box = np.zeros((len(p.x) + 1, len(q.x) + 1), np.int16)
-    np.cumsum(np.cumsum(p.x[:, None] == q.x[None, :], 0, dtype=np.int16), 1, out=box[1:, 1:])
-    rows = box[i[0] + width : i[-1] + width + 1] - box[i[0] : i[-1] + 1]
-    both = rows[:, j[0] + width : j[-1] + width + 1] - rows[:, j[0] : j[-1] + 1]
-    if p.sets is None and q.sets is None:
-        near = both >= math.ceil(2 * threshold / (1 + threshold) * width - 1e-9)
-    else:  # places count repeated shingles more than once, so there may only be fewer shared ones
-        p, q = (z if z.sets is not None else _named(z, width) for z in (p, q))
-        near = both >= threshold / (1 + threshold) * np.add.outer(p.size, q.size) - 1e-9
-        pair = p.kind[:, None] * len(q.sets) + q.kind[None, :]
-        true = []
-        for k in np.unique(pair[near]).tolist():
-            a, b = p.sets[k // len(q.sets)], q.sets[k % len(q.sets)]
-            shared = len(a & b)
-            if shared >= threshold * (len(a) + len(b) - shared) - 1e-9:
-                true.append(k)
-        near &= np.isin(pair, true)
+    if p.single and q.single:  # places that agree are shared shingles
+        box = np.zeros((len(p.x) + 1, len(q.x) + 1), np.int16)
+        np.cumsum(np.cumsum(p.x[:, None] == q.x[None, :], 0, dtype=np.int16), 1, out=box[1:, 1:])
+        rows = box[i[0] + width : i[-1] + width + 1] - box[i[0] : i[-1] + 1]
+        both = rows[:, j[0] + width : j[-1] + width + 1] - rows[:, j[0] : j[-1] + 1]
+    else:
+        kinds, code = np.unique(np.concatenate([p.x, q.x]), return_inverse=True)
+        both = _held(code[: len(p.x)], i, width, len(kinds)) @ _held(code[len(p.x) :], j, width, len(kinds)).T
+    near = both * (1 + threshold) >= threshold * np.add.outer(p.size, q.size) - 1e-9
+    if p.row is not None and p.row == q.row:
+        near &= np.abs(np.subtract.outer(p.s + i, q.s + j)) >= width
     return i[near.any(1)], j[near.any(0)]
 
 
-def _named(z: Piece, width: int) -> Piece:
-    z.sets = [frozenset(z.x[i : i + width].tolist()) for i in z.starts]
-    z.kind, z.size = np.arange(len(z.sets)), np.full(len(z.sets), width)
-    return z
-
-
-def _windows_with(cells: np.ndarray, width: int, need: int) -> np.ndarray:
-    """For each row and each run of `width` columns, whether `need` cells of it are true."""
+def _runs(cells: np.ndarray, width: int) -> np.ndarray:
+    """For each row, how many cells of each run of `width` columns are true."""
     total = np.zeros((len(cells), cells.shape[1] + 1), np.int16)
     np.cumsum(cells, 1, out=total[:, 1:])
-    return total[:, width:] - total[:, :-width] >= need
+    return total[:, width:] - total[:, :-width]
 
 
 def compare(group: list[Piece], width: int, threshold: float) -> tuple[list[np.ndarray], np.ndarray]:
     """(for each piece its starts of near-duplicate passages, a label for each that pieces linked by such
-    share). All pairs are compared, but for passages that can't have a near-duplicate: those with too many
-    shingles that no other piece has near the same place. A pair is verified if passages that are not
-    yet known to have a near-duplicate, or pieces of two labels, agree in enough places, give or take one."""
-    n, span = len(group), 2 * width - 1
-    need, label = math.ceil(2 * threshold / (1 + threshold) * width - 1e-9), np.arange(n)
+    share). All pairs are compared, but for those that can't tell anything new: two passages can only reach the
+    threshold if enough shingles of each are anywhere in the other's piece, and a pair is verified if that
+    holds for a passage that is not yet known to have a near-duplicate, or for pieces of two labels."""
+    n, label = len(group), np.arange(len(group))
+    longest, most = max(len(p.x) for p in group), max(len(p.starts) for p in group)
     kinds, code = np.unique(np.concatenate([p.x for p in group]), return_inverse=True)
-    lined = np.full((n, span + 2), -1, np.int32)  # all have their shared shingle in the same column
-    open_ = np.zeros((n, width + 2), bool)  # passages without a near-duplicate so far, by their first column
+    of = np.repeat(np.arange(n), [len(p.x) for p in group])
+    held = np.bincount(np.unique(code * n + of) // n) > 1  # by another piece as well
+    code = np.where(held, np.cumsum(held) - 1, held.sum())[code]
+    cells = np.full((n, max(longest, most + width - 1)), held.sum())
+    least = min((int(p.size.min()) for p in group if len(p.size)), default=width)
+    need, open_ = np.full((n, most), width + 1, np.int16), np.zeros((n, most), bool)  # by passage
     ends = np.cumsum([len(p.x) for p in group])
     for k, p in enumerate(group):
-        at = width - p.c
-        lined[k, at : at + len(p.x)] = code[ends[k] - len(p.x) : ends[k]]
-        open_[k, p.starts + at] = True
-    cell = np.arange(span + 2) * len(kinds) + lined.astype(np.int64)
-    cell[lined < 0] = -1
-    seen, back, many = np.unique(cell, return_inverse=True, return_counts=True)
-    shared = many[back.reshape(cell.shape)] > 1
-    for step in (-len(kinds), len(kinds)):
-        at = np.minimum(np.searchsorted(seen, cell + step), len(seen) - 1)
-        shared |= seen[at] == cell + step
-    shared &= lined >= 0
-    open_[:, 1:-1] &= _windows_with(shared[:, 1:-1], width, need)
+        cells[k, : len(p.x)] = code[ends[k] - len(p.x) : ends[k]]
+        if len(p.starts):  # they stand from the first of them on
+            cells[k] = np.roll(cells[k], -p.starts[0])
+            bound = np.maximum(threshold * p.size, threshold / (1 + threshold) * (p.size + least))
+            need[k, : len(p.starts)], open_[k, : len(p.starts)] = np.ceil(bound - 1e-9), True
+    cells = cells[:, : most + width - 1]
+    inside = np.zeros((int(held.sum()) + 1, n), bool)  # kind of shingle, piece
+    inside[cells.ravel(), np.repeat(np.arange(n), cells.shape[1])] = True
+    inside[-1] = False
+    open_ &= _runs(cells < len(inside) - 1, width) >= need
     able, hit = open_.any(1), np.zeros_like(open_)
     for k in np.flatnonzero(able)[:-1].tolist():
-        rest = np.arange(k + 1, n)
-        rest = rest[able[rest] & (open_[k].any() | open_[rest].any(1) | (label[rest] != label[k]))]
+        rest = np.flatnonzero(able[k + 1 :]) + k + 1
+        rest = rest[open_[k].any() | open_[rest].any(1) | (label[rest] != label[k])]
+        own = inside[cells[k]]
+        rest = rest[own.sum(0, dtype=np.int16)[rest] >= np.maximum(need[k].min(), need[rest].min(1))]
         if not len(rest):
             continue
-        own, rows = lined[k], lined[rest, 1:-1]
-        near = rows == own[1:-1]
-        near |= rows == own[:-2]
-        near |= rows == own[2:]
-        near &= rows >= 0
-        enough = near.sum(1, dtype=np.int16) >= need
-        rest, near = rest[enough], near[enough]
-        here = open_[k, 1:-1] | open_[k, 2:] | open_[k, :-2]
-        new = open_[rest, 1:-1] | here | (label[rest] != label[k])[:, None]
-        for m in rest[(_windows_with(near, width, need) & new).any(1)]:
+        mine = _runs(own[:, rest].T, width) >= need[k]
+        theirs = _runs(inside[:, k][cells[rest]], width) >= need[rest]
+        for at in np.flatnonzero(mine.any(1) & theirs.any(1)).tolist():
+            m = int(rest[at])
+            if label[k] == label[m] and not (mine[at] & open_[k]).any() and not (theirs[at] & open_[m]).any():
+                continue
             a, b = similar(group[k], group[m], width, threshold)
             if len(a):
-                hit[k, a + width - group[k].c] = True
-                hit[m, b + width - group[m].c] = True
+                hit[k, a - group[k].starts[0]] = True
+                hit[m, b - group[m].starts[0]] = True
                 open_[k] &= ~hit[k]
                 open_[m] &= ~hit[m]
                 if label[k] != label[m]:
                     label[label == max(label[k], label[m])] = min(label[k], label[m])
-    return [p.starts[hit[k, p.starts + width - p.c]] for k, p in enumerate(group)], label
+    return [p.starts[hit[k, : len(p.starts)]] for k, p in enumerate(group)], label
 
 
 def _search(work: Work, docs: DataFrame, functions: range, min_words: int, threshold: float, hot: int, task_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -267,7 +262,7 @@ def _search(work: Work, docs: DataFrame, functions: range, min_words: int, thres
         for rows in np.split(order, np.flatnonzero(np.diff(h[order])) + 1):
             if len(rows) < 2:
                 continue
-            starts, label = compare([Piece(np.frombuffer(bodies[r], np.uint64), c[r], width) for r in rows], width, threshold)
+            starts, label = compare([Piece(np.frombuffer(bodies[r], np.uint64), c[r], width, (d[r], t[r]), s[r]) for r in rows], width, threshold)
             least = {}
             for r, k in zip(rows, label.tolist()):
                 if d[r] is not None:

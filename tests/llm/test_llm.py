@@ -217,6 +217,47 @@ def test_near_passages_find_lone_pairs_at_the_threshold(spark):
     assert sum(got[2 * k + 2].class_id == 2 * k + 1 and got[2 * k + 1].ends == [50] for k in range(400)) >= 399
 
 
+def test_compare_equals_brute_force():
+    rng, width = np.random.default_rng(6), 46
+    for trial in range(60):
+        base = rng.integers(0, 10_000, 91, np.uint64)
+        base[45] = 77_777
+        group = []
+        for _ in range(8):
+            x = base.copy()
+            way = rng.integers(5)
+            if way == 1:  # blocks in another order
+                cut = int(rng.integers(5, 40))
+                x[:45] = np.concatenate([x[cut:45], x[:cut]])
+            elif way == 2:  # recurring shingles
+                x[10:35], x[50:75] = np.resize(x[10:15], 25), np.resize(x[50:53], 25)
+            if way:
+                x[rng.integers(0, 45, int(rng.integers(0, 6)))] = rng.integers(20_000, 30_000)
+            else:
+                x[:45] = np.roll(x[:45], int(rng.integers(0, 9)))
+            group.append(passages.Piece(x, 45, width))
+        starts, label = passages.compare(group, width, 0.8)
+        sets = [[set(p.x[i : i + width].tolist()) for i in p.starts] for p in group]
+        true, links = [set() for _ in group], []
+        for k in range(8):
+            for m in range(k):
+                near = [(i, j) for i, a in enumerate(sets[k]) for j, b in enumerate(sets[m]) if len(a & b) >= 0.8 * len(a | b) - 1e-9]
+                true[k] |= {i for i, _ in near}
+                true[m] |= {j for _, j in near}
+                links += [(k, m)] if near else []
+        assert [set(s.tolist()) for s in starts] == true
+        assert dict(enumerate(label.tolist())) == components_by_force(links, range(8))
+
+
+def test_swapped_blocks_are_near_passages(spark):
+    rng, rows = random.Random(12), []
+    for k, cut in enumerate((10, 20, 25) * 3):
+        w = [f"q{rng.getrandbits(60)}" for _ in range(50)]
+        rows += [(2 * k + 1, " ".join(w)), (2 * k + 2, " ".join(w[cut:] + w[:cut]))]
+    got = {r.doc_id: r for r in passages.near_passages(docs_of(spark, rows)).collect()}
+    assert all(got[2 * k + 2].class_id == 2 * k + 1 and got[2 * k + 1].ends == got[2 * k + 2].ends == [50] for k in range(9))
+
+
 def test_compact_windows_partition_all_passages():
     rng = np.random.default_rng(4)
     for n in (5, 46, 47, 200):
