@@ -15,9 +15,9 @@ pairs are compared: passages that can reach the threshold, given how many of the
 other piece, are verified by the exact similarity of their shingle sets. Overlapping passages of one text
 are not compared.
 
-A shingle with more than `hot` kinds of surroundings is dealt further, by the shingles to its left and by
-those to its right; a passage with one changed word keeps one side or the other. The search
-is a probable one, by the min-hashes; what it reports is verified.
+A shingle with more than `hot` kinds of surroundings is dealt into blocks of about `hot`, and every two blocks
+meet in a group of their own, so no pair is lost; n kinds are sent n / hot times each and compared in n^2 / 2 pairs.
+The search is a probable one, by the min-hashes; what it reports is verified.
 
 Documents linked by a reported passage have the same class_id, the smallest doc_id they reach.
 
@@ -153,11 +153,12 @@ def _runs(cells: np.ndarray, width: int) -> np.ndarray:
     return total[:, width:] - total[:, :-width]
 
 
-def compare(group: list[Piece], width: int, threshold: float) -> tuple[list[np.ndarray], np.ndarray]:
+def compare(group: list[Piece], width: int, threshold: float, side: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """(for each piece its starts of near-duplicate passages, a label for each that pieces linked by such
     share). All pairs are compared, but for those that can't tell anything new: two passages can only reach the
     threshold if enough shingles of each are anywhere in the other's piece, and a pair is verified if that
-    holds for a passage that is not yet known to have a near-duplicate, or for pieces of two labels."""
+    holds for a passage that is not yet known to have a near-duplicate, or for pieces of two labels. With `side`,
+only pieces of different sides are compared."""
     n, label = len(group), np.arange(len(group))
     longest, most = max(len(p.x) for p in group), max(len(p.starts) for p in group)
     kinds, code = np.unique(np.concatenate([p.x for p in group]), return_inverse=True)
@@ -182,6 +183,8 @@ def compare(group: list[Piece], width: int, threshold: float) -> tuple[list[np.n
     able, hit = open_.any(1), np.zeros_like(open_)
     for k in np.flatnonzero(able)[:-1].tolist():
         rest = np.flatnonzero(able[k + 1 :]) + k + 1
+        if side is not None:
+            rest = rest[side[rest] != side[k]]
         rest = rest[open_[k].any() | open_[rest].any(1) | (label[rest] != label[k])]
         own = inside[cells[k]]
         rest = rest[own.sum(0, dtype=np.int16)[rest] >= np.maximum(need[k].min(), need[rest].min(1))]
@@ -215,39 +218,35 @@ def _search(work: Work, docs: DataFrame, functions: range, min_words: int, thres
     many = work.save(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "many")
     told = work.save(kinds.join(many, "h").where("n > 1 or kinds > 1"), "told")
     shown = (F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("shown") == F.xxhash64("d", "t", "c")))
-    flagged = work.save(some.join(told, ["h", "around"]).select("h", "d", "t", "c", (F.col("n") > 1).alias("full"), shown.alias("sort"), (F.col("kinds") > hot).alias("hot"), F.when(F.col("n") > 1, F.col("least")).alias("least")).where("full or sort"), "flagged")
+    flagged = work.save(some.join(told, ["h", "around"]).select("h", "d", "t", "c", (F.col("n") > 1).alias("full"), shown.alias("sort"), F.ceil(F.col("kinds") / hot).cast("int").alias("blocks"), F.when(F.col("n") > 1, F.col("least")).alias("least")).where("full or sort"), "flagged")
     work.drop(some)
     work.release()
-    per = flagged.groupBy("d", "t").agg(F.collect_set(F.struct("h", "c", "full", "sort", "hot")).alias("a"))
+    per = flagged.groupBy("d", "t").agg(F.collect_set(F.struct("h", "c", "full", "sort", "blocks")).alias("a"))
 
     def around(batches):
         for b in batches:
             out = {k: [] for k in ("d", "t", "starts", "ends", "pieces")}
             marks = b.column(3)
             cut, every = marks.offsets.to_numpy() - marks.offsets[0].as_py(), marks.flatten()
-            place, keys, *flags = (every.field(k).to_numpy(zero_copy_only=False) for k in ("c", "h", "full", "sort", "hot"))
+            place, keys, *flags = (every.field(k).to_numpy(zero_copy_only=False) for k in ("c", "h", "full", "sort", "blocks"))
             for i, (d, t, body) in enumerate(zip(b.column(0), b.column(1), b.column(2))):
                 text, rows = np.frombuffer(body.as_buffer(), np.uint8), slice(cut[i], cut[i + 1])
                 h = Words(text, np.array([0, len(text)])).grams(SHINGLE)[2]
-                key, (full, sort, hot_) = keys[rows], (f[rows] for f in flags)
+                key, (full, sort, blocks) = keys[rows], (f[rows] for f in flags)
                 c = place[rows] >> 20  # with it, how far the surroundings reach to both sides
                 low, high = c - (place[rows] >> 10 & 1023), c + (place[rows] & 1023)
                 starts, ends = joined(low[full], high[full] + SHINGLE)
                 own = []
                 for k in np.flatnonzero(sort).tolist():
                     a, x, z = int(low[k]), int(c[k]), int(high[k])
-                    named = [int(key[k])]
-                    if hot_[k]:
-                        sides = [y for y in (x - 5, x) if a <= y and y + 5 <= z]
-                        named = [int(mix(h[y : y + 6].sum(keepdims=True) + key[k : k + 1].view(np.uint64) + np.uint64(y < x)).view(np.int64)[0]) for y in sides] or named
-                    own += [{"h": v, "s": a, "c": x - a, "body": h[a : z + 1].tobytes()} for v in named]
+                    own.append({"h": int(key[k]), "blocks": int(blocks[k]), "s": a, "c": x - a, "body": h[a : z + 1].tobytes()})
                 for name, v in zip(out, (d.as_py(), t.as_py(), starts.tolist(), ends.tolist(), own)):
                     out[name].append(v)
-            types = {"d": pa.int64(), "t": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "pieces": pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int32()), ("c", pa.int32()), ("body", pa.binary())]))}
+            types = {"d": pa.int64(), "t": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "pieces": pa.list_(pa.struct([("h", pa.int64()), ("blocks", pa.int32()), ("s", pa.int32()), ("c", pa.int32()), ("body", pa.binary())]))}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
 
     texts = _keyed(docs).alias("x").join(per.alias("y"), F.col("x.d").eqNullSafe(F.col("y.d")) & (F.col("x.t") == F.col("y.t"))).select("x.d", "x.t", "body", "a")
-    found = work.save(texts.mapInArrow(around, "d long, t long, starts array<long>, ends array<long>, pieces array<struct<h:long,s:int,c:int,body:binary>>"), "found")
+    found = work.save(texts.mapInArrow(around, "d long, t long, starts array<long>, ends array<long>, pieces array<struct<h:long,blocks:int,s:int,c:int,body:binary>>"), "found")
     work.release()
 
     def verify(batches):
@@ -257,27 +256,31 @@ def _search(work: Work, docs: DataFrame, functions: range, min_words: int, thres
         whole = pa.Table.from_batches(got).combine_chunks()
         h, s, c, bodies = whole["h"].to_numpy(), whole["s"].to_numpy(), whole["c"].to_pylist(), whole["body"].to_pylist()
         d, t = whole["d"].to_pylist(), whole["t"].to_pylist()
-        order = np.argsort(h, kind="stable")
+        own, other = whole["own"].to_numpy(), whole["other"].to_numpy()
+        low, high = np.minimum(own, other), np.maximum(own, other)
+        order = np.lexsort((high, low, h))
+        new = (np.diff(h[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
         out = {k: [] for k in ("d", "t", "starts", "ends", "root")}
-        for rows in np.split(order, np.flatnonzero(np.diff(h[order])) + 1):
+        for rows in np.split(order, np.flatnonzero(new) + 1):
             if len(rows) < 2:
                 continue
-            starts, label = compare([Piece(np.frombuffer(bodies[r], np.uint64), c[r], width, (d[r], t[r]), s[r]) for r in rows], width, threshold)
+            starts, label = compare([Piece(np.frombuffer(bodies[r], np.uint64), c[r], width, (d[r], t[r]), s[r]) for r in rows], width, threshold, own[rows] if own[rows[0]] != other[rows[0]] else None)
             least = {}
             for r, k in zip(rows, label.tolist()):
                 if d[r] is not None:
                     least[k] = min(d[r], least.get(k, d[r]))
-            for r, own, k in zip(rows, starts, label.tolist()):
-                if len(own):
-                    a, z = joined(s[r] + own, s[r] + own + min_words)
+            for r, hits, k in zip(rows, starts, label.tolist()):
+                if len(hits):
+                    a, z = joined(s[r] + hits, s[r] + hits + min_words)
                     for name, v in zip(out, (d[r], t[r], a.tolist(), z.tolist(), least.get(k))):
                         out[name].append(v)
         types = {"d": pa.int64(), "t": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "root": pa.int64()}
         yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
 
-    cut = found.where("size(pieces) > 0").select("d", "t", F.explode("pieces").alias("p")).select("d", "t", "p.h", "p.s", "p.c", "p.body")
-    total = cut.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    checked = work.save(cut.repartition(max(1, math.ceil(total / task_bytes)), "h").mapInArrow(verify, "d long, t long, starts array<long>, ends array<long>, root long"), "checked")
+    cut = found.where("size(pieces) > 0").select("d", "t", F.explode("pieces").alias("p")).select("d", "t", "p.h", "p.s", "p.c", "p.body", "p.blocks", F.pmod(F.xxhash64("d", "t", "p.s", "p.c"), "p.blocks").cast("int").alias("own"))
+    total = cut.agg(F.sum(F.octet_length("body") * F.col("blocks").cast("long"))).first()[0] or 0
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    checked = work.save(cut.repartition(max(1, math.ceil(total / task_bytes)), "h", F.least("own", "other"), F.greatest("own", "other")).mapInArrow(verify, "d long, t long, starts array<long>, ends array<long>, root long"), "checked")
     work.release()
     every = work.save(found.where("size(starts) > 0").select("d", "t", "starts", "ends").union(checked.select("d", "t", "starts", "ends")), "every")
     edges = work.save(flagged.where("full").select(F.col("d").alias("a"), F.col("least").alias("b")).union(checked.select("d", "root")).where("a <> b").distinct(), "links")

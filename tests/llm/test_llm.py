@@ -258,6 +258,18 @@ def test_swapped_blocks_are_near_passages(spark):
     assert all(got[2 * k + 2].class_id == 2 * k + 1 and got[2 * k + 1].ends == got[2 * k + 2].ends == [50] for k in range(9))
 
 
+def test_hot_passages_lose_no_pair(spark):
+    rng, rows = random.Random(13), []
+    for k in range(150):  # the edge of the shared words on one side, a changed word on the other
+        w = [f"q{rng.getrandbits(60)}" for _ in range(50)]
+        v = list(w)
+        v[rng.randrange(5, 45)] = "changed"
+        rows += [(2 * k + 1, " ".join(w)), (2 * k + 2, f"{' '.join(words_of(rng, 30))} {' '.join(v)} {' '.join(words_of(rng, 30))}")]
+    rows += [(1000 + d, t) for d, t in corpus(3)]
+    spans = [sorted((r.doc_id, tuple(r.starts), tuple(r.ends), r.class_id) for r in passages.near_passages(docs_of(spark, rows), hashes=2, hot=hot).collect()) for hot in (256, 1)]
+    assert spans[0] == spans[1]
+
+
 def test_compact_windows_partition_all_passages():
     rng = np.random.default_rng(4)
     for n in (5, 46, 47, 200):
