@@ -63,6 +63,12 @@ class Work:
         df.write.options(**({"compression": "zstd"} | options)).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def size(self, df: DataFrame) -> int:
+        """Bytes of a saved table's files."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        names = sorted({f.rpartition("/")[0] for f in df.inputFiles()})
+        return sum(jvm.org.apache.hadoop.fs.Path(x).getFileSystem(conf).getContentSummary(jvm.org.apache.hadoop.fs.Path(x)).getLength() for x in names)
+
     def drop(self, df: DataFrame | None = None) -> None:
         """Remove the files of a saved table that nothing reads any more; without one, everything."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

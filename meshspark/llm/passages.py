@@ -1,29 +1,32 @@
 """Near-duplicate passages by compact windows.
 
 A text is the row of its shingles of 5 words. A passage is `width` shingles in a row, the shingles of
-`min_words` words. Under a hash function, all passages whose least shingle is the one at c form a compact
-window: they start at or after l, end at or before r, and hold c. The windows are the nodes of the Cartesian
-tree over the hashes that are wide enough, about 2 n / width of them for n shingles. Two passages
-share a signature if their windows have the same least shingle. Passages with a Jaccard similarity of s share none
-of `hashes` functions with probability (1 - s)^hashes: at 0.8, one such pair in 15,625 is missed with 6 functions.
-The functions are worked through two at a time, so that the work tables stay those of two.
-
-Windows are joined on their least shingle. Where the surroundings of c (all shingles of the window
-that are in a passage with c) occur twice, all their passages are repeats and need no verification. Where
-there are several kinds of surroundings, one of each is gathered by the shingle, and in each group all
-pairs are compared: passages that can reach the threshold, given how many of their shingles are anywhere in the
-other piece, are verified by the exact similarity of their shingle sets. Overlapping passages of one text
-are not compared.
-
-A shingle with more than `hot` kinds of surroundings is dealt into blocks of about `hot`, and every two blocks
-meet in a group of their own, so no pair is lost; n kinds are sent n / hot times each and compared in n^2 / 2 pairs.
-The search is a probable one, by the min-hashes; what it reports is verified.
-
-Documents linked by a reported passage have the same class_id, the smallest doc_id they reach.
+`min_words` words. Under a hash function, the passages whose least shingle is the same one form a compact
+window: a node of the Cartesian tree over the hashes, of those that span `width` values or more. Over the starts of
+passages these nodes are the runs of one sliding minimum, so they are found without building the rest of the tree,
+in time that does not depend on its shape. A band is two functions; where a window of one meets a window of the other
+(an interval join inside the text), all passages share both least shingles, the key of the run. Two passages with
+a Jaccard similarity of s share no band with probability (1 - s^2)^bands: at 0.8, one such pair in 3,500 is missed
+with 8 bands. Bands are worked through `wave` at a time, so that the work tables stay those of one wave.
+
+Runs are dealt by their key, packed in arrays; equal runs of one batch of texts go as one. Where the
+surroundings of a run (all shingles of its passages) occur twice, all its passages are repeats and need no verification;
+that is decided by the key and a 64-bit hash of the words beside it. Where a key has several kinds of surroundings, one run
+of each kind is gathered with its shingles, and passages that can reach the threshold, given how many of their
+shingles are anywhere in the other runs, are verified by the exact similarity of their shingle sets. Overlapping
+passages of one text are not compared.
+
+A key with more than `block` kinds of surroundings is dealt into blocks of about `block`, and every two blocks
+meet in a group of their own, so no pair is lost; n kinds are sent n / block times each. The search is a probable one, by
+the min-hashes, and the same at every size; what it reports is verified.
+
+Rows linked by a reported passage have the same class_id, the smallest doc_id among them.
 
 Defined results: texts of fewer than `min_words` words, null and empty ones have no passages. Rows that
-repeat a text are near-duplicates of each other. A passage may repeat inside its own document. A null
-doc_id has no class of its own; its row keeps its spans."""
+repeat a text are near-duplicates of each other; so are passages that repeat inside one document. A row whose
+doc_id is null has its class's id, null where no row of the class has one. Rows that repeat a doc_id are rows of their own. Texts may be
+of any length that fits a task's memory about ten times over; extra columns are not read. Ties between least
+shingles go to no one: equal values are one value. An empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -40,83 +43,189 @@ from .components import connected_components
 from .decontaminate import Words
 from .repeats import joined
 
-SHINGLE, MIN_WORDS, THRESHOLD, HASHES = 5, 50, 0.8, 6
-
-
-def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of every node of the Cartesian tree of h that spans `width` values or more; c is the
-    leftmost least value of l..r."""
-    out, stack = [], [(0, len(h))] if len(h) >= width else []
-    while stack:
-        low, high = stack.pop()
-        c = low + int(h[low:high].argmin())
-        out.append((low, c, high - 1))
-        if c - low >= width:
-            stack.append((low, c))
-        if high - c - 1 >= width:
-            stack.append((c + 1, high))
-    got = np.array(out, np.int64).reshape(-1, 3)
-    return got[:, 0], got[:, 1], got[:, 2]
-
-
-class Passages:
-    """The shingles of some texts and their compact windows."""
-
-    def __init__(self, body: np.ndarray, offsets: np.ndarray, width: int, functions: range):
-        self.words = Words(body, offsets)
-        at, self.text, self.h = self.words.grams(SHINGLE)
-        self.first = np.searchsorted(self.text, np.arange(len(offsets)))  # of each text, in shingles
-        self.word = at
-        self.width = width
-        parts = []
-        wide = np.flatnonzero(np.diff(self.first) >= width)
-        for j in functions:
-            hj = mix(self.h ^ np.uint64((j + 1) * int(GOLD) & (1 << 64) - 1))
-            for i in wide:
-                a, b = self.first[i], self.first[i + 1]
-                left, c, right = compact_windows(hj[a:b], width)
-                parts.append(np.stack([np.full(len(c), i), a + np.maximum(left, c - width + 1), a + c, a + np.minimum(right, c + width - 1), hj[a + c].view(np.int64)]))
-        got = np.concatenate(parts, 1) if parts else np.zeros((5, 0), np.int64)
-        self.of, self.low, self.c, self.high, self.key = got
-
-    def around(self) -> np.ndarray:
-        """A hash of each window's surroundings of c, and of the place of c in them."""
-        w = self.words
-        got = w.spans.hash(w.start[self.word[self.low]], w.end[self.word[self.high] + SHINGLE - 1])
-        return (got ^ mix((self.c - self.low).astype(np.uint64))).view(np.int64)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select(F.col("doc_id").cast("long").alias("d"), body.alias("body")).withColumn("t", F.xxhash64("body"))
+SHINGLE, MIN_WORDS, THRESHOLD, BANDS, WAVE = 5, 50, 0.8, 8, 2
+
+
+def least(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` values in a row."""
+    n, own = len(h) - width + 1, 1
+    while 2 * own <= width:
+        h, own = np.minimum(h[:-own], h[own:]), 2 * own
+    return np.minimum(h[:n], h[width - own : width - own + n])
+
+
+def hashed(h: np.ndarray, function: int) -> np.ndarray:
+    """32-bit values of a hash function over mixed 64-bit hashes."""
+    odd = np.uint64((int(GOLD) * (2 * function + 3) | 1) & (1 << 64) - 1)
+    return ((h ^ (h >> np.uint64(29 + function % 5))) * odd >> np.uint64(32)).astype(np.uint32)
+
+
+def compact_windows(values: list[np.ndarray], text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, last start, key) of the runs of passages whose least value is the same under every
+    function; values: a row for each function, text: the text of each shingle. A run has `width` starts at most."""
+    n = len(text) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    key = np.zeros(n, np.uint64)
+    for v in values:
+        key = key << np.uint64(32) | least(v, width).astype(np.uint64)
+    whole = text[width - 1 :] == text[:n]
+    new = np.ones(n, bool)
+    new[1:] = (key[1:] != key[:-1]) | (text[1:n] != text[: n - 1])
+    first = np.flatnonzero(new)
+    new[np.flatnonzero((np.arange(n) - first[np.cumsum(new) - 1]) % width == 0)] = True
+    edge = np.flatnonzero(np.concatenate([(new | ~whole)[1:], [True]]))  # last starts of runs
+    first = np.flatnonzero(new & whole)
+    return first, edge[np.searchsorted(edge, first)], key[first]
+
+
+class Runs:
+    """The runs of some texts in some bands: the text, first shingle in it, passages, key, and a hash of the words."""
+
+    def __init__(self, body: np.ndarray, offsets: np.ndarray, width: int, bands: range):
+        self.words = w = Words(body, offsets)
+        at, text, h = w.grams(SHINGLE)
+        own = []
+        for band in bands:
+            first, last, key = compact_windows([hashed(h, 2 * band), hashed(h, 2 * band + 1)], text, width)
+            around = w.spans.hash(w.start[at[first]], w.end[at[last] + width + SHINGLE - 2])
+            own.append((text[first], at[first] - w.first[text[first]], last - first + 1, mix(key ^ np.uint64((band + 1) * int(GOLD) & (1 << 64) - 1)), around))
+        self.text, self.at, self.n, self.key, self.around = (np.concatenate(x) for x in zip(*own))
+
+
+def kinds_of(key: np.ndarray, around: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(an order by key, surroundings and row, where in it a key begins, where a kind begins)."""
+    order = np.lexsort((row, around, key))
+    key, around = key[order], around[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    return order, new, new | np.concatenate([[True], around[1:] != around[:-1]]) if len(key) else new
+
+
+def _deal(texts: DataFrame, width: int, bands: range, buckets: int) -> DataFrame:
+    """(bucket, own, runs): runs in blobs of key, hash of surroundings, row and place; place holds the first
+    shingle, the number of passages, and whether the run recurs in its batch. own: blobs of row, place and row of
+    the run that stands for them."""
+
+    def run(batches):
+        for turn, b in enumerate(batches):
+            body, offsets = flat(b.column(1))
+            ids, parts = b.column(0).to_numpy(), []
+            for i, j in pieces(offsets):
+                r = Runs(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, bands)
+                parts.append(np.stack([r.key, r.around, ids[i + r.text].view(np.uint64), (r.at << 8 | r.n << 1).astype(np.uint64)]))
+            every = np.concatenate(parts, 1) if parts else np.zeros((4, 0), np.uint64)
+            if not every.shape[1]:
+                continue
+            order, _, kind = kinds_of(every[0], every[1], every[2])
+            every = every[:, order]
+            of = np.cumsum(kind) - 1
+            own = every[:, kind]
+            own[3] |= (np.bincount(of) > 1).astype(np.uint64)
+            more = np.stack([every[2, ~kind], every[3, ~kind], own[2, of[~kind]]])
+            bucket = own[0] >> np.uint64(40)
+            cut = np.searchsorted(bucket, (np.arange(buckets + 1) * (1 << 24) // buckets).astype(np.uint64))
+            blobs = [np.ascontiguousarray(own[:, x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:])]
+            where = [k for k, x in enumerate(blobs) if x]
+            mine = [False] * len(where) + [True]
+            yield pa.RecordBatch.from_arrays([pa.array(where + [turn % buckets], pa.int32()), pa.array(mine), pa.array([blobs[k] for k in where] + [more.tobytes()], pa.binary())], ["bucket", "own", "runs"])
+
+    return texts.select("id", "body").mapInArrow(run, "bucket int, own boolean, runs binary")
 
 
-def _windows(docs: DataFrame, width: int, functions: range, bare: bool = False) -> DataFrame:
-    names = ["h", "around", "d", "t", "c"]
+def _lists(of: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[pa.ListArray]]:
+    """Values of equal `of`, which is sorted, as lists."""
+    cut = np.flatnonzero(np.diff(of, prepend=of[:1] - 1, append=of[-1:] + 1)) if len(of) else np.zeros(1, np.int64)
+    return of[cut[:-1]], [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, pa.int64())) for v in values]
+
+
+def _tell(width: int):
+    """Of each bucket of runs: (id, starts, ends) where passages recur as they are, (id, wants, size) of runs that
+    are to be compared, (id, other) of rows that share passages."""
+    names, long = ["id", "starts", "ends", "wants", "size", "other"], pa.list_(pa.int64())
+
+    def run(batches):
+        got, more = [np.zeros((4, 0), np.uint64)], [np.zeros((3, 0), np.uint64)]
+        for b in batches:
+            for own, blob in zip(b.column(1).to_pylist(), b.column(2)):
+                x = np.frombuffer(blob.as_buffer(), np.uint64)
+                (more if own else got).append(x.reshape(3 if own else 4, -1))
+        every, more = np.concatenate(got, 1), np.concatenate(more, 1)
+        del got
+        order, new, kind = kinds_of(every[0], every[1], every[2])
+        every = every[:, order]
+        of, group = np.cumsum(kind) - 1, np.cumsum(new) - 1
+        many = np.bincount(of) + np.bincount(of, (every[3] & np.uint64(1)).astype(float)).astype(np.int64) if len(of) else np.zeros(0, np.int64)
+        full = many[of] > 1
+        stands = every[2, kind][of]
+        row = np.concatenate([every[2, full], more[0]]).view(np.int64)
+        place = np.concatenate([every[3, full], more[1]])
+        other = np.concatenate([stands[full], more[2]]).view(np.int64)
+        if len(row):
+            start = (place >> np.uint64(8)).astype(np.int64)
+            end = start + (place >> np.uint64(1) & np.uint64(127)).astype(np.int64) + width + SHINGLE - 2
+            ids, at = np.unique(row, return_inverse=True)
+            wide = int(end.max()) + 1
+            a, z = joined(at * wide + start, at * wide + end)
+            who, (starts, ends) = _lists(a // wide, a % wide, a % wide + z - a)
+            none = pa.nulls(len(who), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), starts, ends, pa.nulls(len(who), pa.binary()), none, none], names)
+            pair = np.unique(np.stack([row, other])[:, row != other], axis=1)
+            none = pa.nulls(pair.shape[1], long)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), none, none, pa.nulls(len(none), pa.binary()), pa.nulls(len(none), pa.int64()), pa.array(pair[1])], names)
+        kinds = np.bincount(group[kind]) if len(of) else np.zeros(0, np.int64)
+        asked = np.flatnonzero(kind & (kinds[group] > 1)) if len(of) else np.zeros(0, np.int64)
+        if len(asked):
+            want = np.stack([every[2, asked], every[0, asked], every[3, asked] >> np.uint64(1), kinds[group[asked]].astype(np.uint64)])
+            want = want[:, np.argsort(want[0], kind="stable")]
+            cut = np.flatnonzero(np.concatenate([[True], want[0, 1:] != want[0, :-1], [True]]))
+            blobs = [np.ascontiguousarray(want[1:, x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:])]
+            size = np.add.reduceat((want[2] & np.uint64(127)).astype(np.int64) + width - 1, cut[:-1]) * 8
+            none = pa.nulls(len(blobs), long)
+            yield pa.RecordBatch.from_arrays([pa.array(want[0, cut[:-1]].view(np.int64)), none, none, pa.array(blobs, pa.binary()), pa.array(size), pa.nulls(len(blobs), pa.int64())], names)
+
+    return run
+
+
+def _gather(width: int, block: int):
+    """The shingles of the runs that are to be compared, with the blocks of their key."""
+    names = ["key", "low", "high", "own", "id", "s", "x"]
 
     def run(batches):
         for b in batches:
             body, offsets = flat(b.column(1))
-            d, t = b.column(0), b.column(2).to_numpy()
+            ids = b.column(0).to_numpy()
             for i, j in pieces(offsets):
-                p = Passages(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, functions)
-                if len(p.c):
-                    h, base = pa.array(p.key), p.first[p.of]
-                    yield pa.RecordBatch.from_arrays([h], ["h"]) if bare else pa.RecordBatch.from_arrays([h, pa.array(p.around()), d.take(pa.array(i + p.of)), pa.array(t[i + p.of]), pa.array(((p.c - base) << 20) | ((p.c - p.low) << 10) | (p.high - p.c))], names)
-
-    return _keyed(docs).mapInArrow(run, "h long" if bare else "h long, around long, d long, t long, c long")
+                _, text, h = Words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).grams(SHINGLE)
+                first = np.searchsorted(text, np.arange(j - i))
+                for k in range(i, j):
+                    want = np.concatenate([np.frombuffer(x, np.uint64).reshape(3, -1) for x in b.column(2)[k].as_py()], 1)
+                    at, n = (want[1] >> np.uint64(7)).astype(np.int64), (want[1] & np.uint64(127)).astype(np.int64) + width - 1
+                    blocks = -(-want[2].astype(np.int64) // block)
+                    own = (mix(ids[k : k + 1].view(np.uint64) ^ mix(want[1])) % blocks.astype(np.uint64)).astype(np.int64)
+                    row = np.repeat(np.arange(len(at)), blocks)
+                    other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    at, n, own = at[row], n[row], own[row]
+                    for x in range(0, len(row), 4096):  # a part of a run that many share
+                        y = slice(x, x + 4096)
+                        ends = np.cumsum(n[y])
+                        from_ = np.repeat(first[k - i] + at[y] - (ends - n[y]), n[y]) + np.arange(ends[-1])
+                        data = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], 8 * ends]).astype(np.int32)), pa.py_buffer(h[from_])])
+                        yield pa.RecordBatch.from_arrays([pa.array(want[0, row[y]].view(np.int64)), pa.array(np.minimum(own[y], other[y])), pa.array(np.maximum(own[y], other[y])), pa.array(own[y]), pa.array(np.full(len(ends), ids[k])), pa.array(at[y]), data], names)
+
+    return run
 
 
 class Piece:
-    """Some shingles of a text in a row, and the place c of the one that its group shares. row and s: the text,
-    and where in it the piece starts."""
+    """The shingles of a run. row and s: its text, and where in it the run starts."""
 
-    def __init__(self, x: np.ndarray, c: int, width: int, row: object = None, s: int = 0):
-        self.x, self.c, self.row, self.s = x, c, row, s
-        self.starts = np.arange(max(0, c - width + 1), min(c, len(x) - width) + 1)
-        kinds, code = np.unique(x, return_inverse=True)
-        self.single = len(kinds) == len(x)
-        self.size = np.full(len(self.starts), width) if self.single else _held(code, self.starts, width, len(kinds)).sum(1).astype(np.int64)
+    def __init__(self, x: np.ndarray, width: int, row: object = None, s: int = 0, single: bool | None = None):
+        self.x, self.row, self.s = x, row, s
+        self.starts = np.arange(len(x) - width + 1)
+        if single is None or not single:
+            kinds, code = np.unique(x, return_inverse=True)
+            single = len(kinds) == len(x)
+        self.single = single
+        self.size = np.full(len(self.starts), width) if single else _held(code, self.starts, width, len(kinds)).sum(1).astype(np.int64)
 
 
 def _held(code: np.ndarray, starts: np.ndarray, width: int, kinds: int) -> np.ndarray:
@@ -127,16 +236,14 @@ def _held(code: np.ndarray, starts: np.ndarray, width: int, kinds: int) -> np.nd
 
 
 def similar(p: Piece, q: Piece, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(starts in p, starts in q) of passages with the shared shingle that are as similar as the threshold.
-    Passages of one text that overlap are not compared."""
+    """(starts in p, starts in q) of passages that are as similar as the threshold. Passages of one text that
+    overlap are not compared."""
     i, j = p.starts, q.starts
-    if not len(i) or not len(j):
-        return i[:0], j[:0]
     if p.single and q.single:  # places that agree are shared shingles
         box = np.zeros((len(p.x) + 1, len(q.x) + 1), np.int16)
         np.cumsum(np.cumsum(p.x[:, None] == q.x[None, :], 0, dtype=np.int16), 1, out=box[1:, 1:])
-        rows = box[i[0] + width : i[-1] + width + 1] - box[i[0] : i[-1] + 1]
-        both = rows[:, j[0] + width : j[-1] + width + 1] - rows[:, j[0] : j[-1] + 1]
+        rows = box[width:] - box[: len(i)]
+        both = rows[:, width:] - rows[:, : len(j)]
     else:
         kinds, code = np.unique(np.concatenate([p.x, q.x]), return_inverse=True)
         both = _held(code[: len(p.x)], i, width, len(kinds)) @ _held(code[len(p.x) :], j, width, len(kinds)).T
@@ -158,24 +265,24 @@ def compare(group: list[Piece], width: int, threshold: float, side: np.ndarray |
     share). All pairs are compared, but for those that can't tell anything new: two passages can only reach the
     threshold if enough shingles of each are anywhere in the other's piece, and a pair is verified if that
     holds for a passage that is not yet known to have a near-duplicate, or for pieces of two labels. With `side`,
-only pieces of different sides are compared."""
+    only pieces of different sides are compared."""
     n, label = len(group), np.arange(len(group))
+    if n == 2:
+        starts = similar(group[0], group[1], width, threshold) if side is None or side[0] != side[1] else (label[:0], label[:0])
+        return list(starts), np.zeros(2, np.int64) if len(starts[0]) else label
     longest, most = max(len(p.x) for p in group), max(len(p.starts) for p in group)
     kinds, code = np.unique(np.concatenate([p.x for p in group]), return_inverse=True)
     of = np.repeat(np.arange(n), [len(p.x) for p in group])
     held = np.bincount(np.unique(code * n + of) // n) > 1  # by another piece as well
     code = np.where(held, np.cumsum(held) - 1, held.sum())[code]
-    cells = np.full((n, max(longest, most + width - 1)), held.sum())
-    least = min((int(p.size.min()) for p in group if len(p.size)), default=width)
+    cells = np.full((n, longest), held.sum())
+    smallest = min(int(p.size.min()) for p in group)
     need, open_ = np.full((n, most), width + 1, np.int16), np.zeros((n, most), bool)  # by passage
     ends = np.cumsum([len(p.x) for p in group])
     for k, p in enumerate(group):
         cells[k, : len(p.x)] = code[ends[k] - len(p.x) : ends[k]]
-        if len(p.starts):  # they stand from the first of them on
-            cells[k] = np.roll(cells[k], -p.starts[0])
-            bound = np.maximum(threshold * p.size, threshold / (1 + threshold) * (p.size + least))
-            need[k, : len(p.starts)], open_[k, : len(p.starts)] = np.ceil(bound - 1e-9), True
-    cells = cells[:, : most + width - 1]
+        bound = np.maximum(threshold * p.size, threshold / (1 + threshold) * (p.size + smallest))
+        need[k, : len(p.starts)], open_[k, : len(p.starts)] = np.ceil(bound - 1e-9), True
     inside = np.zeros((int(held.sum()) + 1, n), bool)  # kind of shingle, piece
     inside[cells.ravel(), np.repeat(np.arange(n), cells.shape[1])] = True
     inside[-1] = False
@@ -186,11 +293,13 @@ only pieces of different sides are compared."""
         if side is not None:
             rest = rest[side[rest] != side[k]]
         rest = rest[open_[k].any() | open_[rest].any(1) | (label[rest] != label[k])]
-        own = inside[cells[k]]
-        rest = rest[own.sum(0, dtype=np.int16)[rest] >= np.maximum(need[k].min(), need[rest].min(1))]
         if not len(rest):
             continue
-        mine = _runs(own[:, rest].T, width) >= need[k]
+        shared = inside[np.unique(cells[k])].sum(0, dtype=np.int16)[rest]
+        rest = rest[shared >= np.maximum(need[k].min(), need[rest].min(1))]
+        if not len(rest):
+            continue
+        mine = _runs(inside[cells[k]][:, rest].T, width) >= need[k]
         theirs = _runs(inside[:, k][cells[rest]], width) >= need[rest]
         for at in np.flatnonzero(mine.any(1) & theirs.any(1)).tolist():
             m = int(rest[at])
@@ -198,8 +307,8 @@ only pieces of different sides are compared."""
                 continue
             a, b = similar(group[k], group[m], width, threshold)
             if len(a):
-                hit[k, a - group[k].starts[0]] = True
-                hit[m, b - group[m].starts[0]] = True
+                hit[k, a] = True
+                hit[m, b] = True
                 open_[k] &= ~hit[k]
                 open_[m] &= ~hit[m]
                 if label[k] != label[m]:
@@ -207,107 +316,107 @@ only pieces of different sides are compared."""
     return [p.starts[hit[k, : len(p.starts)]] for k, p in enumerate(group)], label
 
 
-def _search(work: Work, docs: DataFrame, functions: range, min_words: int, threshold: float, hot: int, task_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(near-duplicate spans of rows, document links) by these hash functions."""
-    width = min_words - SHINGLE + 1
-    # a saved table under each join, so that Spark can split a hot key: it can't where a side still aggregates
-    twice = work.save(_windows(docs, width, functions, bare=True).groupBy("h").count().where("count > 1").select("h"), "twice")
-    some = work.save(_windows(docs, width, functions).join(twice, "h"), "windows")
-    work.release()
-    kinds = work.save(some.groupBy("h", "around").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.min(F.xxhash64("d", "t", "c")).alias("shown")), "kinds")
-    many = work.save(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "many")
-    told = work.save(kinds.join(many, "h").where("n > 1 or kinds > 1"), "told")
-    shown = (F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("shown") == F.xxhash64("d", "t", "c")))
-    flagged = work.save(some.join(told, ["h", "around"]).select("h", "d", "t", "c", (F.col("n") > 1).alias("full"), shown.alias("sort"), F.ceil(F.col("kinds") / hot).cast("int").alias("blocks"), F.when(F.col("n") > 1, F.col("least")).alias("least")).where("full or sort"), "flagged")
-    work.drop(some)
-    work.release()
-    per = flagged.groupBy("d", "t").agg(F.collect_set(F.struct("h", "c", "full", "sort", "blocks")).alias("a"))
+def able(x: np.ndarray, size: np.ndarray, group: np.ndarray, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a piece has a passage with enough shingles that other pieces of its group hold, whether all its
+    shingles differ). x: the shingles of all pieces in a row; an upper bound, so no pair is lost."""
+    piece = np.repeat(np.arange(len(size)), size)
+    y = x ^ mix(group.astype(np.uint64) * GOLD + np.uint64(1))[piece]
+    order = np.argsort(y, kind="stable")
+    y, of = y[order], piece[order]
+    new = np.concatenate([[True], y[1:] != y[:-1]])
+    again = ~new & np.concatenate([[False], of[1:] == of[:-1]])
+    single = np.bincount(of[again], minlength=len(size)) == 0
+    run = np.cumsum(new) - 1
+    held = np.zeros(len(x), bool)
+    held[order] = (np.bincount(run[~again]) > 1)[run]
+    total = np.concatenate([[0], np.cumsum(held)])
+    ends = np.cumsum(size)
+    start = np.concatenate([np.arange(a, z - width + 1) for a, z in zip(ends - size, ends)])
+    most = np.maximum.reduceat(total[start + width] - total[start], np.cumsum(size - width + 1) - (size - width + 1))
+    plain = np.ones(int(group.max()) + 1, bool)  # groups where every passage has `width` shingles
+    plain[group[~single]] = False
+    share = np.where(plain, 2 * threshold / (1 + threshold), threshold)[group]
+    return (most >= np.ceil(share * width - 1e-9)) | ~single, single
+
+
+def _verify(width: int, min_words: int, threshold: float):
+    """(id, starts, ends, root) of pieces with near-duplicate passages."""
+    types = {"id": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "root": pa.int64()}
 
-    def around(batches):
-        for b in batches:
-            out = {k: [] for k in ("d", "t", "starts", "ends", "pieces")}
-            marks = b.column(3)
-            cut, every = marks.offsets.to_numpy() - marks.offsets[0].as_py(), marks.flatten()
-            place, keys, *flags = (every.field(k).to_numpy(zero_copy_only=False) for k in ("c", "h", "full", "sort", "blocks"))
-            for i, (d, t, body) in enumerate(zip(b.column(0), b.column(1), b.column(2))):
-                text, rows = np.frombuffer(body.as_buffer(), np.uint8), slice(cut[i], cut[i + 1])
-                h = Words(text, np.array([0, len(text)])).grams(SHINGLE)[2]
-                key, (full, sort, blocks) = keys[rows], (f[rows] for f in flags)
-                c = place[rows] >> 20  # with it, how far the surroundings reach to both sides
-                low, high = c - (place[rows] >> 10 & 1023), c + (place[rows] & 1023)
-                starts, ends = joined(low[full], high[full] + SHINGLE)
-                own = []
-                for k in np.flatnonzero(sort).tolist():
-                    a, x, z = int(low[k]), int(c[k]), int(high[k])
-                    own.append({"h": int(key[k]), "blocks": int(blocks[k]), "s": a, "c": x - a, "body": h[a : z + 1].tobytes()})
-                for name, v in zip(out, (d.as_py(), t.as_py(), starts.tolist(), ends.tolist(), own)):
-                    out[name].append(v)
-            types = {"d": pa.int64(), "t": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "pieces": pa.list_(pa.struct([("h", pa.int64()), ("blocks", pa.int32()), ("s", pa.int32()), ("c", pa.int32()), ("body", pa.binary())]))}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
-
-    texts = _keyed(docs).alias("x").join(per.alias("y"), F.col("x.d").eqNullSafe(F.col("y.d")) & (F.col("x.t") == F.col("y.t"))).select("x.d", "x.t", "body", "a")
-    found = work.save(texts.mapInArrow(around, "d long, t long, starts array<long>, ends array<long>, pieces array<struct<h:long,blocks:int,s:int,c:int,body:binary>>"), "found")
-    work.release()
-
-    def verify(batches):
+    def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         whole = pa.Table.from_batches(got).combine_chunks()
-        h, s, c, bodies = whole["h"].to_numpy(), whole["s"].to_numpy(), whole["c"].to_pylist(), whole["body"].to_pylist()
-        d, t = whole["d"].to_pylist(), whole["t"].to_pylist()
-        own, other = whole["own"].to_numpy(), whole["other"].to_numpy()
-        low, high = np.minimum(own, other), np.maximum(own, other)
-        order = np.lexsort((high, low, h))
-        new = (np.diff(h[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
-        out = {k: [] for k in ("d", "t", "starts", "ends", "root")}
-        for rows in np.split(order, np.flatnonzero(new) + 1):
+        key, low, high, own, ids, s = (whole[k].to_numpy() for k in ("key", "low", "high", "own", "id", "s"))
+        body, cut = flat(whole["x"])
+        if body.ctypes.data % 8:
+            body = body.copy()
+        order = np.lexsort((high, low, key))
+        same = (np.diff(key[order]) == 0) & (np.diff(low[order]) == 0) & (np.diff(high[order]) == 0)
+        group = np.zeros(len(order), np.int64)
+        group[order] = np.cumsum(np.concatenate([[True], ~same])) - 1
+        x, cut = body.view(np.uint64), cut // 8
+        some, single = able(x, np.diff(cut), group, width, threshold)
+        order = order[some[order]]
+        out = {k: [] for k in types}
+        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
             if len(rows) < 2:
                 continue
-            starts, label = compare([Piece(np.frombuffer(bodies[r], np.uint64), c[r], width, (d[r], t[r]), s[r]) for r in rows], width, threshold, own[rows] if own[rows[0]] != other[rows[0]] else None)
-            least = {}
+            side = own[rows] if low[rows[0]] != high[rows[0]] else None
+            starts, label = compare([Piece(x[cut[r] : cut[r + 1]], width, ids[r], s[r], single[r]) for r in rows], width, threshold, side)
+            root = {}
             for r, k in zip(rows, label.tolist()):
-                if d[r] is not None:
-                    least[k] = min(d[r], least.get(k, d[r]))
+                root[k] = min(int(ids[r]), root.get(k, int(ids[r])))
             for r, hits, k in zip(rows, starts, label.tolist()):
                 if len(hits):
                     a, z = joined(s[r] + hits, s[r] + hits + min_words)
-                    for name, v in zip(out, (d[r], t[r], a.tolist(), z.tolist(), least.get(k))):
+                    for name, v in zip(out, (int(ids[r]), a.tolist(), z.tolist(), root[k])):
                         out[name].append(v)
-        types = {"d": pa.int64(), "t": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "root": pa.int64()}
         yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
 
-    cut = found.where("size(pieces) > 0").select("d", "t", F.explode("pieces").alias("p")).select("d", "t", "p.h", "p.s", "p.c", "p.body", "p.blocks", F.pmod(F.xxhash64("d", "t", "p.s", "p.c"), "p.blocks").cast("int").alias("own"))
-    total = cut.agg(F.sum(F.octet_length("body") * F.col("blocks").cast("long"))).first()[0] or 0
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    checked = work.save(cut.repartition(max(1, math.ceil(total / task_bytes)), "h", F.least("own", "other"), F.greatest("own", "other")).mapInArrow(verify, "d long, t long, starts array<long>, ends array<long>, root long"), "checked")
+    return run
+
+
+def _search(work: Work, texts: DataFrame, bands: range, min_words: int, threshold: float, block: int, buckets: int, task_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(spans of rows in words, links of rows) by these bands."""
+    width = min_words - SHINGLE + 1
+    told = work.save(_deal(texts, width, bands, buckets).repartition(buckets, "bucket").mapInArrow(_tell(width), "id long, starts array<long>, ends array<long>, wants binary, size long, other long"), "told")
     work.release()
-    every = work.save(found.where("size(starts) > 0").select("d", "t", "starts", "ends").union(checked.select("d", "t", "starts", "ends")), "every")
-    edges = work.save(flagged.where("full").select(F.col("d").alias("a"), F.col("least").alias("b")).union(checked.select("d", "root")).where("a <> b").distinct(), "links")
-    for used in (twice, kinds, many, told, flagged, found, checked):
-        work.drop(used)
+    wants = told.where("wants is not null")
+    total = wants.agg(F.sum("size")).first()[0] or 0
+    asked = texts.join(wants.groupBy("id").agg(F.collect_list("wants").alias("wants")), "id").select("id", "body", "wants")
+    cut = asked.mapInArrow(_gather(width, block), "key long, low long, high long, own long, id long, s long, x binary")
+    checked = work.save(cut.repartition(max(1, math.ceil(total / task_bytes)), "key", "low", "high").mapInArrow(_verify(width, min_words, threshold), "id long, starts array<long>, ends array<long>, root long"), "checked")
     work.release()
-    return every, edges
+    spans = told.where("starts is not null").select("id", "starts", "ends").union(checked.select("id", "starts", "ends"))
+    links = told.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).union(checked.select("id", "root").where("id <> root"))
+    return spans, links
 
 
-def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, hashes: int = HASHES, hot: int = 256, task_bytes: int = 4 << 20) -> DataFrame:
+def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, bands: int = BANDS, wave: int = WAVE, block: int = 1024, task_bytes: int = 4 << 20) -> DataFrame:
     """A row per document: doc_id, starts and ends of the near-duplicate spans in words (maximal ones),
-    and class_id. Passages of up to 1,000 words."""
+    and class_id. A passage has at most 123 words here."""
+    if not SHINGLE <= min_words < 123:
+        raise ValueError("passages have 5 to 122 words")
     work = Work(docs.sparkSession)
-    got = [_search(work, docs, range(j, min(j + 2, hashes)), min_words, threshold, hot, task_bytes) for j in range(0, hashes, 2)]
-    every, edges = (reduce(DataFrame.union, part) for part in zip(*got))
-    spans = every.groupBy("d", "t").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    label = connected_components(work, edges.distinct()).withColumnRenamed("node", "d")
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    texts = work.save(docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("d"), body.alias("body")), "texts")
+    buckets = min(1 << 16, max(16, work.size(texts) >> 23))
+    found = [_search(work, texts, range(j, min(j + wave, bands)), min_words, threshold, block, buckets, task_bytes) for j in range(0, bands, wave)]
+    every, links = (reduce(DataFrame.union, part) for part in zip(*found))
 
     def tidy(batches):
         for b in batches:
-            got = [joined(np.array(s.as_py() or [], np.int64), np.array(e.as_py() or [], np.int64)) for s, e in zip(b.column(1), b.column(2))]
+            got = [joined(*(np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in v.as_py() or [])]) for v in (s, e))) for s, e in zip(b.column(1), b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k].tolist() for g in got], pa.list_(pa.int64())) for k in (0, 1)), b.column(3)], ["doc_id", "starts", "ends", "class_id"])
 
-    bare = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("t"))
-    rows = bare.alias("x").join(spans.alias("y"), F.col("x.d").eqNullSafe(F.col("y.d")) & (F.col("x.t") == F.col("y.t")), "left").select("x.d", "starts", "ends").join(label, "d", "left")
-    tidied = rows.select("d", "starts", "ends", F.coalesce("root", "d").alias("class_id")).mapInArrow(tidy, "doc_id long, starts array<long>, ends array<long>, class_id long")
-    return work.result(tidied)
+    spans = every.groupBy("id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+    root = connected_components(work, links.distinct()).select(F.col("node").alias("id"), "root")
+    rows = work.save(texts.select("id", "d").join(root, "id", "left").select("id", "d", F.coalesce("root", "id").alias("root")).join(spans, "id", "left"), "rows")
+    low = work.save(rows.where("starts is not null").groupBy("root").agg(F.min("d").alias("low")), "low")
+    out = rows.join(low, "root", "left").select("d", "starts", "ends", F.coalesce("low", "d").alias("class_id"))
+    return work.result(out.mapInArrow(tidy, "doc_id long, starts array<long>, ends array<long>, class_id long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,29 +181,56 @@ def shingles_of(text):
     return [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
 
 
-def test_near_passages_find_planted_and_report_true_ones(spark):
-    rows = corpus()
-    got = {r.doc_id: r for r in passages.near_passages(docs_of(spark, rows)).collect()}
-    sh, width = {d: shingles_of(t) for d, t in rows}, 46
-    windows = [(d, i, frozenset(s[i : i + width])) for d, s in sh.items() for i in range(len(s) - width + 1)]
+def passages_by_force(rows, width=46):
+    """By row: the words in passages that have a near-duplicate; and its class, the least id linked to it."""
+    sh = [shingles_of(t or "") for _, t in rows]
+    windows = [(k, i, frozenset(s[i : i + width])) for k, s in enumerate(sh) for i in range(len(s) - width + 1)]
     where = {}
-    for k, (_, _, w) in enumerate(windows):
+    for x, (_, _, w) in enumerate(windows):
         for g in w:
-            where.setdefault(g, []).append(k)
-    true = {d: set() for d in sh}
-    for k, (d, i, w) in enumerate(windows):
+            where.setdefault(g, []).append(x)
+    true, links = [set() for _ in rows], set()
+    for x, (k, i, w) in enumerate(windows):
         near = {}
         for g in w:
             for m in where[g]:
                 near[m] = near.get(m, 0) + 1
-        if any(m != k and (windows[m][0] != d or abs(windows[m][1] - i) >= width) and n >= 0.8 * (len(w) + len(windows[m][2]) - n) for m, n in near.items()):
-            true[d].update(range(i, i + 50))
-    for d, r in got.items():
-        found = {p for a, b in zip(r.starts, r.ends) for p in range(a, b)}
-        if len(set(sh[d])) == len(sh[d]):  # texts that repeat inside themselves overlap their own windows
-            assert found <= true[d], d
-        assert len(found & true[d]) >= 0.95 * len(true[d]), d
-    assert got[31].class_id == got[1].class_id == 1 and got[35].class_id == 1
+        for m, n in near.items():
+            other, j, v = windows[m]
+            if m != x and (other != k or abs(j - i) >= width) and n >= 0.8 * (len(w) + len(v) - n) - 1e-9:
+                true[k].update(range(i, i + width + 4))
+                links.add((k, other))
+    label = components_by_force([(a, b) for a, b in links if a != b], range(len(rows)))
+    low = {}
+    for k, r in label.items():
+        if rows[k][0] is not None:
+            low[r] = min(rows[k][0], low.get(r, rows[k][0]))
+    return true, [low.get(label[k]) for k in range(len(rows))]
+
+
+def test_near_passages_find_planted_and_report_true_ones(spark):
+    rows = corpus()
+    got = {r.doc_id: r for r in passages.near_passages(docs_of(spark, rows)).collect()}
+    true, label = passages_by_force(rows)
+    for (d, _), words, low in zip(rows, true, label):
+        assert {p for a, b in zip(got[d].starts, got[d].ends) for p in range(a, b)} == words, d
+        assert got[d].class_id == low, d
+
+
+@needs_tables
+def test_near_passages_query_equals_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(SF + "/documents.parquet").collect()]
+    got = {r.doc_id: r for r in passages.query(spark, SF).collect()}
+    true, label = passages_by_force(rows)
+    runs = [sum(p - 1 not in w for p in w) for w in true]
+    assert {d: (len(w), n, c) for (d, _), w, n, c in zip(rows, true, runs, label)} == {d: (r.n_dup_words, r.n_spans, r.class_id) for d, r in got.items()}
+
+
+def test_near_passages_with_clashing_columns_and_repeated_ids(spark):
+    text = " ".join(f"q{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, 7, 8, 9), (1, "short text", 7, 8, 9), (1, text, 7, 8, 9), (None, text, 7, 8, 9), (3, None, 7, 8, 9)], "doc_id long, text string, id long, d long, body long")
+    got = sorted(((r.doc_id, r.starts, r.ends, r.class_id) for r in passages.near_passages(docs).collect()), key=str)
+    assert got == [(1, [0], [60], 1), (1, [0], [60], 1), (1, [], [], 1), (3, [], [], 3), (None, [0], [60], 1)]
 
 
 def test_near_passages_find_lone_pairs_at_the_threshold(spark):
@@ -235,7 +262,7 @@ def test_compare_equals_brute_force():
                 x[rng.integers(0, 45, int(rng.integers(0, 6)))] = rng.integers(20_000, 30_000)
             else:
                 x[:45] = np.roll(x[:45], int(rng.integers(0, 9)))
-            group.append(passages.Piece(x, 45, width))
+            group.append(passages.Piece(x, width))
         starts, label = passages.compare(group, width, 0.8)
         sets = [[set(p.x[i : i + width].tolist()) for i in p.starts] for p in group]
         true, links = [set() for _ in group], []
@@ -266,19 +293,22 @@ def test_hot_passages_lose_no_pair(spark):
         v[rng.randrange(5, 45)] = "changed"
         rows += [(2 * k + 1, " ".join(w)), (2 * k + 2, f"{' '.join(words_of(rng, 30))} {' '.join(v)} {' '.join(words_of(rng, 30))}")]
     rows += [(1000 + d, t) for d, t in corpus(3)]
-    spans = [sorted((r.doc_id, tuple(r.starts), tuple(r.ends), r.class_id) for r in passages.near_passages(docs_of(spark, rows), hashes=2, hot=hot).collect()) for hot in (256, 1)]
+    spans = [sorted((r.doc_id, tuple(r.starts), tuple(r.ends), r.class_id) for r in passages.near_passages(docs_of(spark, rows), bands=2, block=block).collect()) for block in (1024, 1)]
     assert spans[0] == spans[1]
 
 
 def test_compact_windows_partition_all_passages():
     rng = np.random.default_rng(4)
     for n in (5, 46, 47, 200):
-        h, width = rng.integers(0, 60, n), 10
-        low, c, high = passages.compact_windows(h, width)
-        for i in range(n):
-            for j in range(i + width - 1, n):
-                own = [k for k in range(len(c)) if low[k] <= i <= c[k] <= j <= high[k]]
-                assert len(own) == 1 and c[own[0]] == i + h[i : j + 1].argmin()
+        h, text, width = [rng.integers(0, 60, n).astype(np.uint32) for _ in range(2)], np.sort(rng.integers(0, 3, n)), 10
+        first, last, key = passages.compact_windows(h, text, width)
+        at = 0
+        for i in range(n - width + 1):
+            if text[i] == text[i + width - 1]:
+                own = np.flatnonzero((first <= i) & (i <= last))
+                assert len(own) == 1 and int(key[own[0]]) == int(h[0][i : i + width].min()) << 32 | int(h[1][i : i + width].min())
+                at += 1
+        assert at == (last - first + 1).sum() and (last - first < width).all()
 
 
 def test_passages_of_odd_rows(spark):
