@@ -260,6 +260,11 @@ def _runs(cells: np.ndarray, width: int) -> np.ndarray:
     return total[:, width:] - total[:, :-width]
 
 
+def enough(size: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray:
+    """How many shingles passages of `size` kinds must share with one of `other` kinds or more."""
+    return np.ceil(np.maximum(threshold * size, threshold / (1 + threshold) * (size + other)) - 1e-9)
+
+
 def compare(group: list[Piece], width: int, threshold: float, side: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """(for each piece its starts of near-duplicate passages, a label for each that pieces linked by such
     share). All pairs are compared, but for those that can't tell anything new: two passages can only reach the
@@ -276,13 +281,13 @@ def compare(group: list[Piece], width: int, threshold: float, side: np.ndarray |
     held = np.bincount(np.unique(code * n + of) // n) > 1  # by another piece as well
     code = np.where(held, np.cumsum(held) - 1, held.sum())[code]
     cells = np.full((n, longest), held.sum())
-    smallest = min(int(p.size.min()) for p in group)
-    need, open_ = np.full((n, most), width + 1, np.int16), np.zeros((n, most), bool)  # by passage
+    small = np.array([p.size.min() for p in group])
+    size, need, open_ = np.zeros((n, most)), np.full((n, most), width + 1, np.int16), np.zeros((n, most), bool)  # by passage
     ends = np.cumsum([len(p.x) for p in group])
     for k, p in enumerate(group):
         cells[k, : len(p.x)] = code[ends[k] - len(p.x) : ends[k]]
-        bound = np.maximum(threshold * p.size, threshold / (1 + threshold) * (p.size + smallest))
-        need[k, : len(p.starts)], open_[k, : len(p.starts)] = np.ceil(bound - 1e-9), True
+        size[k, : len(p.starts)], open_[k, : len(p.starts)] = p.size, True
+        need[k, : len(p.starts)] = enough(p.size, small.min(), threshold)
     inside = np.zeros((int(held.sum()) + 1, n), bool)  # kind of shingle, piece
     inside[cells.ravel(), np.repeat(np.arange(n), cells.shape[1])] = True
     inside[-1] = False
@@ -299,9 +304,10 @@ def compare(group: list[Piece], width: int, threshold: float, side: np.ndarray |
         rest = rest[shared >= np.maximum(need[k].min(), need[rest].min(1))]
         if not len(rest):
             continue
-        mine = _runs(inside[cells[k]][:, rest].T, width) >= need[k]
-        theirs = _runs(inside[:, k][cells[rest]], width) >= need[rest]
-        for at in np.flatnonzero(mine.any(1) & theirs.any(1)).tolist():
+        mine = (_runs(inside[cells[k]][:, rest].T, width) >= enough(size[k], small[rest, None], threshold)) & (size[k] > 0)
+        theirs = (_runs(inside[:, k][cells[rest]], width) >= enough(size[rest], small[k], threshold)) & (size[rest] > 0)
+        new = (label[rest] != label[k]) | (mine & open_[k]).any(1) | (theirs & open_[rest]).any(1)
+        for at in np.flatnonzero(new & mine.any(1) & theirs.any(1)).tolist():
             m = int(rest[at])
             if label[k] == label[m] and not (mine[at] & open_[k]).any() and not (theirs[at] & open_[m]).any():
                 continue
