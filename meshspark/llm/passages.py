@@ -7,7 +7,8 @@ passages these nodes are the runs of one sliding minimum, so they are found with
 in time that does not depend on its shape. A band is two functions; where a window of one meets a window of the other
 (an interval join inside the text), all passages share both least shingles, the key of the run. Two passages with
 a Jaccard similarity of s share no band with probability (1 - s^2)^bands: at 0.8, one such pair in 3,500 is missed
-with 8 bands. Bands are worked through `wave` at a time, so that the work tables stay those of one wave.
+with 8 bands. Bands are worked through `wave` at a time, so that the work tables stay those of one wave; after the first, a key whose
+runs are all in spans of one class already can tell nothing new and is left.
 
 Runs are dealt by their key, packed in arrays; equal runs of one batch of texts go as one. Where the
 surroundings of a run (all shingles of its passages) occur twice, all its passages are repeats and need no verification;
@@ -95,7 +96,11 @@ class Runs:
 
 def kinds_of(key: np.ndarray, around: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(an order by key, surroundings and row, where in it a key begins, where a kind begins)."""
-    order = np.lexsort((row, around, key))
+    order = np.argsort(key)
+    tied = np.concatenate([[False], key[order[1:]] == key[order[:-1]]]) if len(key) else np.zeros(0, bool)
+    tied[:-1] |= tied[1:]
+    some = order[tied]  # few keys recur, and only those need the other columns
+    order[tied] = some[np.lexsort((row[some], around[some], key[some]))]
     key, around = key[order], around[order]
     new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
     return order, new, new | np.concatenate([[True], around[1:] != around[:-1]]) if len(key) else new
@@ -176,12 +181,63 @@ def _tell(width: int):
         asked = np.flatnonzero(kind & (kinds[group] > 1)) if len(of) else np.zeros(0, np.int64)
         if len(asked):
             want = np.stack([every[2, asked], every[0, asked], every[3, asked] >> np.uint64(1), kinds[group[asked]].astype(np.uint64)])
-            want = want[:, np.argsort(want[0], kind="stable")]
-            cut = np.flatnonzero(np.concatenate([[True], want[0, 1:] != want[0, :-1], [True]]))
-            blobs = [np.ascontiguousarray(want[1:, x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:])]
-            size = np.add.reduceat((want[2] & np.uint64(127)).astype(np.int64) + width - 1, cut[:-1]) * 8
-            none = pa.nulls(len(blobs), long)
-            yield pa.RecordBatch.from_arrays([pa.array(want[0, cut[:-1]].view(np.int64)), none, none, pa.array(blobs, pa.binary()), pa.array(size), pa.nulls(len(blobs), pa.int64())], names)
+            got = _asked(want, width)
+            none = pa.nulls(got.num_rows, long)
+            yield pa.RecordBatch.from_arrays([got.column(0), none, none, got.column(1), got.column(2), pa.nulls(got.num_rows, pa.int64())], names)
+
+    return run
+
+
+def _screen(width: int, buckets: int):
+    """Wants of rows in blobs by key: key, row, place, kinds, and what is known: the row's class so far, and
+    whether all words of the run are in spans found so far."""
+
+    def run(batches):
+        for b in batches:
+            parts = []
+            for k, (blobs, starts, ends, root) in enumerate(zip(b.column(1), b.column(2), b.column(3), b.column(4).to_pylist())):
+                want = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64).reshape(3, -1) for x in blobs], 1)
+                row = b.column(0)[k].as_py()
+                covered, low, high = np.zeros(want.shape[1], bool), *(np.array(x.as_py() or [], np.int64) for x in (starts, ends))
+                if len(low):
+                    at = (want[1] >> np.uint64(7)).astype(np.int64)
+                    own = np.searchsorted(low, at, "right") - 1
+                    covered = (own >= 0) & (high[np.maximum(own, 0)] >= at + (want[1] & np.uint64(127)).astype(np.int64) + width + SHINGLE - 2)
+                known = np.uint64(2 * (row if root is None else root)) + covered.astype(np.uint64)
+                parts.append(np.stack([want[0], np.full(len(known), row, np.uint64), want[1], want[2], known]))
+            every = np.concatenate(parts, 1)
+            bucket = (every[0] >> np.uint64(40)).astype(np.int64) * buckets >> 24
+            order = np.argsort(bucket, kind="stable")
+            every, bucket = every[:, order], bucket[order]
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int32()), pa.array([np.ascontiguousarray(every[:, x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["bucket", "runs"])
+
+    return run
+
+
+def _asked(want: np.ndarray, width: int) -> pa.RecordBatch:
+    """want: row, key, place and kinds of runs, as a record (id, wants, size) for each row."""
+    want = want[:, np.argsort(want[0], kind="stable")]
+    cut = np.flatnonzero(np.concatenate([[True], want[0, 1:] != want[0, :-1], [True]]))
+    blobs = [np.ascontiguousarray(want[1:, x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:])]
+    size = np.add.reduceat((want[2] & np.uint64(127)).astype(np.int64) + width - 1, cut[:-1]) * 8
+    return pa.RecordBatch.from_arrays([pa.array(want[0, cut[:-1]].view(np.int64)), pa.array(blobs, pa.binary()), pa.array(size)], ["id", "wants", "size"])
+
+
+def _choose(width: int):
+    """Wants without those of keys that can tell nothing new: all words of all runs are in spans, in one class."""
+
+    def run(batches):
+        got = [np.frombuffer(x.as_buffer(), np.uint64).reshape(5, -1) for b in batches for x in b.column(1)]
+        if not got:
+            return
+        every = np.concatenate(got, 1)
+        every = every[:, np.argsort(every[0])]
+        new = np.flatnonzero(np.concatenate([[True], every[0, 1:] != every[0, :-1]]))
+        low, high = np.minimum.reduceat(every[4], new), np.maximum.reduceat(every[4], new)
+        keep = np.repeat((low != high) | (low & np.uint64(1) == 0), np.diff(new, append=every.shape[1]))
+        if keep.any():
+            yield _asked(every[:, keep][[1, 0, 2, 3]], width)
 
     return run
 
@@ -265,16 +321,18 @@ def enough(size: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(np.maximum(threshold * size, threshold / (1 + threshold) * (size + other)) - 1e-9)
 
 
-def compare(group: list[Piece], width: int, threshold: float, side: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+def compare(group: list[Piece], width: int, threshold: float, side: np.ndarray | None = None, known: list[np.ndarray] | None = None, label: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """(for each piece its starts of near-duplicate passages, a label for each that pieces linked by such
     share). All pairs are compared, but for those that can't tell anything new: two passages can only reach the
     threshold if enough shingles of each are anywhere in the other's piece, and a pair is verified if that
     holds for a passage that is not yet known to have a near-duplicate, or for pieces of two labels. With `side`,
-    only pieces of different sides are compared."""
-    n, label = len(group), np.arange(len(group))
+    only pieces of different sides are compared. known: for each piece, whether its passages are known to have
+    near-duplicates, with the labels of the pieces."""
+    n = len(group)
     if n == 2:
-        starts = similar(group[0], group[1], width, threshold) if side is None or side[0] != side[1] else (label[:0], label[:0])
-        return list(starts), np.zeros(2, np.int64) if len(starts[0]) else label
+        starts = similar(group[0], group[1], width, threshold) if side is None or side[0] != side[1] else (np.arange(0), np.arange(0))
+        return list(starts), np.zeros(2, np.int64) if len(starts[0]) else np.arange(2)
+    label = np.arange(n) if label is None else label.copy()
     longest, most = max(len(p.x) for p in group), max(len(p.starts) for p in group)
     kinds, code = np.unique(np.concatenate([p.x for p in group]), return_inverse=True)
     of = np.repeat(np.arange(n), [len(p.x) for p in group])
@@ -293,6 +351,10 @@ def compare(group: list[Piece], width: int, threshold: float, side: np.ndarray |
     inside[-1] = False
     open_ &= _runs(cells < len(inside) - 1, width) >= need
     able, hit = open_.any(1), np.zeros_like(open_)
+    if known is not None:
+        for k, x in enumerate(known):
+            hit[k, : len(x)] = x
+        open_ &= ~hit
     for k in np.flatnonzero(able)[:-1].tolist():
         rest = np.flatnonzero(able[k + 1 :]) + k + 1
         if side is not None:
@@ -322,27 +384,94 @@ def compare(group: list[Piece], width: int, threshold: float, side: np.ndarray |
     return [p.starts[hit[k, : len(p.starts)]] for k, p in enumerate(group)], label
 
 
-def able(x: np.ndarray, size: np.ndarray, group: np.ndarray, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(whether a piece has a passage with enough shingles that other pieces of its group hold, whether all its
-    shingles differ). x: the shingles of all pieces in a row; an upper bound, so no pair is lost."""
-    piece = np.repeat(np.arange(len(size)), size)
-    y = x ^ mix(group.astype(np.uint64) * GOLD + np.uint64(1))[piece]
-    order = np.argsort(y, kind="stable")
-    y, of = y[order], piece[order]
-    new = np.concatenate([[True], y[1:] != y[:-1]])
-    again = ~new & np.concatenate([[False], of[1:] == of[:-1]])
-    single = np.bincount(of[again], minlength=len(size)) == 0
-    run = np.cumsum(new) - 1
-    held = np.zeros(len(x), bool)
-    held[order] = (np.bincount(run[~again]) > 1)[run]
-    total = np.concatenate([[0], np.cumsum(held)])
-    ends = np.cumsum(size)
-    start = np.concatenate([np.arange(a, z - width + 1) for a, z in zip(ends - size, ends)])
-    most = np.maximum.reduceat(total[start + width] - total[start], np.cumsum(size - width + 1) - (size - width + 1))
-    plain = np.ones(int(group.max()) + 1, bool)  # groups where every passage has `width` shingles
-    plain[group[~single]] = False
-    share = np.where(plain, 2 * threshold / (1 + threshold), threshold)[group]
-    return (most >= np.ceil(share * width - 1e-9)) | ~single, single
+class Gathered:
+    """The pieces of some groups: x, the shingles of all pieces in a row, and their sizes, groups, rows and places.
+    Pieces of one group are neighbours."""
+
+    def __init__(self, x: np.ndarray, size: np.ndarray, group: np.ndarray, ids: np.ndarray, s: np.ndarray, width: int, threshold: float):
+        self.x, self.size, self.group, self.ids, self.s, self.width = x, size, group, ids, s, width
+        self.first = np.cumsum(size) - size
+        self.piece = np.repeat(np.arange(len(size)), size)
+        y = x ^ mix(group.astype(np.uint64) * GOLD + np.uint64(1))[self.piece]
+        order = np.argsort(y, kind="stable")
+        y, of = y[order], self.piece[order]
+        new = np.concatenate([[True], y[1:] != y[:-1]])
+        again = ~new & np.concatenate([[False], of[1:] == of[:-1]])
+        self.single = np.bincount(of[again], minlength=len(size)) == 0
+        self.plain = np.ones(int(group[-1]) + 1, bool)  # groups where every passage has `width` shingles
+        self.plain[group[~self.single]] = False
+        run = np.cumsum(new) - 1
+        self.order, self.run, self.begin = order, run, np.flatnonzero(new)
+        held = np.zeros(len(x), bool)
+        held[order] = (np.bincount(run[~again]) > 1)[run]
+        # starts of passages, and their pieces
+        n = size - width + 1
+        self.of = np.repeat(np.arange(len(size)), n)
+        self.start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + self.first[self.of]
+        self.enough = int(np.ceil(2 * threshold / (1 + threshold) * width - 1e-9))
+        need = np.where(self.plain, self.enough, np.ceil(threshold * width - 1e-9))[group]
+        self.able = (self.within(held) >= need[self.of]) | ~self.single[self.of]
+
+    def within(self, cells: np.ndarray) -> np.ndarray:
+        """How many cells of each passage are true."""
+        total = np.concatenate([[0], np.cumsum(cells)])
+        return total[self.start + self.width] - total[self.start]
+
+    def led(self) -> tuple[np.ndarray, np.ndarray]:
+        """(starts with a near-duplicate, groups that need no other comparison). Each piece is laid beside the first
+        of its group that has a passage to compare, at the distance where most shingles agree; what agrees there is a
+        lower bound of what two passages share. A group is done if that settles all its passages."""
+        open_ = np.bincount(self.of[self.able], minlength=len(self.size)) > 0
+        lead = np.full(len(self.plain), len(self.size))
+        np.minimum.at(lead, self.group[open_], np.flatnonzero(open_))
+        lead = np.minimum(lead, len(self.size) - 1)[self.group]
+        # where the leader has the shingle
+        stands = self.piece[self.order] == lead[self.piece[self.order]]
+        at = np.full(len(self.begin), -1)
+        at[self.run[stands]] = self.order[stands]
+        where = np.empty(len(self.x), np.int64)
+        where[self.order] = at[self.run]
+        mine = np.flatnonzero((where >= 0) & (self.piece != lead[self.piece]))
+        mine = mine[(self.x[where[mine]] == self.x[mine]) & (self.group[self.piece[where[mine]]] == self.group[self.piece[mine]])]
+        wide = int(self.size.max()) + 1
+        shift = (where[mine] - self.first[lead[self.piece[mine]]]) - (mine - self.first[self.piece[mine]])
+        code = self.piece[mine] * (2 * wide) + shift + wide
+        kinds, inverse, count = np.unique(code, return_inverse=True, return_counts=True)
+        rank = np.lexsort((-count, kinds // (2 * wide)))
+        best = rank[np.flatnonzero(np.diff(kinds[rank] // (2 * wide), prepend=-1))]
+        way = np.zeros(len(self.size), np.int64)
+        way[kinds[best] // (2 * wide)] = kinds[best] % (2 * wide) - wide
+        chosen = np.zeros(len(kinds), bool)
+        chosen[best] = True
+        cells = np.zeros(len(self.x), bool)
+        cells[mine[chosen[inverse]]] = True
+        total, n, w = np.concatenate([[0], np.cumsum(cells)]), self.size - self.width + 1, self.width
+
+        def near(piece: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Whether passages i of the pieces and j of their leaders share enough that agrees."""
+            back = j - way[piece]
+            low, high = np.maximum(i, back), np.minimum(i, back) + w
+            at = self.first[piece]
+            share = np.where(high > low, total[at + np.maximum(high, low)] - total[at + low], 0)
+            apart = (self.ids[piece] != self.ids[lead[piece]]) | (np.abs(self.s[piece] + i - self.s[lead[piece]] - j) >= w)
+            return (share >= self.enough) & apart & self.plain[self.group[piece]]
+
+        others = np.flatnonzero(open_ & (lead != np.arange(len(lead))) & (self.group[lead] == self.group))
+        hit = np.zeros(len(self.of), bool)
+        edge = np.cumsum(n) - n
+        for side in (0, 1):  # passages of the pieces, then of their leaders, each beside the nearest of the other
+            many = n[others] if side == 0 else n[lead[others]]
+            piece = np.repeat(others, many)
+            at = np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)
+            if side == 0:
+                good = near(piece, at, np.clip(at + way[piece], 0, n[lead[piece]] - 1))
+                hit[edge[piece[good]] + at[good]] = True
+            else:
+                good = near(piece, np.clip(at - way[piece], 0, n[piece] - 1), at)
+                hit[edge[lead[piece[good]]] + at[good]] = True
+        done = self.plain.copy()
+        done[self.group[self.of[self.able & ~hit]]] = False
+        return hit, done
 
 
 def _verify(width: int, min_words: int, threshold: float):
@@ -359,18 +488,38 @@ def _verify(width: int, min_words: int, threshold: float):
         if body.ctypes.data % 8:
             body = body.copy()
         order = np.lexsort((high, low, key))
-        same = (np.diff(key[order]) == 0) & (np.diff(low[order]) == 0) & (np.diff(high[order]) == 0)
-        group = np.zeros(len(order), np.int64)
-        group[order] = np.cumsum(np.concatenate([[True], ~same])) - 1
-        x, cut = body.view(np.uint64), cut // 8
-        some, single = able(x, np.diff(cut), group, width, threshold)
-        order = order[some[order]]
-        out = {k: [] for k in types}
-        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        change = (np.diff(key[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+        group = np.concatenate([[0], np.cumsum(change)])
+        size = np.diff(cut)[order] // 8
+        at = np.repeat(cut[:-1][order] // 8 - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        own, ids, s = own[order], ids[order], s[order]
+        parts = Gathered(body.view(np.uint64)[at], size, group, ids, s, width, threshold)
+        hit, done = parts.led()
+        sides = low[order] != high[order]
+        done[group[sides]] = False
+        # groups that the first comparison settles
+        row = parts.of[hit & done[group[parts.of]]]
+        start = (s[parts.of] + parts.start - parts.first[parts.of])[hit & done[group[parts.of]]]
+        linked = np.unique(row)
+        root = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(root, group[linked], ids[linked])
+        wide = int(s.max()) + int(size.max()) + min_words + 1
+        if len(row):
+            a, z = joined(row * wide + start, row * wide + start + min_words)
+            who, (starts, ends) = _lists(a // wide, a % wide, a % wide + z - a)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), starts, ends, pa.array(root[group[who]])], list(types))
+        some = np.bincount(parts.of[parts.able], minlength=len(size)) > 0
+        rest = np.flatnonzero(some & ~done[group])
+        out, edge = {k: [] for k in types}, np.concatenate([[0], np.cumsum(size - width + 1)])
+        for rows in np.split(rest, np.flatnonzero(np.diff(group[rest])) + 1):
             if len(rows) < 2:
                 continue
-            side = own[rows] if low[rows[0]] != high[rows[0]] else None
-            starts, label = compare([Piece(x[cut[r] : cut[r + 1]], width, ids[r], s[r], single[r]) for r in rows], width, threshold, side)
+            side = own[rows] if sides[rows[0]] else None
+            known = label = None
+            if side is None and parts.plain[group[rows[0]]]:
+                known = [hit[edge[r] : edge[r + 1]] for r in rows]
+                label = np.where([x.any() for x in known], 0, np.arange(len(rows)))  # what has hits has them with the first
+            starts, label = compare([Piece(parts.x[parts.first[r] : parts.first[r] + size[r]], width, ids[r], s[r], parts.single[r]) for r in rows], width, threshold, side, known, label)
             root = {}
             for r, k in zip(rows, label.tolist()):
                 root[k] = min(int(ids[r]), root.get(k, int(ids[r])))
@@ -384,12 +533,15 @@ def _verify(width: int, min_words: int, threshold: float):
     return run
 
 
-def _search(work: Work, texts: DataFrame, bands: range, min_words: int, threshold: float, block: int, buckets: int, task_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(spans of rows in words, links of rows) by these bands."""
+def _search(work: Work, texts: DataFrame, bands: range, known: DataFrame | None, min_words: int, threshold: float, block: int, buckets: int, task_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(spans of rows in words, links of rows) by these bands. known: spans and classes found so far."""
     width = min_words - SHINGLE + 1
     told = work.save(_deal(texts, width, bands, buckets).repartition(buckets, "bucket").mapInArrow(_tell(width), "id long, starts array<long>, ends array<long>, wants binary, size long, other long"), "told")
     work.release()
-    wants = told.where("wants is not null")
+    wants = told.where("wants is not null").select("id", "wants", "size")
+    if known is not None:
+        per = wants.groupBy("id").agg(F.collect_list("wants").alias("wants")).join(known, "id", "left").select("id", "wants", "starts", "ends", "root")
+        wants = work.save(per.mapInArrow(_screen(width, buckets), "bucket int, runs binary").repartition(buckets, "bucket").mapInArrow(_choose(width), "id long, wants binary, size long"), "wants")
     total = wants.agg(F.sum("size")).first()[0] or 0
     asked = texts.join(wants.groupBy("id").agg(F.collect_list("wants").alias("wants")), "id").select("id", "body", "wants")
     cut = asked.mapInArrow(_gather(width, block), "key long, low long, high long, own long, id long, s long, x binary")
@@ -400,6 +552,20 @@ def _search(work: Work, texts: DataFrame, bands: range, min_words: int, threshol
     return spans, links
 
 
+def _known(work: Work, ids: DataFrame, found: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(the columns of ids, root, starts, ends): the least row of each row's class, and its merged spans."""
+    spans, links = (reduce(DataFrame.union, part) for part in zip(*found))
+
+    def tidy(batches):
+        for b in batches:
+            got = [joined(*(np.concatenate([np.array(x, np.int64) for x in v.as_py()]) for v in (s, e))) for s, e in zip(b.column(1), b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k].tolist() for g in got], pa.list_(pa.int64())) for k in (0, 1))], ["id", "starts", "ends"])
+
+    merged = spans.groupBy("id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")).mapInArrow(tidy, "id long, starts array<long>, ends array<long>")
+    root = connected_components(work, links.distinct()).select(F.col("node").alias("id"), "root")
+    return work.save(ids.join(root, "id", "left").withColumn("root", F.coalesce("root", "id")).join(merged, "id", "left"), "known")
+
+
 def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, bands: int = BANDS, wave: int = WAVE, block: int = 1024, task_bytes: int = 4 << 20) -> DataFrame:
     """A row per document: doc_id, starts and ends of the near-duplicate spans in words (maximal ones),
     and class_id. A passage has at most 123 words here."""
@@ -408,21 +574,15 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float
     work = Work(docs.sparkSession)
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     texts = work.save(docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("d"), body.alias("body")), "texts")
-    buckets = min(1 << 16, max(16, work.size(texts) >> 23))
-    found = [_search(work, texts, range(j, min(j + wave, bands)), min_words, threshold, block, buckets, task_bytes) for j in range(0, bands, wave)]
-    every, links = (reduce(DataFrame.union, part) for part in zip(*found))
-
-    def tidy(batches):
-        for b in batches:
-            got = [joined(*(np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in v.as_py() or [])]) for v in (s, e))) for s, e in zip(b.column(1), b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k].tolist() for g in got], pa.list_(pa.int64())) for k in (0, 1)), b.column(3)], ["doc_id", "starts", "ends", "class_id"])
-
-    spans = every.groupBy("id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    root = connected_components(work, links.distinct()).select(F.col("node").alias("id"), "root")
-    rows = work.save(texts.select("id", "d").join(root, "id", "left").select("id", "d", F.coalesce("root", "id").alias("root")).join(spans, "id", "left"), "rows")
+    buckets, found, known = min(1 << 16, max(16, work.size(texts) >> 23)), [], None
+    for j in range(0, bands, wave):
+        found.append(_search(work, texts, range(j, min(j + wave, bands)), known, min_words, threshold, block, buckets, task_bytes))
+        if known is None and bands > wave:
+            known = _known(work, texts.select("id"), found)
+    rows = _known(work, texts.select("id", "d"), found)
     low = work.save(rows.where("starts is not null").groupBy("root").agg(F.min("d").alias("low")), "low")
-    out = rows.join(low, "root", "left").select("d", "starts", "ends", F.coalesce("low", "d").alias("class_id"))
-    return work.result(out.mapInArrow(tidy, "doc_id long, starts array<long>, ends array<long>, class_id long"))
+    none = F.array().cast("array<long>")
+    return work.result(rows.join(low, "root", "left").select(F.col("d").alias("doc_id"), F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.coalesce("low", "d").alias("class_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
