@@ -35,6 +35,6 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, licenses, warc
+    from . import decontaminate, licenses, repeats, warc
 
-    return {"op1_license_scan": licenses.sql(), "op2_warc_archive": warc.SQL, "op6_decontamination": decontaminate.SQL}
+    return {"op1_license_scan": licenses.sql(), "op2_warc_archive": warc.SQL, "op6_decontamination": decontaminate.SQL, "op8_remove_repeats": repeats.SQL}

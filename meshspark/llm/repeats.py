@@ -13,11 +13,17 @@ the common prefixes of neighbours tell the repeats. Suffixes longer than needed
 gathered piece ends where its last string ends.
 
 An anchor of more than `hot` different surroundings would bring too many pieces into one task. Its strings
-are counted by their hashes instead, which are summed before they are dealt: first units of 8 neighbouring
-strings, by the bytes that all of them share, then the strings of units that occur twice.
+are cut into units of 8 neighbours, which go by the 193 bytes that all of a unit share: equal strings are at equal places
+in units of equal such bytes. Units of equal bytes are repeats; one of each kind is sorted beside the others of its
+193 bytes, as above. Where even those are of more than `hot` kinds, a unit is one string, and its bytes are its key.
+Units are told apart by their bytes; only surroundings that recur whole are told by two 64-bit hashes, the anchor's
+and theirs.
 
 Defined results: a null text is empty. Rows that repeat a doc_id and text are documents of their own, and
-so repeats of each other. Texts shorter than `length` lose nothing. Strings never cross documents."""
+so repeats of each other. Texts shorter than `length` lose nothing. Strings never cross documents. Of neighbours with
+equal least grams the leftmost is the anchor. A null doc_id stays null and its text is judged like any other. Texts may be of any
+length that fits a task's memory about forty times over. Columns other than doc_id and text are not read. An
+empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -219,25 +225,25 @@ def spans(docs: DataFrame, work: Work, length: int = LENGTH, hot: int = 2000, ta
                 low, high, _ = a.around()
                 at = np.searchsorted(a.at, p[full])
                 starts, ends = joined(low[at], high[at])
-                own, sums = [], []
+                own, units = [], []
                 for q, many in sorted(zip(p[sort].tolist(), hot_[sort].tolist())):
                     x, y = a.strings(q, 0)
                     if y >= x and many:
                         back = (q - np.arange(x, y + 1)) // UNIT  # strings of one unit share all bytes but the outer few
                         cut_ = np.flatnonzero(np.diff(back, prepend=-1, append=-1))
-                        w = a.spans.hash(np.arange(x, y + 1), np.arange(x, y + 1) + length).view(np.int64)
                         core = q - UNIT * back[cut_[:-1]]
                         key = (a.spans.hash(core, core + length - UNIT + 1) ^ mix(back[cut_[:-1]].astype(np.uint64))).view(np.int64)
-                        sums += [{"k": i, "s": x + int(e), "w": w[e:f]} for i, e, f in zip(key.tolist(), cut_[:-1], cut_[1:])]
+                        units += [{"h": k, "s": x + e, "body": text[x + e : x + f - 1 + length].tobytes()} for k, e, f in zip(key.tolist(), cut_[:-1].tolist(), cut_[1:].tolist())]
                     elif y >= x:
                         own.append({"h": int(a.h[q].view(np.int64)), "s": x, "body": text[x : y + length].tobytes()})
-                for name, v in zip(out, (d.as_py(), t.as_py(), starts.tolist(), ends.tolist(), own, sums)):
+                for name, v in zip(out, (d.as_py(), t.as_py(), starts.tolist(), ends.tolist(), own, units)):
                     out[name].append(v)
-            types = {"d": pa.int64(), "t": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "pieces": pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int64()), ("body", pa.binary())])), "hot": pa.list_(pa.struct([("k", pa.int64()), ("s", pa.int64()), ("w", pa.list_(pa.int64()))]))}
+            piece = pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int64()), ("body", pa.binary())]))
+            types = {"d": pa.int64(), "t": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "pieces": piece, "hot": piece}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
 
     texts = _keyed(docs).alias("x").join(per.alias("y"), F.col("x.d").eqNullSafe(F.col("y.d")) & (F.col("x.t") == F.col("y.t"))).select("x.d", "x.t", "body", "a")
-    found = work.save(texts.mapInArrow(around, "d long, t long, starts array<long>, ends array<long>, pieces array<struct<h:long,s:long,body:binary>>, hot array<struct<k:long,s:long,w:array<long>>>"), "found")
+    found = work.save(texts.mapInArrow(around, "d long, t long, starts array<long>, ends array<long>, pieces array<struct<h:long,s:long,body:binary>>, hot array<struct<h:long,s:long,body:binary>>"), "found")
     work.release()
 
     def sort(batches):
@@ -257,15 +263,20 @@ def spans(docs: DataFrame, work: Work, length: int = LENGTH, hot: int = 2000, ta
             rows = whole.select(["d", "t"]).take(pa.array(keep)).combine_chunks()
             yield pa.RecordBatch.from_arrays([rows["d"].chunk(0), rows["t"].chunk(0), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], ["d", "t", "starts", "ends"])
 
-    cut = found.where("size(pieces) > 0").select("d", "t", F.explode("pieces").alias("p")).select("d", "t", "p.h", "p.s", "p.body")
+    def listed(column: str) -> DataFrame:
+        return found.where(F.size(column) > 0).select("d", "t", F.explode(column).alias("p")).select("d", "t", "p.h", "p.s", "p.body")
+
+    alike = work.save(listed("hot").groupBy("h", "body").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "s")).alias("one")), "units")
+    crowd = work.save(alike.groupBy("h").agg(F.count("*").alias("kinds")), "crowd")
+    unit = work.save(alike.join(crowd, "h").where("n > 1 or kinds > 1").select("h", "body", "n", "kinds", "one.d", "one.t", "one.s"), "unit")
+    copies = listed("hot").join(unit.where("n > 1").select("h", "body"), ["h", "body"]).select("d", "t", F.array("s").alias("starts"), F.array(F.col("s") + F.octet_length("body")).alias("ends"))
+    cut = listed("pieces").union(unit.where((F.col("kinds") > 1) & (F.col("kinds") <= hot)).select("d", "t", "h", "s", "body"))
     total = cut.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     sorted_ = cut.repartition(max(1, math.ceil(total / task_bytes)), "h").mapInArrow(sort, "d long, t long, starts array<long>, ends array<long>")
-    units = found.where("size(hot) > 0").select("d", "t", F.explode("hot").alias("x")).select("d", "t", "x.k", "x.s", "x.w")
-    cores = work.save(units.groupBy("k").count().where("count > 1").select("k"), "cores")
-    sums = units.join(cores, "k").select("d", "t", "s", F.posexplode("w").alias("i", "w")).select("d", "t", "w", (F.col("s") + F.col("i")).alias("s"))
-    again = work.save(sums.groupBy("w").count().where("count > 1").select("w"), "again")
-    counted = sums.join(again, "w").groupBy("d", "t").agg(F.collect_set("s").alias("starts")).select("d", "t", "starts", F.transform("starts", lambda s: s + length).alias("ends"))
-    every = found.where("size(starts) > 0").select("d", "t", "starts", "ends").union(sorted_).union(counted)
+    strings = unit.where(F.col("kinds") > hot).select("d", "t", "s", "body", F.explode(F.sequence(F.lit(0), F.octet_length("body") - length)).alias("i")).select("d", "t", (F.col("s") + F.col("i")).alias("s"), F.substring("body", F.col("i") + 1, F.lit(length)).alias("w"))
+    again = work.save(strings.groupBy("w").count().where("count > 1").select("w"), "again")
+    single = strings.join(again, "w").select("d", "t", F.array("s").alias("starts"), F.array(F.col("s") + length).alias("ends"))
+    every = found.where("size(starts) > 0").select("d", "t", "starts", "ends").union(sorted_).union(copies).union(single)
     both = work.save(every.groupBy("d", "t").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "spans")
     work.drop(found)
     work.release()
@@ -299,3 +310,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, x: n + x["ends"] - x["starts"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# Independent of the operator: every string of 200 bytes is listed and counted.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS g FROM d, LATERAL (SELECT unnest(range(0, len(x) // 2 - 199)) AS i)),
+m AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+p AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS f FROM s SEMI JOIN m USING (g)),
+k AS (SELECT r, i, sum(f) OVER (PARTITION BY r ORDER BY i) AS k FROM p),
+u AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM k GROUP BY r, k),
+v AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS b FROM u),
+w AS (SELECT r, count(*) AS n, sum(z - a) AS c, max(z) AS z, string_agg(substr(x, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS y FROM v JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+sha256(unhex(coalesce(y, '') || substr(x, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN w USING (r)
+"""
