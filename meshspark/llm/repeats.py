@@ -12,12 +12,12 @@ directly; a scan over the buckets of first bytes, in ascending order, induces al
 the common prefixes of neighbours tell the repeats. Suffixes longer than needed are never compared: a
 gathered piece ends where its last string ends.
 
-An anchor of more than `hot` different surroundings would bring too many pieces into one task. Its strings
-are cut into units of 8 neighbours, which go by the 193 bytes that all of a unit share: equal strings are at equal places
-in units of equal such bytes. Units of equal bytes are repeats; one of each kind is sorted beside the others of its
-193 bytes, as above. Where even those are of more than `hot` kinds, a unit is one string, and its bytes are its key.
-Units are told apart by their bytes; only surroundings that recur whole are told by two 64-bit hashes, the anchor's
-and theirs.
+An anchor of more than `hot` different surroundings would bring too many pieces into one task. Its pieces are
+cut into units of 32 neighbouring strings, which go by the 169 bytes that all strings of a unit share: equal strings are at
+equal places in units of equal such bytes. Units of equal bytes are repeats; one of each kind is sorted beside the
+others of its 169 bytes, as above. Where even those are of more than `hot` kinds, they are cut again, into units of 6 strings
+and then of one, whose bytes are its key. Units are told apart by their bytes; only surroundings that recur whole are
+told by two 64-bit hashes, the anchor's and theirs.
 
 Defined results: a null text is empty. Rows that repeat a doc_id and text are documents of their own, and
 so repeats of each other. Texts shorter than `length` lose nothing. Strings never cross documents. Of neighbours with
@@ -28,15 +28,16 @@ empty table gives no rows."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Spans, Work, flat, mix, pieces, table
+from .common import Spans, Work, flat, pieces, table
 
-LENGTH, GRAM, UNIT = 200, 32, 8
+LENGTH, GRAM, UNITS = 200, 32, (32, 6, 1)
 
 
 def _slide(x: np.ndarray, w: int, by) -> np.ndarray:
@@ -196,6 +197,17 @@ def _anchors(docs: DataFrame, length: int, bare: bool = False) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "h long" if bare else "h long, around long, d long, t long, p long")
 
 
+def _units(parts: DataFrame, length: int, size: int, unit: int) -> DataFrame:
+    """(d, t, h, s, o, body): units of `unit` strings of pieces of up to `size` strings that share a core of bytes.
+    o: where in the body the core begins; strings begin there or up to size - 1 bytes before."""
+    each = parts.select("d", "t", "h", "s", "o", "body", F.explode(F.sequence(F.lit(0), F.lit((size - 1) // unit))).alias("j"))
+    each = each.withColumn("core", F.col("o") - F.col("j") * unit)
+    low, high = F.greatest(F.lit(0), F.col("core") - unit + 1), F.least(F.col("core"), F.octet_length("body") - length)
+    each = each.withColumn("low", low.cast("int")).withColumn("high", high.cast("int")).where("low <= high")
+    key = F.xxhash64("h", "j", F.substring("body", F.col("core").cast("int") + 1, F.lit(length - unit + 1)))
+    return each.select("d", "t", key.alias("h"), (F.col("s") + F.col("low")).alias("s"), (F.col("core") - F.col("low")).alias("o"), F.substring("body", F.col("low") + 1, F.col("high") - F.col("low") + length).alias("body"))
+
+
 def spans(docs: DataFrame, work: Work, length: int = LENGTH, hot: int = 2000, task_bytes: int = 3 << 19) -> DataFrame:
     """(d, t, starts, ends): the repeated spans of each document that has any, in bytes. d is its doc_id,
     t the hash of its text."""
@@ -214,7 +226,7 @@ def spans(docs: DataFrame, work: Work, length: int = LENGTH, hot: int = 2000, ta
 
     def around(batches):
         for b in batches:
-            out = {k: [] for k in ("d", "t", "starts", "ends", "pieces", "hot")}
+            out = {k: [] for k in ("d", "t", "starts", "ends", "pieces")}
             marks = b.column(3)
             cut, held = marks.offsets.to_numpy() - marks.offsets[0].as_py(), marks.flatten()
             place, *flags = (held.field(k).to_numpy(zero_copy_only=False) for k in ("p", "full", "sort", "hot"))
@@ -225,25 +237,19 @@ def spans(docs: DataFrame, work: Work, length: int = LENGTH, hot: int = 2000, ta
                 low, high, _ = a.around()
                 at = np.searchsorted(a.at, p[full])
                 starts, ends = joined(low[at], high[at])
-                own, units = [], []
+                own = []
                 for q, many in sorted(zip(p[sort].tolist(), hot_[sort].tolist())):
                     x, y = a.strings(q, 0)
-                    if y >= x and many:
-                        back = (q - np.arange(x, y + 1)) // UNIT  # strings of one unit share all bytes but the outer few
-                        cut_ = np.flatnonzero(np.diff(back, prepend=-1, append=-1))
-                        core = q - UNIT * back[cut_[:-1]]
-                        key = (a.spans.hash(core, core + length - UNIT + 1) ^ mix(back[cut_[:-1]].astype(np.uint64))).view(np.int64)
-                        units += [{"h": k, "s": x + e, "body": text[x + e : x + f - 1 + length].tobytes()} for k, e, f in zip(key.tolist(), cut_[:-1].tolist(), cut_[1:].tolist())]
-                    elif y >= x:
-                        own.append({"h": int(a.h[q].view(np.int64)), "s": x, "body": text[x : y + length].tobytes()})
-                for name, v in zip(out, (d.as_py(), t.as_py(), starts.tolist(), ends.tolist(), own, units)):
+                    if y >= x:
+                        own.append({"h": int(a.h[q].view(np.int64)), "s": x, "o": q - x, "body": text[x : y + length].tobytes(), "hot": many})
+                for name, v in zip(out, (d.as_py(), t.as_py(), starts.tolist(), ends.tolist(), own)):
                     out[name].append(v)
-            piece = pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int64()), ("body", pa.binary())]))
-            types = {"d": pa.int64(), "t": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "pieces": piece, "hot": piece}
+            piece = pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int64()), ("o", pa.int64()), ("body", pa.binary()), ("hot", pa.bool_())]))
+            types = {"d": pa.int64(), "t": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "pieces": piece}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
 
     texts = _keyed(docs).alias("x").join(per.alias("y"), F.col("x.d").eqNullSafe(F.col("y.d")) & (F.col("x.t") == F.col("y.t"))).select("x.d", "x.t", "body", "a")
-    found = work.save(texts.mapInArrow(around, "d long, t long, starts array<long>, ends array<long>, pieces array<struct<h:long,s:long,body:binary>>, hot array<struct<h:long,s:long,body:binary>>"), "found")
+    found = work.save(texts.mapInArrow(around, "d long, t long, starts array<long>, ends array<long>, pieces array<struct<h:long,s:long,o:long,body:binary,hot:boolean>>"), "found")
     work.release()
 
     def sort(batches):
@@ -263,20 +269,23 @@ def spans(docs: DataFrame, work: Work, length: int = LENGTH, hot: int = 2000, ta
             rows = whole.select(["d", "t"]).take(pa.array(keep)).combine_chunks()
             yield pa.RecordBatch.from_arrays([rows["d"].chunk(0), rows["t"].chunk(0), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], ["d", "t", "starts", "ends"])
 
-    def listed(column: str) -> DataFrame:
-        return found.where(F.size(column) > 0).select("d", "t", F.explode(column).alias("p")).select("d", "t", "p.h", "p.s", "p.body")
-
-    alike = work.save(listed("hot").groupBy("h", "body").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "s")).alias("one")), "units")
-    crowd = work.save(alike.groupBy("h").agg(F.count("*").alias("kinds")), "crowd")
-    unit = work.save(alike.join(crowd, "h").where("n > 1 or kinds > 1").select("h", "body", "n", "kinds", "one.d", "one.t", "one.s"), "unit")
-    copies = listed("hot").join(unit.where("n > 1").select("h", "body"), ["h", "body"]).select("d", "t", F.array("s").alias("starts"), F.array(F.col("s") + F.octet_length("body")).alias("ends"))
-    cut = listed("pieces").union(unit.where((F.col("kinds") > 1) & (F.col("kinds") <= hot)).select("d", "t", "h", "s", "body"))
+    gathered = found.where("size(pieces) > 0").select("d", "t", F.explode("pieces").alias("p")).select("d", "t", "p.*")
+    cut, copies, crowded, size = gathered.where("not hot"), [found.where("size(starts) > 0").select("d", "t", "starts", "ends")], gathered.where("hot"), length - GRAM + 1
+    cut = cut.select("d", "t", "h", "s", "body")
+    for unit in UNITS:
+        if not crowded.limit(1).count():
+            break
+        parts = work.save(_units(crowded, length, size, unit), "units")
+        alike = work.save(parts.groupBy("h", "body").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "s", "o")).alias("one")), "alike")
+        crowd = work.save(alike.groupBy("h").agg(F.count("*").alias("kinds")), "crowd")
+        told = work.save(alike.join(crowd, "h").where("n > 1 or kinds > 1").select("h", "body", "n", "kinds", "one.*"), "told")
+        copies.append(parts.join(told.where("n > 1").select("h", "body"), ["h", "body"]).select("d", "t", F.array("s").alias("starts"), F.array(F.col("s") + F.octet_length("body")).alias("ends")))
+        last = unit == UNITS[-1]  # of one string there is one kind, but for keys that collide
+        cut = cut.union(told.where("kinds > 1" if last else (F.col("kinds") > 1) & (F.col("kinds") <= hot)).select("d", "t", "h", "s", "body"))
+        crowded, size = told.where(F.col("kinds") > hot), unit
     total = cut.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     sorted_ = cut.repartition(max(1, math.ceil(total / task_bytes)), "h").mapInArrow(sort, "d long, t long, starts array<long>, ends array<long>")
-    strings = unit.where(F.col("kinds") > hot).select("d", "t", "s", "body", F.explode(F.sequence(F.lit(0), F.octet_length("body") - length)).alias("i")).select("d", "t", (F.col("s") + F.col("i")).alias("s"), F.substring("body", F.col("i") + 1, F.lit(length)).alias("w"))
-    again = work.save(strings.groupBy("w").count().where("count > 1").select("w"), "again")
-    single = strings.join(again, "w").select("d", "t", F.array("s").alias("starts"), F.array(F.col("s") + length).alias("ends"))
-    every = found.where("size(starts) > 0").select("d", "t", "starts", "ends").union(sorted_).union(copies).union(single)
+    every = reduce(DataFrame.union, copies).union(sorted_)
     both = work.save(every.groupBy("d", "t").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "spans")
     work.drop(found)
     work.release()

@@ -139,21 +139,26 @@ def repeats_by_force(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_repeats_equal_brute_force(spark, hot):
+def test_repeats_equal_brute_force(spark):
     rows = [(d, t if t is None or len(t) < 5000 else t[:5000]) for d, t in corpus() + ODD]
-    if hot == 1:  # counting strings by their hashes must give the same spans
-        work = Work(spark)
-        a = {(r.d, r.t): repeats.joined(np.array(r.starts), np.array(r.ends)) for r in repeats.spans(docs_of(spark, rows), work, hot=1).collect()}
-        b = {(r.d, r.t): repeats.joined(np.array(r.starts), np.array(r.ends)) for r in repeats.spans(docs_of(spark, rows), work).collect()}
-        assert a.keys() == b.keys() and all((a[k][0] == b[k][0]).all() and (a[k][1] == b[k][1]).all() for k in a)
-        work.drop()
-        return
     got = repeats.remove_repeats(docs_of(spark, rows)).collect()
     told = [(r.doc_id, r.n_bytes, sum(e - s for s, e in zip(r.starts, r.ends)), len(r.starts), bytes(r.kept)) for r in got]
     assert sorted(told, key=repr) == repeats_by_force(rows, 200)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_repeats_of_crowded_anchors(spark, hot):
+    rng, rows = random.Random(3), [(k, t if t is None or len(t) < 5000 else t[:5000]) for k, (_, t) in enumerate(corpus() + ODD)]
+    for size in (40, 150, 190, 199, 200, 201, 207, 230, 300):  # shared runs of bytes in other surroundings each
+        run = "".join(rng.choice("abcdefgh ") for _ in range(size))
+        rows += [(1000 * size + k, "".join(rng.choice("xyz ") for _ in range(250)) + run + "".join(rng.choice("xyz ") for _ in range(250 * (k % 2)))) for k in range(6)]
+    work = Work(spark)
+    got = {r.d: repeats.joined(np.array(r.starts), np.array(r.ends)) for r in repeats.spans(docs_of(spark, rows), work, hot=hot).collect()}
+    want = {d: (n, k) for d, _, n, k, _ in repeats_by_force(rows, 200) if n}
+    assert {d: (int((z - a).sum()), len(a)) for d, (a, z) in got.items()} == want
+    work.drop()
+
+
 def test_repeats_of_an_empty_table(spark):
     assert repeats.remove_repeats(docs_of(spark, [])).collect() == []
 
