@@ -16,7 +16,8 @@ STAGES = [
     ("token-ID output", tokens.stage),
 ]
 
-#: Learned models decide what stays, so no SQL gives the rows; tests/llm compares each stage with brute force.
+#: Learned models decide what stays, so no SQL gives the rows; tests/llm compares the deciding rules of the stages with
+#: brute force over what the models said.
 ORACLE_SQL = None
 
 

@@ -10,7 +10,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,6 +94,28 @@ class Work:
         return out
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in whatever case."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key() -> Column:
+    """A row by its doc_id and text, in 64 bits; rows that agree in both share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs but for the rows of these keys (one column, distinct)."""
+    (name,) = fresh(docs, "dropped_row")
+    return docs.join(keys.toDF(name), row_key() == F.col(name), "left_anti")
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,7 +7,7 @@ prefix of a window is its rarest. Documents are scanned for prefix shingles; a m
 where the window can stand (positional bound), which must lie inside the text (length bound), and the
 window's own hash is compared there, and then its words. Windows that stand there make their words hit.
 
-The benchmark is dealt in blocks of at most `block_bytes` of text, so what is broadcast is bounded, and
+The benchmark is dealt in blocks of at most `block_bytes` of text, read one at a time, so what is held and broadcast is bounded, and
 documents are read once to count and once to join for each block; a benchmark of one block, as here, needs
 two reads.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Spans, Work, flat, pieces, table
+from .common import Spans, Work, flat, pieces, row_key, table, without
 
 WINDOW, SHINGLE = 13, 3
 
@@ -197,26 +197,35 @@ def _blocks(items: DataFrame, block_bytes: int):
 
 
 def find(docs: DataFrame, items: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
-    """A row per document: doc_id, n_words, starts and ends of the hit spans in words, and items."""
-    work = Work(docs.sparkSession)
-    blocks = [b for b in _blocks(items, block_bytes)]
-    if len(blocks) <= 1:
-        return _scan(docs, blocks[0] if blocks else Benchmark([]), work)
+    """A row per document: doc_id, n_words, starts and ends of the hit spans in words, and items. One block of
+    the benchmark is held at a time."""
+    work, blocks = Work(docs.sparkSession), _blocks(items, block_bytes)
+    block, more = next(blocks, Benchmark([])), next(blocks, None)
+    if more is None:
+        return _scan(docs, block, work)
     keyed = work.save(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "docs")
-    parts = [work.save(_scan(keyed.select(F.col("row").alias("doc_id"), "text"), b, work), "block") for b in blocks]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
+    every = None
+    while block is not None:
+        part = work.save(_scan(keyed.select(F.col("row").alias("doc_id"), "text"), block, work), "block")
+        every = part if every is None else every.union(part)
+        block, more = more, next(blocks, None) if more is not None else None
     pairs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
     joined = every.groupBy(F.col("doc_id").alias("row")).agg(F.first("n_words").alias("n_words"), pairs.alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    spans = F.udf(lambda s: [list(x) for x in zip(*merged([(r["starts"], r["ends"]) for r in s]))] or [[], []], "array<array<long>>")
-    return keyed.select("row", "doc_id").join(joined, "row").withColumn("m", spans("s")).select("doc_id", "n_words", F.col("m")[0].alias("starts"), F.col("m")[1].alias("ends"), "items")
+    rows = keyed.select("row", "doc_id").join(joined, "row").select("doc_id", "n_words", F.col("s.starts").alias("starts"), F.col("s.ends").alias("ends"), "items")
+
+    def merge(batches):
+        for b in batches:
+            spans = [merged(list(zip(x, y))) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            both = [pa.array([[x[k] for x in s] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *both, b.column(4)], ["doc_id", "n_words", "starts", "ends", "items"])
+
+    return rows.mapInArrow(merge, "doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>")
 
 
-def judge(found: DataFrame) -> DataFrame:
+def judge(found: DataFrame, *more: str) -> DataFrame:
     hit = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, x: n + x["ends"] - x["starts"])
     out = found.select("*", hit.alias("n_hit"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,10 +233,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents. Only their ids, a small part, meet the texts again."""
-    bad = judge(find(docs, table(spark, sf_dir, "benchmark"))).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    work = Work(spark)
-    return docs.join(work.save(bad, "bad"), F.col("doc_id").cast("long") == F.col("bad_id"), "left_anti")
+    """Drops documents in which a whole window of 13 words of the benchmark occurs, however long they are, and those
+    of which a twentieth or more of the words is hit, by shorter items too. Only keys of rows, a small part, meet the
+    texts again. Defined results: null, empty and wordless texts stay; rows are judged one by one, whatever their doc_id,
+    null or repeated; rows equal in doc_id and text go together. Extra columns of any name pass through. An
+    empty table stays empty; with an empty benchmark all rows stay."""
+    own = docs.select(row_key().alias("doc_id"), "text")
+    found = judge(find(own, table(spark, sf_dir, "benchmark")), "starts", "ends")
+    whole = F.exists(F.arrays_zip("starts", "ends"), lambda x: x["ends"] - x["starts"] >= WINDOW)
+    bad = found.where(F.col("contaminated") | whole).select("doc_id").distinct()
+    return without(docs, Work(spark).save(bad, "bad"))
 
 
 # Independent of the operator: every run of 13 words is listed and looked up as text.

@@ -4,8 +4,8 @@ vector machines between the languages of that family.
 Features are hashed letter trigrams of the whole text, in lower case, with every other ASCII byte as a
 space; a text is the mean of its trigrams. Families come from a table of language codes; a code that
 it lacks is a family of its own. A family is predicted by one-versus-one machines as well. The models
-are fitted on the driver from a bounded sample: `per_lang` labelled rows a language, and the first
-`fit_chars` characters of each. Predictions read whole texts.
+are fitted on the driver from a bounded sample: `per_lang` labelled rows a language, each a vector of the 4,096 shares
+of its whole text, counted on the executors. Predictions read whole texts.
 
 Defined results: a text that is null or has no letter is `und` with score 0. Without labelled rows
 every text is `und`. Repeated rows get the same answer each; a null doc_id is not held out and is never
@@ -105,11 +105,7 @@ class Machine:
 class Model:
     """The fitted machines: between families, and between the languages of each."""
 
-    def __init__(self, grams: np.ndarray, offsets: np.ndarray, langs: list[str]):
-        x = np.zeros((len(langs), BUCKETS), np.float32)
-        for i in range(len(langs)):
-            own = grams[offsets[i] : offsets[i + 1]]
-            x[i] = np.bincount(own[own > 0], minlength=BUCKETS) / max(1, (own > 0).sum())
+    def __init__(self, x: np.ndarray, langs: list[str]):
         named = np.array(langs, dtype=object)
         family = np.array([FAMILY_OF.get(c, c) for c in langs], dtype=object)
         self.families = {f: sorted(set(named[family == f])) for f in sorted(set(family))}
@@ -152,30 +148,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = 400, fit_chars: int = 20_000) -> Model | None:
-    """Fitted on at most per_lang rows of each language, those with the smallest hashes of doc_id;
-    none of them held out. Rows are chosen from ids and languages alone, then only their texts come
-    to the driver."""
+def shares(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, t, x): the shares of a whole text's trigrams by bucket, as 4-byte floats; t, a hash of the text."""
+
+    def run(batches):
+        for b in batches:
+            body, offsets = flat(b.column(3))
+            out = []
+            for i, j in pieces(offsets):
+                cut = offsets[i : j + 1] - offsets[i]
+                grams = trigrams(body[offsets[i] : offsets[j]], cut)
+                for x, y in zip(cut[:-1], cut[1:]):
+                    n = np.bincount(grams[x:y], minlength=BUCKETS)
+                    n[0] = 0
+                    out.append((n / max(1, n.sum())).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["doc_id", "lang", "t", "x"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, lang string, t long, x binary")
+
+
+def fit(docs: DataFrame, per_lang: int = 400) -> Model | None:
+    """Fitted on at most per_lang doc_ids of each language, those with the smallest hashes; none of them held out. They
+    are chosen from ids and languages alone, then only the vectors of their texts (16 KB each) come to the driver."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     langs = sorted(r[0] for r in known.select("lang").distinct().collect())
     chosen = None
     for lang in langs:
-        top = known.where(F.col("lang") == lang).orderBy("h", "doc_id").limit(per_lang)
+        top = known.where(F.col("lang") == lang).select("doc_id", "h").distinct().orderBy("h", "doc_id").limit(per_lang)
         chosen = top if chosen is None else chosen.union(top)
     ids = [r[0] for r in chosen.select("doc_id").distinct().collect()] if langs else []
     if not ids:
         return None
-    rows = docs.where(F.col("doc_id").isin(ids)).where("lang is not null").select(F.substring("text", 1, fit_chars).alias("text"), "lang", "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    body, offsets = flat(pa.array([r.text or "" for r in rows], pa.large_string()))
-    return Model(trigrams(body, offsets), offsets, [r.lang for r in rows])
+    rows = shares(docs.where(F.col("doc_id").cast("long").isin(ids)).where("lang is not null")).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.lang, r.t))
+    return Model(np.stack([np.frombuffer(r.x, "<f4") for r in rows]), [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs and lang_pred, score. Other columns pass through unread."""
+    """docs and lang_pred, score, in place of columns that have these names. Other columns pass through unread."""
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     at, schema = keep.index("text"), StructType([docs.schema[c] for c in keep])
     schema = schema.add("lang_pred", StringType()).add("score", DoubleType())
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -206,5 +219,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: those without any letter."""
-    return identify(docs, fit(docs)).where("lang_pred <> 'und'").select(*docs.columns)
+    """Rejects documents without a language: those that are null or without any letter. Defined results: every row is
+    judged by its own text, read whole, whatever its doc_id or how often it occurs; all columns, of any name and lang and score
+    among them, pass through as they are. An empty table stays empty; without labelled rows nothing has a language."""
+    model, names = fit(docs), docs.columns
+    plain = ["text" if c == "text" else f"c{k}" for k, c in enumerate(names)]
+    return identify(docs.toDF(*plain), model).where("lang_pred <> 'und'").select(*(F.col(c).alias(n) for c, n in zip(plain, names)))

@@ -11,7 +11,9 @@ A document of n words has n * p expected tokens of each domain; with rates r >=
 rates minimise (A r - t)' G^-1 (A r - t), where t are the targets and G = A A', by projected gradient: all
 rates start at one; a step takes A' G^-1 (A r - t) off and clips at zero. In this metric the gradient's
 Lipschitz constant is one, so the step is one. A step is one sum over the documents that brings as
-many numbers to the driver as there are domains; the rates themselves stay an expression of those numbers.
+many numbers to the driver as there are domains; the rates themselves stay an expression of those numbers. It stops
+after `most` steps, or where one takes less than a hundred-thousandth off what is minimised; targets of zero are only neared, as
+every document has some probability of every domain.
 
 The targets are the weights times a budget; by default the largest budget for which no domain needs more
 than it is expected to have.
@@ -30,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Work, table
+from .common import Work, row_key, table, without
 
 DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
@@ -148,11 +150,13 @@ def _inverse(m: list[list[float]]) -> list[list[float]]:
     return [row[n:] for row in a]
 
 
-def rates(members: DataFrame, weights: dict[str, float], budget: float | None = None, most: int = 20, tolerance: float = 1e-4) -> Column:
-    """The rate as an expression of the columns tokens and p of members, which is read once a step."""
+def rates(members: DataFrame, weights: dict[str, float], budget: float | None = None, most: int = 40, tolerance: float = 1e-4, fixed: Column | None = None) -> Column:
+    """The rate as an expression of the columns tokens and p of members, which is read once a step. Where `fixed`
+    holds, the rate stays one, and the others are fitted around it."""
+    free = F.lit(True) if fixed is None else ~fixed
     n = len(DOMAINS)
     a = [F.col("p")[k] * F.col("tokens") for k in range(n)]
-    sums = members.agg(*(F.sum(a[k]).alias(f"e{k}") for k in range(n)), *(F.sum(a[j] * a[k]).alias(f"g{j}{k}") for j in range(n) for k in range(j, n)), F.count("*").alias("rows")).first()
+    sums = members.agg(*(F.sum(a[k]).alias(f"e{k}") for k in range(n)), *(F.sum(F.when(free, a[j] * a[k])).alias(f"g{j}{k}") for j in range(n) for k in range(j, n)), F.count("*").alias("rows")).first()
     have = [sums[f"e{k}"] or 0.0 for k in range(n)]
     share = [weights.get(d, 0.0) / (sum(weights.values()) or 1.0) for d in DOMAINS]
     if budget is None:
@@ -164,11 +168,11 @@ def rates(members: DataFrame, weights: dict[str, float], budget: float | None =
         now = members.agg(*(F.sum(a[k] * rate).alias(f"e{k}") for k in range(n))).first()
         miss = [(now[k] or 0.0) - target[k] for k in range(n)]
         step = [sum(inverse[j][k] * miss[k] for k in range(n)) for j in range(n)]
-        left = sum(abs(x) for x in miss) / (sum(target) or 1.0)
-        if left < tolerance or was is not None and was - left < tolerance / 10:
+        left = sum(x * y for x, y in zip(miss, step))  # what is minimised; no step raises it
+        if left < tolerance**2 or was is not None and was - left < tolerance * left / 10:
             break
         was = left
-        rate = F.greatest(F.lit(0.0), rate - sum(F.lit(step[k]) * a[k] for k in range(n)))
+        rate = F.when(free, F.greatest(F.lit(0.0), rate - sum(F.lit(step[k]) * a[k] for k in range(n)))).otherwise(F.lit(1.0))
     return rate
 
 
@@ -190,14 +194,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, whole: float = 0.9) -> DataFrame:
-    """Keeps a document with the probability of its rate, drawn from a hash of its id; rates of `whole`
-    or more count as one, so that documents of the wanted domains stay. Rows of one doc_id go together,
-    if none of them would stay; rows without a doc_id stay. The decisions are a table of their own: as a
-    filter over the texts, the optimizer would put the whole classifier into every step of the rate."""
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are most probably clean stay, the domain of which the targets want most; the rates of the others
+    are fitted around them, and each stays with the probability of its rate, drawn from a hash of its doc_id and text. So
+    the kept mixture meets the targets wherever the others can bring it there. The decisions are a table of their
+    own: as a filter over the texts, the optimizer would put the whole classifier into every step of the rate.
+    Defined results: null and wordless texts have no tokens, count as most probably clean or not by their terms, and have
+    rate one, so they stay; rows are judged one by one, whatever their doc_id, null or repeated; rows equal in doc_id and
+    text go together. Extra columns of any name pass through. An empty table stays empty; without labels all stay."""
     model, work = fit(docs, table(spark, sf_dir, "labels")), Work(spark)
-    own = work.save(model.apply(features(docs.select("doc_id", "text"))), "members")
-    draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 20)) / float(1 << 20) * whole
-    told = own.where("doc_id is not null").select("doc_id", (rates(own, WEIGHTS) >= draw).alias("stays"))
-    gone = told.groupBy(F.col("doc_id").alias("gone_")).agg(F.bool_or("stays").alias("stays")).where("not stays").select("gone_")
-    return docs.join(work.save(gone, "gone"), F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")
+    own = work.save(model.apply(features(docs.select(row_key().alias("doc_id"), "text"))), "members")
+    draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    gone = own.where(~(rates(own, WEIGHTS, fixed=F.col("p")[0] >= 0.5) > draw)).select("doc_id").distinct()
+    return without(docs, work.save(gone, "gone"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, table
+from .common import Work, fresh, row_key, table, without
 from .components import connected_components
 
 SHINGLE, SEED = 3, 42
@@ -38,14 +38,14 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Null texts have no words."""
+    """(doc_id, row, fp): fp is the fingerprint as a signed long, row the key of the row. Null texts have no words."""
 
     def run(batches):
         for b in batches:
             got = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got.view(np.int64))], ["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def counts_per_nibble(fp: Column) -> Column:
@@ -79,15 +79,20 @@ def links(work: Work, fps: DataFrame) -> DataFrame:
     return two.unionByName(stars.where("a <> b").distinct())
 
 
+def _rooted(work: Work, prints: DataFrame) -> DataFrame:
+    """(fp, low, root, child): the least doc_id of each fingerprint, and the least fingerprint that it reaches."""
+    fps = work.save(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fps")
+    label = connected_components(work, links(work, fps)).withColumnRenamed("node", "fp")
+    return work.save(fps.join(label, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("child")), "rooted")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row per input row. Fingerprints of at most 2 differing
     bits are linked; component_id is the smallest doc_id reachable. Null and wordless texts have
     fingerprint zero; a null doc_id stays null and takes its class's id."""
     work = Work(docs.sparkSession)
     prints = work.save(fingerprints(docs), "prints")
-    fps = work.save(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fps")
-    label = connected_components(work, links(work, fps)).withColumnRenamed("node", "fp")
-    rooted = work.save(fps.join(label, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("child")), "rooted")
+    rooted = _rooted(work, prints)
     least = rooted.join(rooted.where("child").select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("low").alias("component_id"))
     of = rooted.join(least, "root", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
     out = prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -99,11 +104,21 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that of the smallest doc_id; of rows that repeat its doc_id
-    one stays. Rows without a doc_id stay."""
-    found = near_duplicates(docs)
-    gone = Work(spark).save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct(), "gone")
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+    """One row of each component stays: that of the smallest doc_id, and of rows that share it the one of the
+    least key. Defined results: rows without a doc_id stay only where no row of the component has one, one of them;
+    rows that repeat a doc_id with other texts are judged by their own texts; rows equal in doc_id and text
+    are one group, of which one stays, whatever their other columns; null, empty and wordless texts are one group.
+    Texts are read whole. Extra columns of any name pass through. An empty table stays empty."""
+    work = Work(spark)
+    prints = work.save(fingerprints(docs), "prints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    rows = prints.join(_rooted(work, prints).select("fp", "root"), "fp").select("root", "doc_id", "row")
+    groups = work.save(rows.groupBy("root").agg(best.alias("best"), F.count("*").alias("n")).where("n > 1").select("root", F.col("best.row").alias("stays")), "groups")
+    gone = work.save(rows.join(groups, "root").where("row <> stays").select("row").distinct(), "gone")
+    again = work.save(prints.groupBy("row").count().where("count > 1").select("row").join(gone, "row", "left_anti"), "again")
+    kept = without(docs, gone)
+    if not again.limit(1).count():
+        return kept
+    (name,) = fresh(docs, "repeated_row")
+    repeated = docs.select("*", row_key().alias(name)).join(again.toDF(name), name, "left_semi").dropDuplicates([name]).drop(name)
+    return without(kept, again).unionByName(repeated.select(*kept.columns))

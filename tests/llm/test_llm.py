@@ -564,6 +564,91 @@ def test_query_equals_sql(spark, name):
     assert sorted((tuple(r) for r in df.select(*names).collect()), key=key) == sorted(want.fetchall(), key=key)
 
 
+CLASH = ("gone_", "bad_id", "Score", "lang_pred", "dropped_row", "row", "fp", "root", "d", "t", "id", "repeated_row", "tokens", "p", "a", "b", "n", "h")
+
+
+def stage_docs(spark, rows):
+    df = docs_of(spark, rows)
+    return df.select("*", *(F.concat(F.lit(c), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")).alias(c) for c in CLASH))
+
+
+def kept_by_stage(spark, stage, rows):
+    docs = stage_docs(spark, rows)
+    out = stage(spark, docs, SF)
+    assert out.columns == docs.columns and out.schema["Score"].dataType == docs.schema["Score"].dataType
+    got = out.collect()
+    assert all(r[c] == f"{c}{-1 if r.doc_id is None else r.doc_id}" for r in got for c in CLASH)
+    return sorted(((r.doc_id, r.text) for r in got), key=repr)
+
+
+EXTRA = [(None, None), (None, "x" * 300), (5, "another text of this id"), (5, "another text of this id"), (7, "12 34"), (30, "tie"), (31, "tie")]
+
+
+@needs_tables
+def test_stages_of_empty_tables(spark):
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, stage_docs(spark, []), SF).collect() == []
+
+
+@needs_tables
+def test_language_stage_drops_rows_without_letters_alone(spark):
+    rows = ODD + EXTRA + [(k, f"the house and the river {k}") for k in range(100, 140)]
+    want = [(d, t) for d, t in rows if t and any(c.isalpha() for c in t)]
+    assert kept_by_stage(spark, langid.stage, rows) == sorted(want, key=repr)
+
+
+@needs_tables
+def test_simhash_stage_equals_brute_force(spark):
+    rows = corpus() + ODD + EXTRA + [(5, corpus()[0][1])]
+    prints = [simhash_by_force(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 2]
+    label = components_by_force(links, range(len(rows)))
+    got = kept_by_stage(spark, simhash.stage, rows)
+    assert len(got) == len(set(label.values()))
+    for root in set(label.values()):
+        group = [rows[k] for k in label if label[k] == root]
+        low = min((d for d, _ in group if d is not None), default=None)
+        assert sum(got.count(x) for x in set(group) if x[0] == low) >= 1
+
+
+@needs_tables
+def test_decontamination_stage_equals_brute_force(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(SF + "/benchmark.parquet").collect()]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    long = next(t for _, t in items if len(words(t)) > 16)
+    rng = random.Random(8)
+    rows = ODD + EXTRA + [(40, long), (None, long), (41, " ".join(words_of(rng, 900)) + " " + " ".join(words(long)[:13])), (42, " ".join(words_of(rng, 900) + words(long)[:12])), (41, "clean text")]
+    windows = {tuple(w[i : i + 13]) for w in (words(t) for _, t in items) for i in range(len(w) - 12)}
+    hit = lambda t: any(tuple(w[i : i + 13]) in windows for w in [words(t)] for i in range(len(w) - 12))
+    want = [x for x in rows if not hit(x[1])]
+    assert len(want) == len(rows) - 3 and kept_by_stage(spark, decontaminate.stage, rows) == sorted(want, key=repr)
+
+
+@needs_tables
+def test_mixing_stage_keeps_the_clean_and_odd_rows(spark):
+    docs = spark.read.parquet(SF + "/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, None), (9001, ""), (9002, None)]
+    got = kept_by_stage(spark, mixing.stage, rows)
+    own = {r.doc_id: r for r in mixing.mix(docs, spark.read.parquet(SF + "/labels.parquet")).collect()}
+    assert {(None, None), (9001, ""), (9002, None)} <= set(got)
+    assert {d for d, r in own.items() if r.p_clean >= 0.5} <= {d for d, _ in got} and len(got) < len(rows)
+
+
+def test_rates_are_the_least_squares_optimum(spark):
+    rng = np.random.default_rng(5)
+    p, n = rng.dirichlet([0.4, 0.3, 0.3], 40), rng.integers(5, 80, 40)
+    rows = spark.createDataFrame([(k, int(n[k]), [float(x) for x in p[k]]) for k in range(40)], "doc_id long, tokens long, p array<double>")
+    rate = mixing.rates(rows, {"clean": 0.6, "low": 0.3, "toxic": 0.1}, most=60, tolerance=1e-9)
+    r = np.array([x.r for x in rows.select("doc_id", rate.alias("r")).orderBy("doc_id").collect()])
+    a = (p * n[:, None]).T
+    share = np.array([0.6, 0.3, 0.1])
+    target = share * min(a.sum(1)[k] / share[k] for k in range(3) if share[k])
+    slope = a.T @ np.linalg.solve(a @ a.T, a @ r - target)  # the optimality conditions, by another solver
+    assert (r >= 0).all() and np.abs(slope[r > 1e-6]).max() < 1e-3 and slope[r <= 1e-6].min(initial=0) > -1e-3
+
+
 @needs_tables
 def test_pipeline_stages(spark):
     import corpus_pipeline
