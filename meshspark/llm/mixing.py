@@ -150,22 +150,21 @@ def _inverse(m: list[list[float]]) -> list[list[float]]:
     return [row[n:] for row in a]
 
 
-def rates(members: DataFrame, weights: dict[str, float], budget: float | None = None, most: int = 40, tolerance: float = 1e-4, fixed: Column | None = None) -> Column:
-    """The rate as an expression of the columns tokens and p of members, which is read once a step. Where `fixed`
-    holds, the rate stays one, and the others are fitted around it."""
-    free = F.lit(True) if fixed is None else ~fixed
+def rates(work: Work, members: DataFrame, weights: dict[str, float], budget: float | None = None, most: int = 30, tolerance: float = 1e-4, fixed: Column | None = None) -> DataFrame:
+    """members (tokens, p and others) with their rate. Where `fixed` holds, the rate stays one, and the others are fitted
+    around it. Every fifth step is written out, so that plans stay small."""
     n = len(DOMAINS)
     a = [F.col("p")[k] * F.col("tokens") for k in range(n)]
-    sums = members.agg(*(F.sum(a[k]).alias(f"e{k}") for k in range(n)), *(F.sum(F.when(free, a[j] * a[k])).alias(f"g{j}{k}") for j in range(n) for k in range(j, n)), F.count("*").alias("rows")).first()
+    free = F.lit(True) if fixed is None else ~fixed
+    sums = members.agg(*(F.sum(a[k]).alias(f"e{k}") for k in range(n)), *(F.sum(F.when(free, a[j] * a[k])).alias(f"g{j}{k}") for j in range(n) for k in range(j, n))).first()
     have = [sums[f"e{k}"] or 0.0 for k in range(n)]
     share = [weights.get(d, 0.0) / (sum(weights.values()) or 1.0) for d in DOMAINS]
     if budget is None:
         budget = min((have[k] / share[k] for k in range(n) if share[k] > 0), default=0.0)
     target = [s * budget for s in share]
     gram = [[(sums[f"g{min(j, k)}{max(j, k)}"] or 0.0) * (1 + 1e-9 * (j == k)) for k in range(n)] for j in range(n)]
-    inverse, rate, was = _inverse(gram), F.lit(1.0), None
-    for _ in range(most):
-        now = members.agg(*(F.sum(a[k] * rate).alias(f"e{k}") for k in range(n))).first()
+    inverse, rate, now, was = _inverse(gram), F.lit(1.0), have, None
+    for turn in range(most):
         miss = [(now[k] or 0.0) - target[k] for k in range(n)]
         step = [sum(inverse[j][k] * miss[k] for k in range(n)) for j in range(n)]
         left = sum(x * y for x, y in zip(miss, step))  # what is minimised; no step raises it
@@ -173,7 +172,10 @@ def rates(members: DataFrame, weights: dict[str, float], budget: float | None =
             break
         was = left
         rate = F.when(free, F.greatest(F.lit(0.0), rate - sum(F.lit(step[k]) * a[k] for k in range(n)))).otherwise(F.lit(1.0))
-    return rate
+        if turn % 5 == 4:
+            members, rate = work.save(members.withColumn("rate", rate), "rates"), F.col("rate")
+        now = members.agg(*(F.sum(a[k] * rate).alias(f"e{k}") for k in range(n))).first()
+    return members.withColumn("rate", rate)
 
 
 def members(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -186,8 +188,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     """A row per document: doc_id, tokens, p_clean, p_low, p_toxic and rate."""
     work = Work(docs.sparkSession)
     own = work.save(members(docs.select("doc_id", "text"), labels, **options), "members")
-    rate = rates(own, weights or WEIGHTS, budget)
-    return own.select("doc_id", "tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), rate.alias("rate"))
+    own = rates(work, own, weights or WEIGHTS, budget)
+    return own.select("doc_id", "tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,5 +207,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model, work = fit(docs, table(spark, sf_dir, "labels")), Work(spark)
     own = work.save(model.apply(features(docs.select(row_key().alias("doc_id"), "text"))), "members")
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    gone = own.where(~(rates(own, WEIGHTS, fixed=F.col("p")[0] >= 0.5) > draw)).select("doc_id").distinct()
+    gone = rates(work, own, WEIGHTS, fixed=F.col("p")[0] >= 0.5).where(~(F.col("rate") > draw)).select("doc_id").distinct()
     return without(docs, work.save(gone, "gone"))

@@ -640,8 +640,8 @@ def test_rates_are_the_least_squares_optimum(spark):
     rng = np.random.default_rng(5)
     p, n = rng.dirichlet([0.4, 0.3, 0.3], 40), rng.integers(5, 80, 40)
     rows = spark.createDataFrame([(k, int(n[k]), [float(x) for x in p[k]]) for k in range(40)], "doc_id long, tokens long, p array<double>")
-    rate = mixing.rates(rows, {"clean": 0.6, "low": 0.3, "toxic": 0.1}, most=60, tolerance=1e-9)
-    r = np.array([x.r for x in rows.select("doc_id", rate.alias("r")).orderBy("doc_id").collect()])
+    got = mixing.rates(Work(spark), rows, {"clean": 0.6, "low": 0.3, "toxic": 0.1}, most=60, tolerance=1e-9)
+    r = np.array([x.r for x in got.select("doc_id", F.col("rate").alias("r")).orderBy("doc_id").collect()])
     a = (p * n[:, None]).T
     share = np.array([0.6, 0.3, 0.1])
     target = share * min(a.sum(1)[k] / share[k] for k in range(3) if share[k])
