@@ -2,9 +2,9 @@
 
 Documents are dealt in ranges of doc_id and tokenized; a shard holds about `shard_tokens` ids of whole
 documents, in ascending order. In each shard frequent pairs of neighbouring ids become nonterminals, round
-after round: a round counts all pairs exactly, takes those of at least `least` occurrences, the more
-frequent first where they overlap, and replaces them everywhere. No pair spans two documents. A shard
-stores the rules, the length that each rule expands to, the documents' lengths in symbols and ids, and the
+after round, until no pair occurs often enough to save the bytes of its rule (LEAST times). A round counts all pairs exactly,
+and replaces every pair that can be replaced so often, the more frequent first where they overlap. No pair spans two
+documents. A shard stores the rules, the length that each rule expands to, the documents' lengths in symbols and ids, and the
 symbols; so any range of ids is read by adding up expansion lengths and expanding the symbols it touches.
 
 A shard is framed by its length; a file is a run of shards, each followed by a line feed, and is written
@@ -16,7 +16,8 @@ doc_id of each document (the least i64 for null), u32 symbols and u32 ids of eac
 each rule, u32 length of each; the symbols.
 
 Defined results: a null text is empty and has the end id alone; repeated rows are encoded each; null ids
-come first; an empty table writes no shard."""
+come first; an empty table writes no shard. Ties of doc_id go by text. Texts may be of any length that fits a task's memory about
+thirty times over; a shard holds whole documents, so a longer one makes a longer shard. Other columns are not read."""
 
 from __future__ import annotations
 
@@ -28,12 +29,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Work, table
 
 END, NULL_ID = 0, -(1 << 63)
+LEAST = 7  # a rule has 12 bytes, and each use of it saves a symbol of 2
 HEAD = struct.Struct("<4sIqqIIIII")
 
 # The pattern of the byte-level pre-tokenizer, for texts of ASCII and Latin letters only, where Python's
@@ -54,20 +57,22 @@ def _byte_letters() -> dict[int, str]:
 
 class Encoder:
     """The tokenizers library behind a memory of what it has seen: pieces as the pre-tokenizer cuts them,
-    and above these, words between single blanks, which are whole pieces with the blank before them.
-    Tokenizers other than byte-level BPE encode whole texts without any memory."""
+    and above these, words between single blanks, which are whole pieces with the blank before them. Each distinct word of a
+    batch is looked up once. Tokenizers other than byte-level BPE encode whole texts without any memory."""
 
     _held: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, most_pieces: int = 400_000, most_common: int = 60_000, most_rare: int = 250_000):
+    def __init__(self, path: str, most_pieces: int = 400_000, most_words: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.pieces, self.words, self.rare = Tokenizer.from_file(path), {}, {}, {}
-        self.most = most_pieces, most_common, most_rare
+        self.tok, self.pieces, self.words, self.older = Tokenizer.from_file(path), {}, {}, {}
+        self.most = most_pieces, most_words
         parts = json.loads(self.tok.to_str())
         pre = parts["pre_tokenizer"] or {}
-        self.bare = parts["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and parts["model"]["type"] == "BPE"
+        byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        named = all("<|" in t["content"] for t in parts["added_tokens"])  # texts with such a mark go whole
+        self.bare = parts["normalizer"] is None and byte_level and parts["model"]["type"] == "BPE" and named and not parts["truncation"] and not parts["padding"]
         self.model, self.letters = self.tok.model, _byte_letters()
 
     @classmethod
@@ -90,12 +95,20 @@ class Encoder:
         return b"".join(map(self._piece, _PIECE.findall(text)))
 
     def _word(self, w: str) -> bytes:
-        """Ids of a blank and a word. Letters, and letters before one mark, need no pattern."""
-        if w.isalpha():
-            return self._piece(" " + w)
-        if w[-1:] in _MARKS and w[:-1].isalpha():
-            return self._piece(" " + w[:-1]) + self._piece(w[-1])
-        return self._cut(" " + w)
+        """Ids of a blank and a word. Letters, and letters before one mark, need no pattern. Of the words seen, the last
+        `most_words` and those before them are held."""
+        got = self.older.get(w)
+        if got is None:
+            if w.isalpha():
+                got = self._piece(" " + w)
+            elif w[-1:] in _MARKS and w[:-1].isalpha():
+                got = self._piece(" " + w[:-1]) + self._piece(w[-1])
+            else:
+                got = self._cut(" " + w)
+        if len(self.words) >= self.most[1]:
+            self.words, self.older = {}, self.words
+        self.words[w] = got
+        return got
 
     def _whole(self, raw: bytes) -> bytes | None:
         """Ids of a text that can't be cut at its blanks, else None."""
@@ -105,31 +118,34 @@ class Encoder:
             return self._cut(raw.decode())
         return None
 
-    def _rare(self, w: str) -> bytes:
-        """Ids of a blank and a word that is not among the common ones; met again, it may become one."""
-        got = self.rare.get(w)
-        if got is not None:
-            if len(self.words) < self.most[1]:
-                self.words[w] = got
-            return got
-        if len(self.rare) > self.most[2]:
-            self.rare.clear()
-        got = self.rare[w] = self._word(w)
-        return got
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        whole = self._whole(text.encode())
-        if whole is not None:
-            return whole
-        first, *rest = text.split(" ")
-        common, rare = self.words.get, self._rare
-        return self._cut(first) + b"".join([common(w) or rare(w) for w in rest])
-
-
-def frequent_pairs(pairs: np.ndarray, bucket: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, bucket) of those counted `least` times or more, at most `most`, the most frequent first, and
-    the most frequent alone of those in one bucket of hashes. Buckets that are too rare leave before the
+    def encode(self, texts: list[str], closing: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each ends), with the ids of `closing` after each text."""
+        first, rest = [], []  # what stands before the first blank, and the text if it is cut at its blanks
+        for t in texts:
+            whole = self._whole(t.encode())
+            first.append(self._cut(t.partition(" ")[0]) if whole is None else whole)
+            rest.append(t if whole is None else "")
+        words = pc.split_pattern(pa.array(rest, pa.large_string()), " ")
+        coded = words.values.dictionary_encode()
+        begin = words.offsets.to_numpy()
+        code = coded.indices.to_numpy().astype(np.int64)
+        known, word = self.words, self._word
+        own = [known.get(w) or word(w) for w in coded.dictionary.to_pylist()]
+        code[begin[:-1]] = np.arange(len(texts)) + len(own)
+        code = np.insert(code, begin[1:], len(own) + len(texts))
+        own += first
+        own.append(closing)
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        table, start = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
+        n = size[code]
+        ends = np.cumsum(n)
+        ids = table[np.repeat(start[code] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, ends[begin[1:] + np.arange(len(texts))] if len(texts) else ends
+
+
+def frequent_pairs(pairs: np.ndarray, bucket: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, bucket) of those counted `least` times or more, the most frequent first, and the most frequent alone of
+    those in one bucket of hashes; others have their turn in a later round. Buckets that are too rare leave before the
     exact count."""
     full = np.bincount(bucket, minlength=BUCKETS) >= least
     own = full[bucket]
@@ -137,7 +153,7 @@ def frequent_pairs(pairs: np.ndarray, bucket: np.ndarray, least: int, most: int)
     pair, n = pair[n >= least], n[n >= least]
     pair = pair[np.lexsort((pair, -n))]
     at = bucket_of(pair)
-    first = np.sort(np.unique(at, return_index=True)[1])[:most]
+    first = np.sort(np.unique(at, return_index=True)[1])
     return pair[first], at[first]
 
 
@@ -150,28 +166,30 @@ def bucket_of(pairs: np.ndarray) -> np.ndarray:
     return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.uint32)
 
 
-def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = 48, rounds: int = 3, most: int = 15_000):
-    """(symbols, ends in symbols, rules as pairs). ends: one past each document's last id."""
+def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEAST):
+    """(symbols, ends in symbols, rules as pairs). ends: one past each document's last id. Rounds go on until no pair
+    can be replaced `least` times."""
     sym, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
     rules = np.zeros((0, 2), np.uint32)
-    narrow = terminals + most <= 1 << 16
-    rank_at, pair_at = np.empty(BUCKETS, np.int32), np.zeros(BUCKETS, np.uint32 if narrow else np.uint64)
-    for _ in range(rounds):
-        if len(sym) < 2 or len(rules) >= most:
-            break
+    rank_at = np.empty(BUCKETS, np.int32)
+    while len(sym) > 1:
+        narrow = terminals + len(rules) <= 1 << 16
         pairs = (sym[:-1] << np.uint32(16)) | sym[1:] if narrow else (sym[:-1].astype(np.uint64) << np.uint64(32)) | sym[1:]
         bucket, own = bucket_of(pairs), ~last[:-1]
-        pair, at = frequent_pairs(pairs[own], bucket[own], least, most - len(rules))
+        pair, at = frequent_pairs(pairs[own], bucket[own], least)
         none = len(pair)
         if not none:
             break
+        pair_at = np.zeros(BUCKETS, pairs.dtype)
         rank_at.fill(none)
         rank_at[at], pair_at[at] = np.arange(none), pair
         rank = np.full(len(sym) + 1, none, np.int32)
         rank[1:-1] = np.where((pair_at[bucket] == pairs) & own, rank_at[bucket], none)
-        take = np.flatnonzero((rank[1:-1] < rank[:-2]) & (rank[1:-1] <= rank[2:]))
-        used = np.bincount(rank[1 + take], minlength=none) >= 2
+        best = np.flatnonzero((rank[1:-1] <= rank[:-2]) & (rank[1:-1] <= rank[2:]) & (rank[1:-1] < none))
+        run = np.diff(best, prepend=-2) > 1  # in a row of equal pairs every other one
+        take = best[(best - best[run][np.cumsum(run) - 1]) % 2 == 0]
+        used = np.bincount(rank[1 + take], minlength=none) >= least
         take = take[used[rank[1 + take]]]
         if not len(take):
             break
@@ -279,8 +297,7 @@ def write(docs: DataFrame, at: str, tokenizer: str, shard_tokens: int = 1 << 19,
         for b in batches:
             for low in range(0, b.num_rows, 2000):
                 own = b.slice(low, 2000)
-                coded = [coder.encode(t or "") + closing for t in own.column(1).to_pylist()]
-                ids, ends = np.frombuffer(b"".join(coded), "<u4"), np.cumsum([len(x) // 4 for x in coded])
+                ids, ends = coder.encode([t or "" for t in own.column(1).to_pylist()], closing)
                 names, first = own.column(0).to_pylist(), 0
                 while first < len(ends):  # documents up to the one that fills the shard
                     base = int(ends[first - 1]) if first else 0

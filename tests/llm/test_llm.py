@@ -370,9 +370,39 @@ def test_encoder_equals_the_library():
     rng = random.Random(6)
     odd = ["", " ", "  ", "a  b", "a   b", " a \n b\n\n c  d\t e", "don't 'll x's'", "\n\n\n a", "a ", "a  ", "é à ñ 12 3.5 _x_ x_y", "<|endoftext|> a", "日本 a", "a b", "x\n \ny", "\r\n a\tb \t c", "½ ² a\x1cb", "ªº ×÷ ʭ", "\x00\x7f"]
     odd += ["".join(rng.choice("ab é'\n\t .,_1Z") for _ in range(rng.randrange(1, 60))) for _ in range(2000)]
-    coder = tokens.Encoder(tokens.default_tokenizer(), 50, 20, 50)
-    for text, want in zip(odd, library_ids(odd)):
-        assert np.frombuffer(coder.encode(text), "<u4").tolist() == want, repr(text)
+    coder = tokens.Encoder(tokens.default_tokenizer(), 50, 20)
+    for k in range(0, len(odd), 100):
+        ids, ends = coder.encode(odd[k : k + 100], b"\1\0\0\0")
+        for text, want, low, high in zip(odd[k:], library_ids(odd[k : k + 100]), [0, *ends], ends):
+            assert ids[low:high].tolist() == [*want, 1], repr(text)
+    ids, ends = coder.encode([])
+    assert not len(ids) and not len(ends)
+
+
+@needs_tables
+def test_encoder_equals_the_library_on_the_table(spark):
+    texts = [r.text or "" for r in spark.read.parquet(SF + "/documents.parquet").collect()]
+    ids, ends = tokens.Encoder(tokens.default_tokenizer()).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == library_ids(texts)
+
+
+@pytest.mark.parametrize("least", [2, 7])
+def test_grammar_stops_when_no_pair_repays_its_rule(least):
+    rng = np.random.default_rng(3)
+    for ids in (np.full(500, 7), rng.integers(0, 6, 3000), np.tile([1, 2, 3], 400), np.zeros(0, np.int64)):
+        ends = np.unique(np.append(rng.integers(0, len(ids) + 1, 4), len(ids)))
+        sym, cut, rules = tokens.grammar(ids.astype("<u4"), ends, 100, least)
+        seen = {}
+        for a, b in zip([0, *cut], cut):
+            last = None
+            for i in range(a, b - 1):
+                pair = (int(sym[i]), int(sym[i + 1]))
+                if last != (i - 1, pair):  # in a row of equal ids every other pair
+                    seen[pair] = seen.get(pair, 0) + 1
+                    last = (i, pair)
+                else:
+                    last = None
+        assert all(n < least for n in seen.values()) and (len(rules) or len(ids) < 9)
 
 
 def test_token_shards_round_trip(spark, tmp_path):
