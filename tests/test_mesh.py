@@ -310,3 +310,59 @@ def test_sweep_is_no_component_search(spark):
         for _, _, a, b in rows:
             pid[a] = pid[b] = min(pid[a], pid[b])
     assert got == pid and len(set(pid.values())) > 1
+
+
+def grid_graph(*sides):
+    """Links of a grid of cells, by shared corners."""
+    at = list(itertools.product(*(range(s) for s in sides)))
+    rows = [(a, b, 2 ** sum(x == y for x, y in zip(p, q))) for (a, p), (b, q) in itertools.permutations(enumerate(at), 2) if all(abs(x - y) <= 1 for x, y in zip(p, q))]
+    return partition.Graph(*(np.array(c) for c in zip(*rows)), len(at))
+
+
+def test_low_modes_equal_the_dense_solver(monkeypatch):
+    g = grid_graph(14, 9, 5)
+    a = np.zeros((g.n, g.n))
+    a[g.i, g.j] = -g.w
+    a[np.arange(g.n), np.arange(g.n)] = np.bincount(g.i, g.w)
+    monkeypatch.setattr(partition, "DENSE", 60)
+    x = partition.low_modes(g, 4)
+    x /= np.linalg.norm(x, axis=0)
+    assert np.allclose([v @ a @ v for v in x.T], np.linalg.eigvalsh(a)[1:5], rtol=1e-6)
+    star = partition.Graph(np.r_[np.zeros(400, int), 1:401], np.r_[1:401, np.zeros(400, int)], np.ones(800), 401)
+    assert partition.low_modes(star, 2).shape == (401, 2)
+
+
+def test_region_grow():
+    line = partition.Graph(np.r_[0:9, 1:10], np.r_[1:10, 0:9], np.ones(18), 10)
+    assert partition.region_grow(line, 4).tolist() == [0] * 4 + [1] * 6
+    # from the middle of a line the first growth cuts the rest in two, the second one doesn't
+    order = np.array([5, 0, 1, 2, 3, 4, 6, 7, 8, 9])
+    name = np.argsort(order)
+    moved = partition.Graph(name[line.i], name[line.j], line.w, 10)
+    side = partition.region_grow(moved, 4)
+    assert (side == 0).sum() == 4 and partition.sides_connected(moved, side)
+    apart = partition.Graph(np.array([0, 1, 2, 3]), np.array([1, 0, 3, 2]), np.ones(4), 6)
+    assert partition.region_grow(apart, 3).tolist() == [0, 0, 0, 1, 1, 1] and apart.components().tolist() == [0, 0, 2, 2, 4, 5]
+    empty = partition.Graph(np.zeros(0, int), np.zeros(0, int), np.zeros(0), 3)
+    assert empty.reached(1).tolist() == [1] and partition.sides_connected(empty, np.array([0, 1, 1])) is False
+
+
+def test_repair_equals_the_greedy_rule(spark):
+    rng = np.random.default_rng(9)
+    for n, parts in ((20, 3), (17, 5)):
+        a = rng.integers(0, 4, (n, n)) * (rng.random((n, n)) < 0.3)
+        a = np.triu(a, 1) + np.triu(a, 1).T
+        i, j = np.nonzero(a)
+        graph = spark.createDataFrame([(int(x), int(y), int(a[x, y])) for x, y in zip(i, j)], "i long, j long, w long")
+        first = (rng.random(n) ** 2 * parts).astype(int)
+        got = [r.part for r in partition.repair_sizes(graph, spark.createDataFrame([(k, int(p)) for k, p in enumerate(first)], "pos long, part int"), n, parts).orderBy("pos").collect()]
+        want = [share(n, parts, k, 1) for k in range(parts)]
+        count = [list(first).count(k) for k in range(parts)]
+        name = dict(zip(sorted(range(parts), key=lambda k: (-count[k], k)), sorted(range(parts), key=lambda k: (-want[k], k))))
+        own = [name[k] for k in first]
+        while any(own.count(k) > want[k] for k in range(parts)):
+            source = next(k for k in range(parts) if own.count(k) > want[k])
+            options = [(-sum(a[e, m] for m in range(n) if own[m] == k), k, e) for k in range(parts) if own.count(k) < want[k] for e in range(n) if own[e] == source]
+            _, k, e = min(options)
+            own[e] = k
+        assert got == own

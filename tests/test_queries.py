@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from meshspark.plans import mesh_queries, table_queries
+from meshspark.plans import file_queries, mesh_queries, table_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = [*mesh_queries.queries(), *table_queries.queries()]
+NAMES = [*mesh_queries.queries(), *file_queries.queries(), *table_queries.queries()]
 
 
 @pytest.fixture(scope="module")
@@ -39,4 +39,5 @@ def test_query_equals_sql(spark, sql, name):
 
 def test_every_query_has_sql():
     assert set(mesh_queries.queries()) == set(mesh_queries.oracle_sql())
+    assert set(file_queries.queries()) == set(file_queries.oracle_sql())
     assert set(table_queries.queries()) == set(table_queries.oracle_sql())
