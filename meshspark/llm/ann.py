@@ -9,11 +9,16 @@ starts at the learned one, which holds `reach` of the sample's true neighbours,
 until it holds k codes or the whole part, so that no query comes back short. Each part passes on its
 best k a query; these meet in one last ranking.
 
-Queries are a stated set and are broadcast in blocks of at most `block` vectors.
+Queries are a stated set and are broadcast in blocks of at most `block` vectors, one block at a time: its best are
+written out and the broadcast is dropped before the next.
 
-Vectors take no part if null, zero, of null or non-finite components, or of another length than most
-of the sample. Equal scores go to the smaller vec_id; repeated vec_ids are candidates each, but a query
-never finds its own vec_id. A null vec_id takes no part."""
+Scores are sums in the order of the components, of vectors scaled by powers of two, so that equal vectors have equal scores
+wherever they stand and no size over- or underflows; matrix products only tell which candidates can be among the best.
+
+Defined results: vectors take no part if null, empty, zero, or of null or non-finite components. Vectors of several lengths
+are searched by length, as a cosine needs two of one length. Equal scores go to the smaller vec_id; repeated vec_ids are
+candidates each, but a query never finds its own vec_id. A null vec_id takes no part. Other columns are not read. An
+empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Work, table
 
 
 class Codes:
@@ -83,43 +88,42 @@ class Index:
         return rows[np.bitwise_count(self.code[rows] ^ code).sum(1) <= radius]
 
 
-def _vectors(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, vectors) of those that take part."""
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Lengths, summed in the order of the components."""
+    total = np.zeros(len(x))
+    for c in x.T:
+        total += c * c
+    return np.sqrt(total)
+
+
+def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, vectors) of those that take part, scaled by powers of two so that the largest component is about one."""
     rows, out = [], []
     for i, v in enumerate(column):
-        if v.is_valid and (dim is None or len(v) == dim) and len(v):
-            values = v.values
-            if not values.null_count:
-                rows.append(i)
-                out.append(values.to_numpy().astype(np.float64))
-    if not rows or dim is None:
-        return np.array(rows, np.int64), out
+        if v.is_valid and len(v) == dim and not v.values.null_count:
+            rows.append(i)
+            out.append(v.values.to_numpy().astype(np.float64))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros((0, dim))
     x = np.stack(out)
-    fine = np.isfinite(x).all(1)
-    with np.errstate(over="ignore"):
-        size = np.linalg.norm(np.where(fine[:, None], x, 0), axis=1)
-    fine &= (size > 0) & np.isfinite(size)
-    return np.array(rows, np.int64)[fine], x[fine]
+    top = np.abs(x).max(1)
+    fine = np.isfinite(top) & (top > 0)
+    return np.array(rows, np.int64)[fine], np.ldexp(x[fine], -np.frexp(top[fine])[1][:, None])
 
 
-def learn(vectors: DataFrame, k: int = 5, sample: int = 2000, reach: float = 0.99) -> tuple[Codes, int] | None:
-    """(codes, length of vectors) from the rows with the `sample` smallest hashes of vec_id."""
-    rows = vectors.where("vec_id is not null and embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
-    got = [x for x in _vectors(rows.column(0).combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float32())))[1] if np.isfinite(x).all() and x.any()]
-    if not got:
-        return None
-    size = np.bincount([len(x) for x in got])
-    dim = int(size.argmax())
-    return Codes(np.stack([x for x in got if len(x) == dim]), k, reach), dim
+def learn(vectors: DataFrame, dim: int, k: int = 5, sample: int = 2000, reach: float = 0.99) -> Codes | None:
+    """Codes from the rows of this length with the `sample` smallest hashes of vec_id."""
+    rows = vectors.where(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
+    x = _vectors(rows.column(0).combine_chunks(), dim)[1] if rows.num_rows else np.zeros((0, dim))
+    return Codes(x, k, reach) if len(x) else None
 
 
-def _search(vectors: DataFrame, codes: Codes, dim: int, ids: np.ndarray, queries: np.ndarray, k: int, rows: int) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((codes, ids, queries))
+def _search(vectors: DataFrame, shared, dim: int, k: int, rows: int) -> DataFrame:
+    """(query_id, vec_id, score): each part's best for the codes, ids and queries that were broadcast."""
 
     def best(own: np.ndarray, x: np.ndarray):
         c, qid, q = shared.value
-        index, size, qcode = Index(c.encode(x)), np.linalg.norm(x, axis=1), c.encode(q)
-        qsize = np.linalg.norm(q, axis=1)
+        index, size, qcode, qsize = Index(c.encode(x)), _norms(x), c.encode(q), _norms(q)
         out = []
         for i in range(len(qid)):
             radius, want = c.radius, min(k, int((own != qid[i]).sum()))
@@ -129,10 +133,13 @@ def _search(vectors: DataFrame, codes: Codes, dim: int, ids: np.ndarray, queries
                 if len(at) >= want or radius >= c.bits:
                     break
                 radius = min(c.bits, radius + max(1, c.bits // 16))
-            score = (x[at] @ q[i]) / (size[at] * qsize[i])
-            if len(at) > k:  # the k best and all that tie with the last
-                keep = score >= np.partition(score, len(at) - k)[len(at) - k]
-                at, score = at[keep], score[keep]
+            rough = (x[at] @ q[i]) / (size[at] * qsize[i])
+            if len(at) > k:  # the k best and all that may tie with the last
+                at = at[rough >= np.partition(rough, len(at) - k)[len(at) - k] - 1e-9]
+            dot = np.zeros(len(at))
+            for a, b in zip(x[at].T, q[i]):
+                dot += a * b
+            score = dot / (size[at] * qsize[i])
             top = np.lexsort((own[at], -score))[:k]
             out.append((np.full(len(top), qid[i]), own[at[top]], score[top]))
         if out:
@@ -158,17 +165,19 @@ def _search(vectors: DataFrame, codes: Codes, dim: int, ids: np.ndarray, queries
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 8192, rows: int = 50_000) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of vectors (vec_id, embedding) with
     another vec_id. queries has the same columns."""
-    spark = vectors.sparkSession
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
-    known, out = learn(vectors, k), spark.createDataFrame([], "query_id long, vec_id long, score double")
-    stated = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
-    if known:
-        codes, dim = known
-        rest = iter(stated.toLocalIterator(prefetchPartitions=True))
+    spark, work = vectors.sparkSession, Work(vectors.sparkSession)
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
+    out = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    stated = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
+    for dim in sorted(r[0] for r in stated.select(F.size("embedding")).distinct().collect()):
+        codes = learn(vectors, dim, k)
+        rest = iter(stated.where(F.size("embedding") == dim).toLocalIterator(prefetchPartitions=True)) if codes else iter(())
         while some := list(itertools.islice(rest, block)):
             at, x = _vectors(pa.array([r.embedding for r in some], pa.list_(pa.float64())), dim)
             if len(at):
-                out = out.union(_search(vectors, codes, dim, np.array([r.vec_id for r in some])[at], x, k, rows))
+                shared = spark.sparkContext.broadcast((codes, np.array([r.vec_id for r in some])[at], x))
+                out = out.union(work.save(_search(vectors, shared, dim, k, rows), "best"))
+                shared.destroy()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -14,7 +14,9 @@ The payloads cross the network once, dealt by page_id, so a payload of many page
 
 Defined results: null html is an empty payload; a null page_id counts as larger than any other and
 is left empty in the header; rows that repeat a response's page_id and payload are responses too; line
-ends, blanks and control characters in a URL are written as %XX, and a null URL is left out."""
+ends, blanks and control characters in a URL are written as %XX, and a null URL is left out. Rows that repeat a page_id share
+its record id. Payloads may be of any length that fits a Spark value. Columns other than these three are not read. An
+empty table makes an empty archive."""
 
 from __future__ import annotations
 
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import Work, table
 
 SMALLEST, EOL = 100, "\r\n"
+DATE = "1970-01-01T00:00:00Z"  # pages carry no time of capture; another may be given
 
 
 def _url(url: Column) -> Column:
@@ -32,7 +35,7 @@ def _url(url: Column) -> Column:
     return url
 
 
-def _header(length: Column) -> Column:
+def _header(length: Column, date: str) -> Column:
     """The header block of a record, from columns page_id, url, digest, record_type and refers_to."""
 
     def urn(c):
@@ -46,6 +49,7 @@ def _header(length: Column) -> Column:
         F.lit("WARC/1.1" + EOL),
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", urn("page_id")),
+        line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", _url(F.col("url"))), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(revisit, F.concat(line("WARC-Refers-To", urn("refers_to")), F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{EOL}"))).otherwise(""),
@@ -54,15 +58,15 @@ def _header(length: Column) -> Column:
     )
 
 
-def write_archive(pages: DataFrame, at: str, work: Work, smallest: int = SMALLEST) -> None:
+def write_archive(pages: DataFrame, at: str, work: Work, smallest: int = SMALLEST, date: str = DATE) -> None:
     """Write pages (page_id, url, html) as the tables at/payloads and at/headers."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     heads = work.save(keyed.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("n")), "heads")
-    owners = heads.groupBy("digest").agg(F.min("page_id").alias("owner"))
+    owners = work.save(heads.groupBy("digest").agg(F.min("page_id").alias("owner")), "owners")  # saved, so that a hot digest can be split in the join
     other = (F.col("n") >= smallest) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     records = heads.join(owners, "digest").withColumn("record_type", F.when(other, "revisit").otherwise("response")).withColumn("refers_to", F.when(other, F.col("owner")))
-    records.select("digest", _header(F.col("n")).alias("header")).write.option("compression", "zstd").parquet(f"{at}/headers")
+    records.select("digest", _header(F.col("n"), date).alias("header")).write.option("compression", "zstd").parquet(f"{at}/headers")
     none = F.lit(-(1 << 63)).cast("long")  # plain keys, so that the grouping keeps the join's partitioning
     first = owners.select(F.coalesce("owner", none).alias("key"), "digest")
     kept = keyed.select(F.coalesce("page_id", none).alias("key"), "digest", "payload").join(first, ["key", "digest"], "left_semi")

@@ -494,13 +494,36 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
         own = sorted(got[q])
         assert [r for r, _, _ in own] == [1, 2, 3, 4, 5] and all(abs(s[v] - c) < 1e-12 for _, v, c in own)
         hit += len(set(best.tolist()) & {v for _, v, _ in own})
+    assert len({c for q in (100, 150) for _, _, c in got[q]}) == 1  # equal vectors, equal scores
     assert hit >= 0.9 * 60 and set(got) == set(range(0, 600, 50))
     assert [v for _, v, _ in sorted(got[100])] == [101, 102, 103, 104, 105]
+    for scale in (1e-200, 1e200, 5e-324 * 2**60):  # sizes that over- or underflow when squared
+        tiny = spark.createDataFrame([(k, [float(v * scale) for v in r]) for k, r in enumerate(x[:60])] + [(100, [1.0, 2.0]), (150, [2.0, 1.0])], "vec_id long, embedding array<double>")
+        own = ann.nearest(tiny, tiny.where("vec_id % 50 = 0")).collect()
+        assert len(own) == 12 and {(r.query_id, r.vec_id) for r in own if r.query_id >= 100} == {(100, 150), (150, 100)}
+        s = x[:60] @ x[50] / (n[:60] * n[50])
+        assert all(abs(r.score - s[r.vec_id]) < 1e-3 for r in own if r.query_id == 50)
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
     assert ann.nearest(few, few.where("vec_id = 0")).count() == 2
     assert ann.nearest(df.limit(0), df.limit(0)).collect() == []
 
 
+@needs_tables
+def test_nearest_query_recall(spark):
+    rows = spark.read.parquet(SF + "/embeddings.parquet").collect()
+    rows = [(r.vec_id, np.array(r.embedding, np.float64)) for r in rows if r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and np.any(r.embedding)]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got, hit, every = {}, 0, 0
+    for r in ann.query(spark, SF).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for k in np.flatnonzero(ids % 50 == 0):
+        score = np.where(ids == ids[k], -2, x @ x[k])
+        best = set(ids[np.lexsort((ids, -score))[:5]].tolist())
+        hit, every = hit + len(best & got[int(ids[k])]), every + 5
+    assert hit >= 0.9 * every
+
+
 def test_index_finds_every_code_within_the_radius():
     rng = np.random.default_rng(10)
     code = rng.integers(0, 256, (500, 8), dtype=np.uint8)
