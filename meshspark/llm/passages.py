@@ -6,8 +6,8 @@ window: a node of the Cartesian tree over the hashes, of those that span `width`
 passages these nodes are the runs of one sliding minimum, so they are found without building the rest of the tree,
 in time that does not depend on its shape. A band is two functions; where a window of one meets a window of the other
 (an interval join inside the text), all passages share both least shingles, the key of the run. Two passages with
-a Jaccard similarity of s share no band with probability (1 - s^2)^bands: at 0.8, one such pair in 3,500 is missed
-with 8 bands. Bands are worked through `wave` at a time, so that the work tables stay those of one wave; after the first, a key whose
+a Jaccard similarity of s share no band with probability of about (1 - s^2)^bands: of 20,000 lone pairs with one changed word
+(0.804) 11 were missed with 8 bands, 78 with 6, 418 with 4. Bands are worked through `wave` at a time, so that the work tables stay those of one wave; after the first, a key whose
 runs are all in spans of one class already can tell nothing new and is left.
 
 Runs are dealt by their key, packed in arrays; equal runs of one batch of texts go as one. Where the
