@@ -12,6 +12,7 @@ from ..schema import MOST_IDS, PERIODIC, Mesh, MeshError
 from ..store import numbered, pinned
 
 KEYS = [f"k{i}" for i in range(4)]
+BROADCAST = 1_000_000  # rows of two longs
 
 
 def cells(mesh: Mesh) -> DataFrame:
@@ -87,9 +88,14 @@ def zone_corners(mesh: Mesh, type_: int = PERIODIC) -> DataFrame:
 
 
 def _renamed(mesh: Mesh, names: DataFrame, value) -> DataFrame:
-    """cells with each id replaced, once, by its value among names (vid, new)."""
-    flat = corners(cells(mesh)).join(names, "vid", "left")
-    return gather(flat.select("pos", "slot", value.alias("vid")))
+    """cells with each id replaced, once, by its value among names (vid, new). Names are those of periodic facets, a small
+    part of all; up to BROADCAST of them are broadcast. Only elements that hold one are put together again."""
+    every, few = cells(mesh), pinned(names)
+    held = corners(every).join(F.broadcast(few) if few.count() <= BROADCAST else few, "vid")
+    entry = F.struct("slot", value.alias("vid"))
+    changed = held.groupBy("pos").agg(F.map_from_entries(F.collect_list(entry)).alias("new"))
+    ids = F.transform("ids", lambda v, k: F.coalesce(F.col("new")[k], v))
+    return every.join(changed, "pos", "left").select("pos", F.when(F.col("new").isNull(), F.col("ids")).otherwise(ids).alias("ids"))
 
 
 def min_merge(mesh: Mesh) -> DataFrame:
