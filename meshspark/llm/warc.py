@@ -98,10 +98,15 @@ def read_archive(spark: SparkSession, at: str) -> DataFrame:
     return joined.select(F.expr("try_cast(nullif(id, '') as bigint)").alias("page_id"), F.expr("nullif(url, '')").alias("url"), "record_type", F.expr("try_cast(nullif(to, '') as bigint)").alias("refers_to"), "header", "payload", "payload_bytes", checked.alias("payload_digest"))
 
 
+def _record() -> Column:
+    """The exact bytes of a record, from the columns of an archive that was read."""
+    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    return F.concat(F.col("header").cast("binary"), F.lit(EOL.encode()), block, F.lit(2 * EOL).cast("binary"))
+
+
 def records(archive: DataFrame) -> DataFrame:
     """(page_id, record): the exact bytes of each record of an archive that was read."""
-    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return archive.select("page_id", F.concat(F.col("header").cast("binary"), F.lit(EOL.encode()), block, F.lit(2 * EOL).cast("binary")).alias("record"))
+    return archive.select("page_id", _record().alias("record"))
 
 
 def export(archive: DataFrame, at: str) -> None:
@@ -111,10 +116,17 @@ def export(archive: DataFrame, at: str) -> None:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages, reads the archive, restores the bytes of every record, and reports the payloads found in them."""
     work = Work(spark)
     at = work.path("archive")
     write_archive(table(spark, sf_dir, "pages"), at, work)
-    found = read_archive(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = read_archive(spark, at).withColumn("record", _record())
+    head = F.octet_length("header") + len(EOL)
+    block = F.substring("record", head + 1, F.octet_length("record") - head - 2 * len(EOL))
+    payload = F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(block)  # a revisit's is the one it refers to
+    found = found.select("page_id", "payload_digest", "record_type", "refers_to", payload.alias("body"))
+    sound = F.when(F.sha2("body", 256) == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("record without its payload")))
+    found = found.select("page_id", F.octet_length("body").cast("long").alias("payload_bytes"), sound.alias("payload_digest"), "record_type", "refers_to")
     return work.result(found)
 
 
