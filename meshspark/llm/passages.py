@@ -10,9 +10,12 @@ a Jaccard similarity of s share no band with probability of about (1 - s^2)^band
 (0.804) 11 were missed with 8 bands, 78 with 6, 418 with 4. Bands are worked through `wave` at a time, so that the work tables stay those of one wave; after the first, a key whose
 runs are all in spans of one class already can tell nothing new and is left.
 
+First the distinct shingles of each 2 MB of texts are brought together, and only passages go on that can reach the
+threshold given how many of their shingles occur twice in the table; that loses none, and texts are not read again.
+
 Runs are dealt by their key, packed in arrays; equal runs of one batch of texts go as one. Where the
 surroundings of a run (all shingles of its passages) occur twice, all its passages are repeats and need no verification;
-that is decided by the key and a 64-bit hash of the words beside it. Where a key has several kinds of surroundings, one run
+that is decided by the key and a 64-bit hash of the shingles beside it. Where a key has several kinds of surroundings, one run
 of each kind is gathered with its shingles, and passages that can reach the threshold, given how many of their
 shingles are anywhere in the other runs, are verified by the exact similarity of their shingle sets. Overlapping
 passages of one text are not compared.
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLD, Work, flat, mix, pieces, table
+from .common import GOLD, Spans, Work, _powers, flat, mix, pieces, table
 from .components import connected_components
 from .decontaminate import Words
 from .repeats import joined
@@ -80,18 +83,218 @@ def compact_windows(values: list[np.ndarray], text: np.ndarray, width: int) -> t
     return first, edge[np.searchsorted(edge, first)], key[first]
 
 
-class Runs:
-    """The runs of some texts in some bands: the text, first shingle in it, passages, key, and a hash of the words."""
+def _ordered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places by value, values, where a value begins); equal values stand in the order of their places."""
+    if len(h) > 1 << 20:
+        pos = np.argsort(h, kind="stable")
+    else:  # the place in the low bits; values that differ in these alone may take turns and then begin anew
+        low = np.uint64(20)
+        v = h >> low << low | np.arange(len(h), dtype=np.uint64)
+        v.sort()
+        pos = (v & np.uint64((1 << 20) - 1)).astype(np.int64)
+    h = h[pos]
+    return pos, h, np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+
+
+def _loose(pos: np.ndarray, new: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
+    """Whether each shingle is in a passage that has some shingle twice."""
+    a, b = pos[:-1][~new[1:]], pos[1:][~new[1:]]
+    near = (b - a < width) & (text[a] == text[b])
+    a, b = a[near], b[near]
+    low = np.maximum(b - width + 1, np.searchsorted(text, text[a], "left"))
+    high = np.minimum(a + width, np.searchsorted(text, text[a], "right"))
+    n = len(text) + 1
+    return np.cumsum(np.bincount(low, minlength=n) - np.bincount(high, minlength=n))[:-1] > 0
+
+
+def able_starts(held: np.ndarray, loose: np.ndarray, text: np.ndarray, width: int, threshold: float) -> np.ndarray:
+    """Starts of the passages that can have a near-duplicate. held: shingles that occur twice or more. loose: those
+    that occur in a passage with fewer than `width` kinds of shingles. Of `width` kinds a passage shares 2t / (1 + t) at
+    least with one of as many, and t with any; all shared ones are held, and loose where the other passage has fewer. Of a
+    passage with fewer kinds all shingles are loose, and no more than 1 - t of `width` are not held."""
+    n = len(text) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+
+    def within(cells: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(cells)])
+        return total[width:] - total[:-width]
+
+    able = within(held) >= math.ceil(2 * threshold / (1 + threshold) * width - 1e-9)
+    able |= within(held & loose) >= math.ceil(threshold * width - 1e-9)
+    return np.flatnonzero(able & (text[width - 1 :] == text[:n]))
+
+
+def _chunk(batches):
+    """Texts in chunks of 2 MB (a longer one alone), compressed, so that they take one place in every later pass."""
+    from pyspark import TaskContext
+
+    chunk = TaskContext.get().partitionId() << 32
+    for b in batches:
+        body, offsets = flat(b.column(2))
+        for i, j in pieces(offsets, 1 << 21):
+            ends, raw = offsets[i : j + 1] - offsets[i], body[offsets[i] : offsets[j]]
+            data = pa.compress(raw.tobytes(), "zstd", asbytes=True) if len(raw) else b""
+            rows = [pa.array([x.slice(i, j - i).to_pylist()], pa.list_(pa.int64())) for x in (b.column(0), b.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), *rows, pa.array([ends.astype(np.int64).tobytes()]), pa.array([data])], ["chunk", "ids", "d", "ends", "body"])
+            chunk += 1
+
+
+def _shingles(ends: pa.Scalar, data: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the shingles of a chunk."""
+    offsets, text, h = np.frombuffer(ends.as_py(), np.int64), [], []
+    body = np.frombuffer(pa.decompress(data.as_buffer(), int(offsets[-1]), "zstd"), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
+    for i, j in pieces(offsets):
+        _, of, own = Words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).grams(SHINGLE)
+        text.append(of + i)
+        h.append(own)
+    return np.concatenate(text), np.concatenate(h)
+
+
+def _buckets_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Where in values in order each bucket begins, by their first 24 bits, and the end."""
+    return np.searchsorted(h >> np.uint64(40), (np.arange(buckets + 1) * (1 << 24) // buckets).astype(np.uint64))
+
+
+def _send(width: int, buckets: int):
+    """(bucket, chunk, n, marks): the distinct shingles of each chunk, 32 bits beside those of the bucket, then a
+    bit for each that is loose."""
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                text, h = _shingles(b.column(1)[k], b.column(2)[k])
+                if not len(h):
+                    continue
+                pos, h, new = _ordered(h)
+                loose = np.logical_or.reduceat(_loose(pos, new, text, width)[pos], np.flatnonzero(new))
+                h = h[new]
+                cut, low = _buckets_of(h, buckets), (h >> np.uint64(8)).astype(np.uint32)
+                where = np.flatnonzero(np.diff(cut))
+                data = [low[x:y].tobytes() + np.packbits(loose[x:y]).tobytes() for x, y in zip(cut[where], cut[where + 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(np.full(len(where), b.column(0)[k].as_py())), pa.array(np.diff(cut)[where], pa.int64()), pa.array(data, pa.binary())], ["bucket", "chunk", "n", "marks"])
+
+    return run
+
+
+def _mark(batches):
+    """(chunk, bucket, marks): a bit for each shingle sent that another chunk has sent as well, then one for each that
+    is loose in any. Shingles that agree by chance in the bits sent are only marked too often."""
+    got = {}
+    for b in batches:
+        for bucket, chunk, n, data in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3)):
+            got.setdefault(bucket, []).append((chunk, n, data.as_buffer()))
+    while got:
+        bucket, sent = got.popitem()
+        low = np.concatenate([np.frombuffer(data, np.uint32, n) for _, n, data in sent])
+        loose = np.concatenate([np.unpackbits(np.frombuffer(data, np.uint8, offset=4 * n), count=n) for _, n, data in sent])
+        v = low.astype(np.uint64) << np.uint64(32) | np.arange(len(low), dtype=np.uint64)
+        v.sort()
+        at = (v & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.diff(v >> np.uint64(32), prepend=np.uint64(1 << 63)))
+        size = np.diff(first, append=len(v))
+        held, any_ = np.zeros(len(v), bool), np.zeros(len(v), bool)
+        held[at] = np.repeat(size > 1, size)
+        any_[at] = np.repeat(np.maximum.reduceat(loose[at], first), size)
+        cut = np.cumsum([0] + [n for _, n, _ in sent])
+        marks = [np.packbits(held[x:y]).tobytes() + np.packbits(any_[x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in sent], pa.int64()), pa.array([bucket] * len(sent), pa.int32()), pa.array(marks, pa.binary())], ["chunk", "bucket", "marks"])
+
+
+def _keep(width: int, threshold: float, buckets: int):
+    """(id, s, n, x) of texts with passages that can have a near-duplicate: first shingle and number of shingles of
+    each stretch of such passages, and the shingles. Rows come by chunk: its marks by bucket, then its texts."""
+
+    def run(batches):
+        marks = {}
+        for b in batches:
+            for k in range(b.num_rows):
+                if not b.column(2)[k].is_valid:
+                    marks[b.column(1)[k].as_py()] = b.column(4)[k].as_buffer()
+                    continue
+                text, h = _shingles(b.column(3)[k], b.column(4)[k])
+                mine, marks = marks, {}
+                if len(h) < width:
+                    continue
+                pos, own, new = _ordered(h)
+                cut, of = _buckets_of(own[new], buckets), np.cumsum(new) - 1
+                held, loose = np.bincount(of) > 1, np.zeros(of[-1] + 1, bool)
+                for bucket, data in mine.items():
+                    x, y = cut[bucket], cut[bucket + 1]
+                    bits = np.frombuffer(data, np.uint8).reshape(2, -1)
+                    held[x:y] |= np.unpackbits(bits[0], count=y - x).astype(bool)
+                    loose[x:y] = np.unpackbits(bits[1], count=y - x)
+                at = np.empty(len(h), np.int64)
+                at[pos] = of
+                start = able_starts(held[at], loose[at], text, width, threshold)
+                if not len(start):
+                    continue
+                new = np.flatnonzero((np.diff(start, prepend=-2) != 1) | (np.diff(text[start], prepend=-1) != 0))
+                low, high = start[new], start[np.append(new[1:], len(start)) - 1] + width
+                first = np.searchsorted(text, text[low])
+                rows = np.flatnonzero(np.diff(text[low], prepend=-1))
+                ids, s, n, x = b.column(2)[k].as_py(), [], [], []
+                for i, j in zip(rows.tolist(), [*rows[1:].tolist(), len(low)]):
+                    s.append((low[i:j] - first[i:j]).tobytes())
+                    n.append((high[i:j] - low[i:j]).tobytes())
+                    x.append(b"".join(h[c:e].tobytes() for c, e in zip(low[i:j].tolist(), high[i:j].tolist())))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[t] for t in text[low[rows]].tolist()], pa.int64()), *(pa.array(v, pa.binary()) for v in (s, n, x))], ["id", "s", "n", "x"])
+
+    return run
+
+
+def _able(work: Work, chunks: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(id, s, n, x): the shingles of all passages that can have a near-duplicate anywhere."""
+    size = work.size(chunks)
+    buckets = min(1 << 16, max(16, size >> 24))
+    sent = chunks.select("chunk", "ends", "body").mapInArrow(_send(width, buckets), "bucket int, chunk long, n long, marks binary")
+    marks = work.save(sent.repartition(buckets, "bucket").mapInArrow(_mark, "chunk long, bucket int, marks binary"), "marks")
+    work.release()
+    none, last = F.lit(None), F.lit((1 << 31) - 1)
+    both = marks.select("chunk", "bucket", none.cast("array<long>").alias("ids"), none.cast("binary").alias("ends"), "marks").union(chunks.select("chunk", last, "ids", "ends", "body"))
+    dealt = both.repartition(min(1 << 16, max(16, size >> 23)), "chunk").sortWithinPartitions("chunk", "bucket")
+    able = work.save(dealt.mapInArrow(_keep(width, threshold, buckets), "id long, s binary, n binary, x binary"), "able")
+    work.drop(marks)
+    work.release()
+    return able
+
+
+class Sequence(Spans):
+    """64-bit hashes of runs of shingles, as those of byte spans."""
+
+    def __init__(self, x: np.ndarray):
+        up, self.down = _powers(len(x) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[: len(x)])])
 
-    def __init__(self, body: np.ndarray, offsets: np.ndarray, width: int, bands: range):
-        self.words = w = Words(body, offsets)
-        at, text, h = w.grams(SHINGLE)
-        own = []
+
+class Stretches:
+    """The stretches of some rows: x, their shingles in a row, and of each stretch its first place in x, its row and
+    its place in the text."""
+
+    def __init__(self, b: pa.RecordBatch):
+        body, self.offsets = flat(b.column(3))
+        self.x = np.frombuffer(body.tobytes(), np.uint64)
+        (s, of), (n, _) = flat(b.column(1)), flat(b.column(2))
+        self.s, self.n = (np.frombuffer(v.tobytes(), np.int64) for v in (s, n))
+        self.cut = of // 8  # of each row, in stretches
+        self.first = np.cumsum(self.n) - self.n
+        self.row = np.repeat(np.arange(len(of) - 1), np.diff(self.cut))
+
+
+class Runs:
+    """The runs of the stretches of rows i to j in some bands: the row, first shingle in it, passages, key, and a hash of the
+    shingles."""
+
+    def __init__(self, every: Stretches, i: int, j: int, width: int, bands: range):
+        own = slice(every.cut[i], every.cut[j])
+        x = every.x[every.offsets[i] // 8 : every.offsets[j] // 8]
+        row, s, n = every.row[own], every.s[own], every.n[own]
+        first, stretch, hashes, out = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n), Sequence(x), []
         for band in bands:
-            first, last, key = compact_windows([hashed(h, 2 * band), hashed(h, 2 * band + 1)], text, width)
-            around = w.spans.hash(w.start[at[first]], w.end[at[last] + width + SHINGLE - 2])
-            own.append((text[first], at[first] - w.first[text[first]], last - first + 1, mix(key ^ np.uint64((band + 1) * int(GOLD) & (1 << 64) - 1)), around))
-        self.text, self.at, self.n, self.key, self.around = (np.concatenate(x) for x in zip(*own))
+            a, z, key = compact_windows([hashed(x, 2 * band), hashed(x, 2 * band + 1)], stretch, width)
+            of = stretch[a]
+            out.append((row[of], s[of] + a - first[of], z - a + 1, mix(key ^ np.uint64((band + 1) * int(GOLD) & (1 << 64) - 1)), hashes.hash(a, z + width)))
+        self.row, self.at, self.n, self.key, self.around = (np.concatenate(v) for v in zip(*out))
 
 
 def kinds_of(key: np.ndarray, around: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,18 +309,17 @@ def kinds_of(key: np.ndarray, around: np.ndarray, row: np.ndarray) -> tuple[np.n
     return order, new, new | np.concatenate([[True], around[1:] != around[:-1]]) if len(key) else new
 
 
-def _deal(texts: DataFrame, width: int, bands: range, buckets: int) -> DataFrame:
+def _deal(able: DataFrame, width: int, bands: range, buckets: int) -> DataFrame:
     """(bucket, own, runs): runs in blobs of key, hash of surroundings, row and place; place holds the first
     shingle, the number of passages, and whether the run recurs in its batch. own: blobs of row, place and row of
     the run that stands for them."""
 
     def run(batches):
         for turn, b in enumerate(batches):
-            body, offsets = flat(b.column(1))
-            ids, parts = b.column(0).to_numpy(), []
-            for i, j in pieces(offsets):
-                r = Runs(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, bands)
-                parts.append(np.stack([r.key, r.around, ids[i + r.text].view(np.uint64), (r.at << 8 | r.n << 1).astype(np.uint64)]))
+            stretches, ids, parts = Stretches(b), b.column(0).to_numpy(), []
+            for i, j in pieces(stretches.offsets, 1 << 20):
+                r = Runs(stretches, i, j, width, bands)
+                parts.append(np.stack([r.key, r.around, ids[r.row].view(np.uint64), (r.at << 8 | r.n << 1).astype(np.uint64)]))
             every = np.concatenate(parts, 1) if parts else np.zeros((4, 0), np.uint64)
             if not every.shape[1]:
                 continue
@@ -134,7 +336,7 @@ def _deal(texts: DataFrame, width: int, bands: range, buckets: int) -> DataFrame
             mine = [False] * len(where) + [True]
             yield pa.RecordBatch.from_arrays([pa.array(where + [turn % buckets], pa.int32()), pa.array(mine), pa.array([blobs[k] for k in where] + [more.tobytes()], pa.binary())], ["bucket", "own", "runs"])
 
-    return texts.select("id", "body").mapInArrow(run, "bucket int, own boolean, runs binary")
+    return able.select("id", "s", "n", "x").mapInArrow(run, "bucket int, own boolean, runs binary")
 
 
 def _lists(of: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[pa.ListArray]]:
@@ -248,25 +450,23 @@ def _gather(width: int, block: int):
 
     def run(batches):
         for b in batches:
-            body, offsets = flat(b.column(1))
-            ids = b.column(0).to_numpy()
-            for i, j in pieces(offsets):
-                _, text, h = Words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).grams(SHINGLE)
-                first = np.searchsorted(text, np.arange(j - i))
-                for k in range(i, j):
-                    want = np.concatenate([np.frombuffer(x, np.uint64).reshape(3, -1) for x in b.column(2)[k].as_py()], 1)
-                    at, n = (want[1] >> np.uint64(7)).astype(np.int64), (want[1] & np.uint64(127)).astype(np.int64) + width - 1
-                    blocks = -(-want[2].astype(np.int64) // block)
-                    own = (mix(ids[k : k + 1].view(np.uint64) ^ mix(want[1])) % blocks.astype(np.uint64)).astype(np.int64)
-                    row = np.repeat(np.arange(len(at)), blocks)
-                    other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    at, n, own = at[row], n[row], own[row]
-                    for x in range(0, len(row), 4096):  # a part of a run that many share
-                        y = slice(x, x + 4096)
-                        ends = np.cumsum(n[y])
-                        from_ = np.repeat(first[k - i] + at[y] - (ends - n[y]), n[y]) + np.arange(ends[-1])
-                        data = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], 8 * ends]).astype(np.int32)), pa.py_buffer(h[from_])])
-                        yield pa.RecordBatch.from_arrays([pa.array(want[0, row[y]].view(np.int64)), pa.array(np.minimum(own[y], other[y])), pa.array(np.maximum(own[y], other[y])), pa.array(own[y]), pa.array(np.full(len(ends), ids[k])), pa.array(at[y]), data], names)
+            every, ids = Stretches(b), b.column(0).to_numpy()
+            for k in range(b.num_rows):
+                want = np.concatenate([np.frombuffer(x, np.uint64).reshape(3, -1) for x in b.column(4)[k].as_py()], 1)
+                at, n = (want[1] >> np.uint64(7)).astype(np.int64), (want[1] & np.uint64(127)).astype(np.int64) + width - 1
+                stretch = every.cut[k] + np.searchsorted(every.s[every.cut[k] : every.cut[k + 1]], at, "right") - 1
+                place = every.first[stretch] + at - every.s[stretch]
+                blocks = -(-want[2].astype(np.int64) // block)
+                own = (mix(ids[k : k + 1].view(np.uint64) ^ mix(want[1])) % blocks.astype(np.uint64)).astype(np.int64)
+                row = np.repeat(np.arange(len(at)), blocks)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                at, n, own, place = at[row], n[row], own[row], place[row]
+                for x in range(0, len(row), 4096):  # a part of a run that many share
+                    y = slice(x, x + 4096)
+                    ends = np.cumsum(n[y])
+                    from_ = np.repeat(place[y] - (ends - n[y]), n[y]) + np.arange(ends[-1])
+                    data = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], 8 * ends]).astype(np.int32)), pa.py_buffer(every.x[from_])])
+                    yield pa.RecordBatch.from_arrays([pa.array(want[0, row[y]].view(np.int64)), pa.array(np.minimum(own[y], other[y])), pa.array(np.maximum(own[y], other[y])), pa.array(own[y]), pa.array(np.full(len(ends), ids[k])), pa.array(at[y]), data], names)
 
     return run
 
@@ -533,17 +733,17 @@ def _verify(width: int, min_words: int, threshold: float):
     return run
 
 
-def _search(work: Work, texts: DataFrame, bands: range, known: DataFrame | None, min_words: int, threshold: float, block: int, buckets: int, task_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _search(work: Work, able: DataFrame, bands: range, known: DataFrame | None, min_words: int, threshold: float, block: int, buckets: int, task_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(spans of rows in words, links of rows) by these bands. known: spans and classes found so far."""
     width = min_words - SHINGLE + 1
-    told = work.save(_deal(texts, width, bands, buckets).repartition(buckets, "bucket").mapInArrow(_tell(width), "id long, starts array<long>, ends array<long>, wants binary, size long, other long"), "told")
+    told = work.save(_deal(able, width, bands, buckets).repartition(buckets, "bucket").mapInArrow(_tell(width), "id long, starts array<long>, ends array<long>, wants binary, size long, other long"), "told")
     work.release()
     wants = told.where("wants is not null").select("id", "wants", "size")
     if known is not None:
         per = wants.groupBy("id").agg(F.collect_list("wants").alias("wants")).join(known, "id", "left").select("id", "wants", "starts", "ends", "root")
         wants = work.save(per.mapInArrow(_screen(width, buckets), "bucket int, runs binary").repartition(buckets, "bucket").mapInArrow(_choose(width), "id long, wants binary, size long"), "wants")
     total = wants.agg(F.sum("size")).first()[0] or 0
-    asked = texts.join(wants.groupBy("id").agg(F.collect_list("wants").alias("wants")), "id").select("id", "body", "wants")
+    asked = able.join(wants.groupBy("id").agg(F.collect_list("wants").alias("wants")), "id").select("id", "s", "n", "x", "wants")
     cut = asked.mapInArrow(_gather(width, block), "key long, low long, high long, own long, id long, s long, x binary")
     checked = work.save(cut.repartition(max(1, math.ceil(total / task_bytes)), "key", "low", "high").mapInArrow(_verify(width, min_words, threshold), "id long, starts array<long>, ends array<long>, root long"), "checked")
     work.release()
@@ -573,13 +773,17 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float
         raise ValueError("passages have 5 to 122 words")
     work = Work(docs.sparkSession)
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    texts = work.save(docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("d"), body.alias("body")), "texts")
-    buckets, found, known = min(1 << 16, max(16, work.size(texts) >> 23)), [], None
+    texts = docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("d"), body.alias("body"))
+    chunks = work.save(texts.mapInArrow(_chunk, "chunk long, ids array<long>, d array<long>, ends binary, body binary"), "texts", compression="none")
+    ids = work.save(chunks.select(F.explode(F.arrays_zip("ids", "d")).alias("r")).select(F.col("r.ids").alias("id"), F.col("r.d").alias("d")), "ids")
+    able = _able(work, chunks, min_words - SHINGLE + 1, threshold)
+    work.drop(chunks)
+    buckets, found, known = min(1 << 16, max(16, work.size(able) >> 23)), [], None
     for j in range(0, bands, wave):
-        found.append(_search(work, texts, range(j, min(j + wave, bands)), known, min_words, threshold, block, buckets, task_bytes))
+        found.append(_search(work, able, range(j, min(j + wave, bands)), known, min_words, threshold, block, buckets, task_bytes))
         if known is None and bands > wave:
-            known = _known(work, texts.select("id"), found)
-    rows = _known(work, texts.select("id", "d"), found)
+            known = _known(work, ids.select("id"), found)
+    rows = _known(work, ids, found)
     low = work.save(rows.where("starts is not null").groupBy("root").agg(F.min("d").alias("low")), "low")
     none = F.array().cast("array<long>")
     return work.result(rows.join(low, "root", "left").select(F.col("d").alias("doc_id"), F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.coalesce("low", "d").alias("class_id")))

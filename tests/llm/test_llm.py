@@ -302,6 +302,30 @@ def test_hot_passages_lose_no_pair(spark):
     assert spans[0] == spans[1]
 
 
+def test_screen_keeps_every_near_passage_and_drops_lone_texts(spark):
+    rng, width = np.random.default_rng(9), 46
+    for trial in range(40):
+        texts = [rng.integers(0, 1 << 60, 120, np.uint64) for _ in range(4)]
+        for k in range(1, 3):  # changed, and recurring shingles
+            texts[k][20:100] = texts[0][20:100]
+            texts[k][rng.integers(20, 100, int(rng.integers(0, 12)))] = rng.integers(0, 1 << 60)
+            if trial % 2:
+                texts[k][40:48] = texts[k][50:58]
+        h, text = np.concatenate(texts), np.repeat(np.arange(4), 120)
+        pos, own, new = passages._ordered(h)
+        held = np.isin(h, own[~new])
+        loose = np.isin(h, h[passages._loose(pos, new, text, width)])
+        able = set(passages.able_starts(held, loose, text, width, 0.8).tolist())
+        sets = {(k, i): set(x[i : i + width].tolist()) for k, x in enumerate(texts) for i in range(75)}
+        near = {k * 120 + i for (k, i), a in sets.items() if any(m != k and len(a & b) >= 0.8 * len(a | b) - 1e-9 for (m, _), b in sets.items())}
+        assert near <= able and not any(x >= 360 for x in able)
+    work, rows = Work(spark), [(k, " ".join(f"u{k}x{j}" for j in range(70))) for k in range(20)]
+    rows.append((20, rows[3][1]))
+    chunks = work.save(docs_of(spark, rows).selectExpr("doc_id id", "doc_id d", "cast(text as binary) body").mapInArrow(passages._chunk, "chunk long, ids array<long>, d array<long>, ends binary, body binary"), compression="none")
+    assert sorted(r.id for r in passages._able(work, chunks, width, 0.8).collect()) == [3, 20]
+    work.drop()
+
+
 def test_compact_windows_partition_all_passages():
     rng = np.random.default_rng(4)
     for n in (5, 46, 47, 200):
