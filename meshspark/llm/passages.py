@@ -382,7 +382,7 @@ def _tell(width: int):
         kinds = np.bincount(group[kind]) if len(of) else np.zeros(0, np.int64)
         asked = np.flatnonzero(kind & (kinds[group] > 1)) if len(of) else np.zeros(0, np.int64)
         if len(asked):
-            want = np.stack([every[2, asked], every[0, asked], every[3, asked] >> np.uint64(1), kinds[group[asked]].astype(np.uint64)])
+            want = np.stack([every[2, asked], every[0, asked], every[3, asked] >> np.uint64(1), kinds[group[asked]].astype(np.uint64), every[2, asked] << np.uint64(1)])
             got = _asked(want, width)
             none = pa.nulls(got.num_rows, long)
             yield pa.RecordBatch.from_arrays([got.column(0), none, none, got.column(1), got.column(2), pa.nulls(got.num_rows, pa.int64())], names)
@@ -398,7 +398,7 @@ def _screen(width: int, buckets: int):
         for b in batches:
             parts = []
             for k, (blobs, starts, ends, root) in enumerate(zip(b.column(1), b.column(2), b.column(3), b.column(4).to_pylist())):
-                want = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64).reshape(3, -1) for x in blobs], 1)
+                want = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64).reshape(4, -1) for x in blobs], 1)
                 row = b.column(0)[k].as_py()
                 covered, low, high = np.zeros(want.shape[1], bool), *(np.array(x.as_py() or [], np.int64) for x in (starts, ends))
                 if len(low):
@@ -418,7 +418,7 @@ def _screen(width: int, buckets: int):
 
 
 def _asked(want: np.ndarray, width: int) -> pa.RecordBatch:
-    """want: row, key, place and kinds of runs, as a record (id, wants, size) for each row."""
+    """want: row, key, place, kinds and what is known of runs, as a record (id, wants, size) for each row."""
     want = want[:, np.argsort(want[0], kind="stable")]
     cut = np.flatnonzero(np.concatenate([[True], want[0, 1:] != want[0, :-1], [True]]))
     blobs = [np.ascontiguousarray(want[1:, x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:])]
@@ -439,20 +439,20 @@ def _choose(width: int):
         low, high = np.minimum.reduceat(every[4], new), np.maximum.reduceat(every[4], new)
         keep = np.repeat((low != high) | (low & np.uint64(1) == 0), np.diff(new, append=every.shape[1]))
         if keep.any():
-            yield _asked(every[:, keep][[1, 0, 2, 3]], width)
+            yield _asked(every[:, keep][[1, 0, 2, 3, 4]], width)
 
     return run
 
 
 def _gather(width: int, block: int):
     """The shingles of the runs that are to be compared, with the blocks of their key."""
-    names = ["key", "low", "high", "own", "id", "s", "x"]
+    names = ["key", "low", "high", "own", "id", "s", "known", "x"]
 
     def run(batches):
         for b in batches:
             every, ids = Stretches(b), b.column(0).to_numpy()
             for k in range(b.num_rows):
-                want = np.concatenate([np.frombuffer(x, np.uint64).reshape(3, -1) for x in b.column(4)[k].as_py()], 1)
+                want = np.concatenate([np.frombuffer(x, np.uint64).reshape(4, -1) for x in b.column(4)[k].as_py()], 1)
                 at, n = (want[1] >> np.uint64(7)).astype(np.int64), (want[1] & np.uint64(127)).astype(np.int64) + width - 1
                 stretch = every.cut[k] + np.searchsorted(every.s[every.cut[k] : every.cut[k + 1]], at, "right") - 1
                 place = every.first[stretch] + at - every.s[stretch]
@@ -466,7 +466,7 @@ def _gather(width: int, block: int):
                     ends = np.cumsum(n[y])
                     from_ = np.repeat(place[y] - (ends - n[y]), n[y]) + np.arange(ends[-1])
                     data = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], 8 * ends]).astype(np.int32)), pa.py_buffer(every.x[from_])])
-                    yield pa.RecordBatch.from_arrays([pa.array(want[0, row[y]].view(np.int64)), pa.array(np.minimum(own[y], other[y])), pa.array(np.maximum(own[y], other[y])), pa.array(own[y]), pa.array(np.full(len(ends), ids[k])), pa.array(at[y]), data], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(want[0, row[y]].view(np.int64)), pa.array(np.minimum(own[y], other[y])), pa.array(np.maximum(own[y], other[y])), pa.array(own[y]), pa.array(np.full(len(ends), ids[k])), pa.array(at[y]), pa.array(want[3, row[y]].view(np.int64)), data], names)
 
     return run
 
@@ -675,7 +675,8 @@ class Gathered:
 
 
 def _verify(width: int, min_words: int, threshold: float):
-    """(id, starts, ends, root) of pieces with near-duplicate passages."""
+    """(id, starts, ends, root) of pieces with near-duplicate passages. Pieces of which all words are in spans found by
+    earlier bands are only compared with those of another class, and with passages that have no near-duplicate yet."""
     types = {"id": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "root": pa.int64()}
 
     def run(batches):
@@ -683,7 +684,7 @@ def _verify(width: int, min_words: int, threshold: float):
         if not got:
             return
         whole = pa.Table.from_batches(got).combine_chunks()
-        key, low, high, own, ids, s = (whole[k].to_numpy() for k in ("key", "low", "high", "own", "id", "s"))
+        key, low, high, own, ids, s, state = (whole[k].to_numpy() for k in ("key", "low", "high", "own", "id", "s", "known"))
         body, cut = flat(whole["x"])
         if body.ctypes.data % 8:
             body = body.copy()
@@ -692,7 +693,7 @@ def _verify(width: int, min_words: int, threshold: float):
         group = np.concatenate([[0], np.cumsum(change)])
         size = np.diff(cut)[order] // 8
         at = np.repeat(cut[:-1][order] // 8 - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        own, ids, s = own[order], ids[order], s[order]
+        own, ids, s, state = own[order], ids[order], s[order], state[order]
         parts = Gathered(body.view(np.uint64)[at], size, group, ids, s, width, threshold)
         hit, done = parts.led()
         sides = low[order] != high[order]
@@ -715,10 +716,11 @@ def _verify(width: int, min_words: int, threshold: float):
             if len(rows) < 2:
                 continue
             side = own[rows] if sides[rows[0]] else None
-            known = label = None
-            if side is None and parts.plain[group[rows[0]]]:
-                known = [hit[edge[r] : edge[r + 1]] for r in rows]
-                label = np.where([x.any() for x in known], 0, np.arange(len(rows)))  # what has hits has them with the first
+            known = [hit[edge[r] : edge[r + 1]] & (side is None and parts.plain[group[r]]) | (state[r] & 1 > 0) for r in rows]
+            label = np.unique(state[rows] >> 1, return_inverse=True)[1]  # the classes found by earlier bands
+            if side is None and parts.plain[group[rows[0]]]:  # what has hits has them with the first
+                linked = np.unique(label[[hit[edge[r] : edge[r + 1]].any() for r in rows]])
+                label[np.isin(label, linked)] = linked.min(initial=len(rows))
             starts, label = compare([Piece(parts.x[parts.first[r] : parts.first[r] + size[r]], width, ids[r], s[r], parts.single[r]) for r in rows], width, threshold, side, known, label)
             root = {}
             for r, k in zip(rows, label.tolist()):
@@ -744,7 +746,7 @@ def _search(work: Work, able: DataFrame, bands: range, known: DataFrame | None,
         wants = work.save(per.mapInArrow(_screen(width, buckets), "bucket int, runs binary").repartition(buckets, "bucket").mapInArrow(_choose(width), "id long, wants binary, size long"), "wants")
     total = wants.agg(F.sum("size")).first()[0] or 0
     asked = able.join(wants.groupBy("id").agg(F.collect_list("wants").alias("wants")), "id").select("id", "s", "n", "x", "wants")
-    cut = asked.mapInArrow(_gather(width, block), "key long, low long, high long, own long, id long, s long, x binary")
+    cut = asked.mapInArrow(_gather(width, block), "key long, low long, high long, own long, id long, s long, known long, x binary")
     checked = work.save(cut.repartition(max(1, math.ceil(total / task_bytes)), "key", "low", "high").mapInArrow(_verify(width, min_words, threshold), "id long, starts array<long>, ends array<long>, root long"), "checked")
     work.release()
     spans = told.where("starts is not null").select("id", "starts", "ends").union(checked.select("id", "starts", "ends"))

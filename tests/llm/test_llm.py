@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -326,6 +327,19 @@ def test_screen_keeps_every_near_passage_and_drops_lone_texts(spark):
     work.drop()
 
 
+@pytest.mark.parametrize("covered", [0, 1])
+def test_pieces_known_to_be_near_are_not_compared_again(monkeypatch, covered):
+    calls, similar = [], passages.similar
+    monkeypatch.setattr(passages, "similar", lambda *a: calls.append(1) or similar(*a))
+    x = np.random.default_rng(5).integers(0, 1 << 60, 46, np.uint64)
+    data = [np.roll(x, k).tobytes() for k in (0, 15, 31)]
+    zero = pa.array([0] * 3)
+    batch = pa.RecordBatch.from_arrays([zero, zero, zero, zero, pa.array([4, 5, 6]), zero, pa.array([8 + covered] * 3), pa.array(data)], ["key", "low", "high", "own", "id", "s", "known", "x"])
+    got = [r for b in passages._verify(46, 50, 0.8)(iter([batch])) for r in b.to_pylist()]
+    assert {(r["id"], *r["starts"], *r["ends"], r["root"]) for r in got} == {(k, 0, 50, 4) for k in (4, 5, 6)}
+    assert bool(calls) != bool(covered)
+
+
 def test_compact_windows_partition_all_passages():
     rng = np.random.default_rng(4)
     for n in (5, 46, 47, 200):
