@@ -58,7 +58,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """The tokenizers library behind a memory of what it has seen: pieces as the pre-tokenizer cuts them,
     and above these, words between single blanks, which are whole pieces with the blank before them. Each distinct word of a
-    batch is looked up once. Tokenizers other than byte-level BPE encode whole texts without any memory."""
+    batch is looked up once, and new ones go to the library together. Tokenizers other than byte-level BPE encode whole texts without any memory."""
 
     _held: dict[str, "Encoder"] = {}
 
@@ -74,6 +74,8 @@ class Encoder:
         named = all("<|" in t["content"] for t in parts["added_tokens"])  # texts with such a mark go whole
         self.bare = parts["normalizer"] is None and byte_level and parts["model"]["type"] == "BPE" and named and not parts["truncation"] and not parts["padding"]
         self.model, self.letters = self.tok.model, _byte_letters()
+        self.bpe, self.blank = Tokenizer(self.model), np.zeros(self.tok.get_vocab_size(), bool)
+        self.blank[[k for t, k in self.tok.get_vocab().items() if t.startswith(self.letters[32])]] = True
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -94,21 +96,46 @@ class Encoder:
         """Ids of any text, by its pieces; new ones go to the library's model."""
         return b"".join(map(self._piece, _PIECE.findall(text)))
 
-    def _word(self, w: str) -> bytes:
-        """Ids of a blank and a word. Letters, and letters before one mark, need no pattern. Of the words seen, the last
-        `most_words` and those before them are held."""
-        got = self.older.get(w)
-        if got is None:
-            if w.isalpha():
-                got = self._piece(" " + w)
-            elif w[-1:] in _MARKS and w[:-1].isalpha():
-                got = self._piece(" " + w[:-1]) + self._piece(w[-1])
-            else:
-                got = self._cut(" " + w)
-        if len(self.words) >= self.most[1]:
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember pieces, which have a blank at their start or none; new ones go to the library in one call. Its ids are
+        cut where a token begins with the blank; before pieces that have none a blank is put that is not kept."""
+        fresh = [p for p in pieces if p not in self.pieces]
+        if len(self.pieces) + len(fresh) > self.most[0]:
+            self.pieces.clear()
+            fresh = pieces
+        if not fresh:
+            return
+        bare = [p[0] != " " for p in fresh]
+        spelled = "\0".join([" \0" + p if x else p for p, x in zip(fresh, bare)]).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
+        ids = np.array(self.bpe.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        cut = np.append(np.flatnonzero(self.blank[ids]), len(ids))
+        if len(cut) > len(fresh):
+            data, low = ids.tobytes(), cut[:-1] + bare
+            self.pieces.update((p, data[i:j]) for p, i, j in zip(fresh, (4 * low).tolist(), (4 * cut[1:]).tolist()))
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with a blank before it. Letters, and letters before one mark, need no pattern."""
+        body = [" " + w if w.isalpha() else " " + w[:-1] if w[-1:] in _MARKS and w[:-1].isalpha() else "" for w in words]
+        hard = {w: _PIECE.findall(" " + w) for w, p in zip(words, body) if not p}
+        every = dict.fromkeys(body)
+        every.pop("", None)
+        self._learn([*(every | dict.fromkeys(p for own in hard.values() for p in own))])
+        piece = self._piece
+        return [b"".join(map(piece, hard[w])) if not p else piece(p) if len(p) > len(w) else piece(p) + piece(w[-1]) for w, p in zip(words, body)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that differ, each with a blank before it. Of the words seen, the last `most_words` and those
+        before them are held."""
+        own = list(map(self.words.get, words))
+        other = [w for w, x in zip(words, own) if x is None]
+        got = list(map(self.older.get, other))
+        unseen = iter(self._new([w for w, x in zip(other, got) if x is None]))
+        got = [next(unseen) if x is None else x for x in got]
+        if len(self.words) + len(other) > self.most[1]:
             self.words, self.older = {}, self.words
-        self.words[w] = got
-        return got
+        self.words.update(zip(other, got))
+        rest = iter(got)
+        return [next(rest) if x is None else x for x in own]
 
     def _whole(self, raw: bytes) -> bytes | None:
         """Ids of a text that can't be cut at its blanks, else None."""
@@ -129,8 +156,7 @@ class Encoder:
         coded = words.values.dictionary_encode()
         begin = words.offsets.to_numpy()
         code = coded.indices.to_numpy().astype(np.int64)
-        known, word = self.words, self._word
-        own = [known.get(w) or word(w) for w in coded.dictionary.to_pylist()]
+        own = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         code[begin[:-1]] = np.arange(len(texts)) + len(own)
         code = np.insert(code, begin[1:], len(own) + len(texts))
         own += first
@@ -143,18 +169,21 @@ class Encoder:
         return ids, ends[begin[1:] + np.arange(len(texts))] if len(texts) else ends
 
 
-def frequent_pairs(pairs: np.ndarray, bucket: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_pairs(pairs: np.ndarray, bucket: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pair, bucket) of those counted `least` times or more, the most frequent first, and the most frequent alone of
-    those in one bucket of hashes; others have their turn in a later round. Buckets that are too rare leave before the
-    exact count."""
+    those in one bucket of hashes; others have their turn in a later round. Then, for each bucket, whether it holds such a
+    pair. Buckets that are too rare leave before the exact count."""
     full = np.bincount(bucket, minlength=BUCKETS) >= least
-    own = full[bucket]
-    pair, n = np.unique(pairs[own], return_counts=True)
-    pair, n = pair[n >= least], n[n >= least]
+    pair = np.sort(pairs[full[bucket]])
+    begin = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    n = np.diff(begin, append=len(pair))
+    pair, n = pair[begin[n >= least]], n[n >= least]
     pair = pair[np.lexsort((pair, -n))]
     at = bucket_of(pair)
     first = np.sort(np.unique(at, return_index=True)[1])
-    return pair[first], at[first]
+    holds = np.zeros(BUCKETS, bool)
+    holds[at] = True
+    return pair[first], at[first], holds
 
 
 BUCKETS = 1 << 18
@@ -168,42 +197,59 @@ def bucket_of(pairs: np.ndarray) -> np.ndarray:
 
 def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEAST):
     """(symbols, ends in symbols, rules as pairs). ends: one past each document's last id. Rounds go on until no pair
-    can be replaced `least` times."""
+    can be replaced `least` times. Symbols stay at the places of their first ids, with links to the next; a pair that is
+    too rare can't recur more often later, so a round looks at the places alone that hold a frequent pair or are new."""
     sym, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
-    rules = np.zeros((0, 2), np.uint32)
-    rank_at = np.empty(BUCKETS, np.int32)
-    while len(sym) > 1:
+    after, before = np.arange(1, len(ids) + 1, dtype=np.int32), np.arange(-1, len(ids), dtype=np.int32)
+    rules, there = np.zeros((0, 2), np.uint32), np.ones(len(ids), bool)
+    rank_at, pair_at = np.empty(BUCKETS, np.int32), np.empty(BUCKETS, np.uint64)
+    live = ~last
+    live[-1:] = False
+    at = np.flatnonzero(live)
+    while len(at):
+        left, right, follow = sym[at], sym[after[at]], after[at]
         narrow = terminals + len(rules) <= 1 << 16
-        pairs = (sym[:-1] << np.uint32(16)) | sym[1:] if narrow else (sym[:-1].astype(np.uint64) << np.uint64(32)) | sym[1:]
-        bucket, own = bucket_of(pairs), ~last[:-1]
-        pair, at = frequent_pairs(pairs[own], bucket[own], least)
+        pairs = (left << np.uint32(16)) | right if narrow else (left.astype(np.uint64) << np.uint64(32)) | right
+        bucket = bucket_of(pairs)
+        pair, in_, holds = frequent_pairs(pairs, bucket, least)
         none = len(pair)
         if not none:
             break
-        pair_at = np.zeros(BUCKETS, pairs.dtype)
-        rank_at.fill(none)
-        rank_at[at], pair_at[at] = np.arange(none), pair
-        rank = np.full(len(sym) + 1, none, np.int32)
-        rank[1:-1] = np.where((pair_at[bucket] == pairs) & own, rank_at[bucket], none)
-        best = np.flatnonzero((rank[1:-1] <= rank[:-2]) & (rank[1:-1] <= rank[2:]) & (rank[1:-1] < none))
-        run = np.diff(best, prepend=-2) > 1  # in a row of equal pairs every other one
+        rank_at[in_], pair_at[in_] = np.arange(none), pair
+        own = np.flatnonzero(holds[bucket])  # the places that any frequent pair can have
+        at, follow, pairs, bucket = at[own], follow[own], pairs[own], bucket[own]
+        rank = np.full(len(at) + 2, none, np.int32)
+        rank[1:-1] = np.where(pair_at[bucket] == pairs, rank_at[bucket], none)
+        next_ = np.append(follow[:-1] == at[1:], False)  # the next place is the next symbol's
+        good = rank[1:-1] < none
+        good &= ~next_ | (rank[1:-1] <= rank[2:])
+        good[1:] &= ~next_[:-1] | (rank[2:-1] <= rank[1:-2])
+        best = np.flatnonzero(good)
+        run = np.concatenate([[True], ~next_[best[1:] - 1] | (np.diff(best) > 1)])[: len(best)]  # in a row of equal pairs every other one
         take = best[(best - best[run][np.cumsum(run) - 1]) % 2 == 0]
-        used = np.bincount(rank[1 + take], minlength=none) >= least
-        take = take[used[rank[1 + take]]]
+        which = rank[1 + take]
+        used = np.bincount(which, minlength=none) >= least
+        take = take[used[which]]
         if not len(take):
             break
-        name = np.cumsum(used) - 1 + terminals + len(rules)
-        left, right = sym[take].copy(), sym[take + 1].copy()
-        sym[take] = name[rank[1 + take]]
-        last[take] = last[take + 1]
+        which = (np.cumsum(used) - 1)[rank[1 + take]]
+        place, gone = at[take], follow[take]
         new = np.zeros((int(used.sum()), 2), np.uint32)
-        new[sym[take] - terminals - len(rules)] = np.stack([left, right], 1)
-        keep = np.ones(len(sym), bool)
-        keep[take + 1] = False
-        sym, last = sym[keep], last[keep]
+        new[which] = np.stack([sym[place], sym[gone]], 1)
+        sym[place] = which + terminals + len(rules)
+        last[place] = last[gone]
+        there[gone] = False
+        after[place] = after[gone]
+        before[after[place]] = place
         rules = np.concatenate([rules, new])
-    return sym, np.flatnonzero(last) + 1, rules
+        live[:] = False
+        live[at] = True
+        live[place] = True
+        live[before[place[before[place] >= 0]]] = True
+        live &= there & ~last
+        at = np.flatnonzero(live)
+    return sym[there], np.flatnonzero(last[there]) + 1, rules
 
 
 def lengths(rules: np.ndarray, terminals: int) -> np.ndarray:

@@ -424,6 +424,42 @@ def test_encoder_equals_the_library_on_the_table(spark):
     assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == library_ids(texts)
 
 
+def test_new_words_go_to_the_library_together():
+    class Counted:
+        calls = 0
+
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, piece):
+            Counted.calls += 1
+            return self.model.tokenize(piece)
+
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdeé", k=rng.randrange(1, 9))) + rng.choice(["", ",", ".\nB", "!!", "'s", "\n"]) for _ in range(300)) for _ in range(10)]
+    coder = tokens.Encoder(tokens.default_tokenizer())
+    coder.model = Counted(coder.model)
+    ids, ends = coder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == library_ids(texts)
+    assert Counted.calls <= 3 * len(texts)  # what stands before the first blanks
+
+
+def test_grammar_rounds_look_at_pairs_that_may_be_frequent_alone(monkeypatch):
+    looked, plain = [], tokens.frequent_pairs
+    monkeypatch.setattr(tokens, "frequent_pairs", lambda pairs, *more: looked.append(len(pairs)) or plain(pairs, *more))
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 5000, rng.integers(2, 9)) for _ in range(300)]
+    ids = np.concatenate([x for _ in range(2000) for x in (words[rng.integers(300)], rng.integers(0, 5000, 12))])
+    ends = np.arange(1000, len(ids) + 1000, 1000).clip(max=len(ids))
+    sym, cut, rules = tokens.grammar(ids.astype("<u4"), ends, 5000)
+    own = [np.array([k]) for k in range(5000)]
+    for a, b in rules:
+        own.append(np.concatenate([own[a], own[b]]))
+    assert np.array_equal(np.concatenate([own[k] for k in sym]), ids)
+    assert np.cumsum([len(own[k]) for k in sym])[cut - 1].tolist() == ends.tolist()
+    assert len(looked) > 4 and sum(looked) < 2 * len(ids)
+
+
 @pytest.mark.parametrize("least", [2, 7])
 def test_grammar_stops_when_no_pair_repays_its_rule(least):
     rng = np.random.default_rng(3)
