@@ -44,7 +44,7 @@ HEAD = struct.Struct("<4sIqqIIIII")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _KNOWN = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)])  # of U+00C0 to U+027F in UTF-8
 # A blank with white space on both sides: there a text can't be cut at its blanks.
-_MARKS = frozenset(".,;:!?|%$&*#")
+_MARKS = ".,;:!?|%$&*#"
 _BLANKS = re.compile(rb"[\t\n\r ] [\t\n\r ]")
 
 
@@ -96,40 +96,27 @@ class Encoder:
         """Ids of any text, by its pieces; new ones go to the library's model."""
         return b"".join(map(self._piece, _PIECE.findall(text)))
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember pieces, which have a blank at their start or none; new ones go to the library in one call. Its ids are
-        cut where a token begins with the blank; before pieces that have none a blank is put that is not kept."""
-        fresh = [p for p in pieces if p not in self.pieces]
-        if len(self.pieces) + len(fresh) > self.most[0]:
-            self.pieces.clear()
-            fresh = pieces
-        if not fresh:
-            return
-        bare = [p[0] != " " for p in fresh]
-        spelled = "\0".join([" \0" + p if x else p for p, x in zip(fresh, bare)]).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
+    def _library(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, which have a blank at their start or none, in one call. They are cut where a token begins with
+        the blank; before pieces that have none a blank is put that is not kept."""
+        if not pieces:
+            return []
+        bare = [p[0] != " " for p in pieces]
+        spelled = "\0".join([" \0" + p if x else p for p, x in zip(pieces, bare)]).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
         ids = np.array(self.bpe.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
         cut = np.append(np.flatnonzero(self.blank[ids]), len(ids))
-        if len(cut) > len(fresh):
-            data, low = ids.tobytes(), cut[:-1] + bare
-            self.pieces.update((p, data[i:j]) for p, i, j in zip(fresh, (4 * low).tolist(), (4 * cut[1:]).tolist()))
-
-    def _new(self, words: list[str]) -> list[bytes]:
-        """Ids of words, each with a blank before it. Letters, and letters before one mark, need no pattern."""
-        body = [" " + w if w.isalpha() else " " + w[:-1] if w[-1:] in _MARKS and w[:-1].isalpha() else "" for w in words]
-        hard = {w: _PIECE.findall(" " + w) for w, p in zip(words, body) if not p}
-        every = dict.fromkeys(body)
-        every.pop("", None)
-        self._learn([*(every | dict.fromkeys(p for own in hard.values() for p in own))])
-        piece = self._piece
-        return [b"".join(map(piece, hard[w])) if not p else piece(p) if len(p) > len(w) else piece(p) + piece(w[-1]) for w, p in zip(words, body)]
+        if len(cut) != len(pieces) + 1:
+            return list(map(self._piece, pieces))
+        data, low = ids.tobytes(), cut[:-1] + bare
+        return [data[i:j] for i, j in zip((4 * low).tolist(), (4 * cut[1:]).tolist())]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that differ, each with a blank before it. Of the words seen, the last `most_words` and those
-        before them are held."""
+        """Ids of words of letters that differ, each with a blank before it. Of the words seen, the last `most_words` and
+        those before them are held."""
         own = list(map(self.words.get, words))
         other = [w for w, x in zip(words, own) if x is None]
         got = list(map(self.older.get, other))
-        unseen = iter(self._new([w for w, x in zip(other, got) if x is None]))
+        unseen = iter(self._library([" " + w for w, x in zip(other, got) if x is None]))
         got = [next(unseen) if x is None else x for x in got]
         if len(self.words) + len(other) > self.most[1]:
             self.words, self.older = {}, self.words
@@ -137,6 +124,38 @@ class Encoder:
         rest = iter(got)
         return [next(rest) if x is None else x for x in own]
 
+    def _cuts(self, words: list[str]) -> list[bytes]:
+        """Ids of any words, each with a blank before it, by their pieces."""
+        cut = [_PIECE.findall(" " + w) for w in words]
+        fresh = [p for p in dict.fromkeys([p for own in cut for p in own]) if p not in self.pieces]
+        if len(self.pieces) + len(fresh) <= self.most[0]:
+            self.pieces.update(zip(fresh, self._library(fresh)))
+        piece = self._piece
+        return [b"".join(map(piece, own)) for own in cut]
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, number for each word) of words that differ, each with a blank before it. Letters, and letters before
+        marks, which are a piece of their own, need no pattern, and each row of letters is looked up once."""
+        core = pc.utf8_rtrim(words, characters=_MARKS)
+        plain = pc.utf8_is_alpha(core)
+        alone = plain.to_numpy(zero_copy_only=False)
+        tail = np.where(alone, (pc.binary_length(words).to_numpy() - pc.binary_length(core).to_numpy()).astype(np.int64), 0)
+        letters = core.filter(plain).dictionary_encode()
+
+        def texts(x: pa.Array) -> list[str]:
+            return x.to_numpy(zero_copy_only=False).tolist()
+
+        marks, mark = np.unique([w[-n:] for w, n in zip(texts(words.filter(pa.array(tail > 0))), tail[tail > 0].tolist())], return_inverse=True)
+        own = self._words(texts(letters.dictionary))
+        part = np.full((len(words), 2), len(own) + len(marks), np.int64)  # letters or any word, and marks or none
+        part[alone, 0] = letters.indices.to_numpy()
+        part[tail > 0, 1] = len(own) + mark
+        own += [*map(self._piece, marks.tolist()), b""]
+        part[~alone, 0] = len(own) + np.arange(int((~alone).sum()))
+        own += self._cuts(texts(words.filter(pc.invert(plain))))
+        ids, n = _laid(own, part.ravel())
+        return ids, n.reshape(-1, 2).sum(1)
+
     def _whole(self, raw: bytes) -> bytes | None:
         """Ids of a text that can't be cut at its blanks, else None."""
         if not self.bare or b"<|" in raw or raw.translate(None, _KNOWN):
@@ -156,19 +175,24 @@ class Encoder:
         coded = words.values.dictionary_encode()
         begin = words.offsets.to_numpy()
         code = coded.indices.to_numpy().astype(np.int64)
-        own = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        code[begin[:-1]] = np.arange(len(texts)) + len(own)
-        code = np.insert(code, begin[1:], len(own) + len(texts))
-        own += first
-        own.append(closing)
-        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        table, start = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
-        n = size[code]
+        table, size = self._distinct(coded.dictionary)
+        code[begin[:-1]] = np.arange(len(texts)) + len(size)
+        code = np.insert(code, begin[1:], len(size) + len(texts))
+        ids, n = _laid([*first, closing], code, table, size)
         ends = np.cumsum(n)
-        ids = table[np.repeat(start[code] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
         return ids, ends[begin[1:] + np.arange(len(texts))] if len(texts) else ends
 
 
+def _laid(own: list[bytes], code: np.ndarray, table: np.ndarray | None = None, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids in a row, number for each code) of codes, which count the entries of a table and then those of own."""
+    more = np.frombuffer(b"".join(own), "<u4")
+    n = np.fromiter(map(len, own), np.int64, len(own)) // 4
+    table, size = (more, n) if table is None else (np.concatenate([table, more]), np.concatenate([size, n]))
+    start, n = np.cumsum(size) - size, size[code]
+    ends = np.cumsum(n)
+    return table[np.repeat(start[code] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
+
+
 def frequent_pairs(pairs: np.ndarray, bucket: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pair, bucket) of those counted `least` times or more, the most frequent first, and the most frequent alone of
     those in one bucket of hashes; others have their turn in a later round. Then, for each bucket, whether it holds such a
@@ -252,11 +276,23 @@ def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEAS
     return sym[there], np.flatnonzero(last[there]) + 1, rules
 
 
+def levels(rules: np.ndarray, terminals: int):
+    """Rules in groups whose parts are all in earlier groups."""
+    part = np.where(rules >= terminals, rules.astype(np.int64) - terminals, len(rules))
+    done, left = np.zeros(len(rules) + 1, bool), np.arange(len(rules))
+    done[-1] = True
+    while len(left):
+        ready = done[part[left]].all(1)
+        yield left[ready]
+        done[left[ready]] = True
+        left = left[~ready]
+
+
 def lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
-    out = np.ones(len(rules), np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - terminals] if a >= terminals else 1) + (out[b - terminals] if b >= terminals else 1)
-    return out
+    out = np.ones(terminals + len(rules), np.uint32)
+    for own in levels(rules, terminals):
+        out[terminals + own] = out[rules[own]].sum(1)
+    return out[terminals:]
 
 
 def pack(part: int, place: int, doc_ids: list[int | None], flat: np.ndarray, ends: np.ndarray, terminals: int) -> bytes:
@@ -291,12 +327,16 @@ class Shard:
     def expand(self, sym: np.ndarray) -> np.ndarray:
         """The ids of some symbols. The rules are expanded once, into one row; rules refer to earlier ones."""
         if self.table is None:
-            own = []
-            for a, b in self.rules.tolist():
-                own.append(np.concatenate([own[x - self.terminals] if x >= self.terminals else [x] for x in (a, b)]))
-            self.table = np.concatenate([np.arange(self.terminals), *own]).astype(np.uint32)
             self.size = np.concatenate([np.ones(self.terminals, np.int32), self.long.astype(np.int32)])
             self.begin = (np.cumsum(self.size) - self.size).astype(np.int32)
+            self.table = np.empty(int(self.size.sum()), np.uint32)
+            self.table[: self.terminals] = np.arange(self.terminals)
+            for own in levels(self.rules, self.terminals):
+                part = self.rules[own].ravel()
+                size, to = self.size[part], self.begin[self.terminals + own]
+                to = np.stack([to, to + self.size[self.rules[own, 0]]], 1).ravel()
+                step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                self.table[np.repeat(to, size) + step] = self.table[np.repeat(self.begin[part], size) + step]
         size = self.size[sym]
         shift = self.begin[sym] - (np.cumsum(size) - size)
         return self.table[np.repeat(shift, size) + np.arange(int(size.sum()))]
