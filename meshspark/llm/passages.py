@@ -474,14 +474,14 @@ def _gather(width: int, block: int):
 class Piece:
     """The shingles of a run. row and s: its text, and where in it the run starts."""
 
-    def __init__(self, x: np.ndarray, width: int, row: object = None, s: int = 0, single: bool | None = None):
+    def __init__(self, x: np.ndarray, width: int, row: object = None, s: int = 0, size: np.ndarray | None = None, single: bool | None = None):
         self.x, self.row, self.s = x, row, s
         self.starts = np.arange(len(x) - width + 1)
-        if single is None or not single:
+        if size is None:
             kinds, code = np.unique(x, return_inverse=True)
             single = len(kinds) == len(x)
-        self.single = single
-        self.size = np.full(len(self.starts), width) if single else _held(code, self.starts, width, len(kinds)).sum(1).astype(np.int64)
+            size = np.full(len(self.starts), width) if single else _held(code, self.starts, width, len(kinds)).sum(1).astype(np.int64)
+        self.single, self.size = single, size  # whether no shingle recurs, and the kinds in each passage
 
 
 def _held(code: np.ndarray, starts: np.ndarray, width: int, kinds: int) -> np.ndarray:
@@ -539,13 +539,13 @@ def compare(group: list[Piece], width: int, threshold: float, side: np.ndarray |
     held = np.bincount(np.unique(code * n + of) // n) > 1  # by another piece as well
     code = np.where(held, np.cumsum(held) - 1, held.sum())[code]
     cells = np.full((n, longest), held.sum())
-    small = np.array([p.size.min() for p in group])
-    size, need, open_ = np.zeros((n, most)), np.full((n, most), width + 1, np.int16), np.zeros((n, most), bool)  # by passage
+    size, open_ = np.zeros((n, most)), np.zeros((n, most), bool)  # by passage
     ends = np.cumsum([len(p.x) for p in group])
     for k, p in enumerate(group):
         cells[k, : len(p.x)] = code[ends[k] - len(p.x) : ends[k]]
         size[k, : len(p.starts)], open_[k, : len(p.starts)] = p.size, True
-        need[k, : len(p.starts)] = enough(p.size, small.min(), threshold)
+    small = np.where(open_, size, width).min(1).astype(np.int64)
+    need = np.where(open_, enough(size, small.min(), threshold), width + 1).astype(np.int16)
     inside = np.zeros((int(held.sum()) + 1, n), bool)  # kind of shingle, piece
     inside[cells.ravel(), np.repeat(np.arange(n), cells.shape[1])] = True
     inside[-1] = False
@@ -597,6 +597,13 @@ class Gathered:
         y, of = y[order], self.piece[order]
         new = np.concatenate([[True], y[1:] != y[:-1]])
         again = ~new & np.concatenate([[False], of[1:] == of[:-1]])
+        # each passage with a shingle and the one before it of its kind has a kind less
+        late, early = order[again], order[np.flatnonzero(again) - 1]
+        low = np.maximum(late - width + 1, self.first[of[again]])
+        less = np.zeros(len(x) + 1, np.int64)
+        np.add.at(less, low[low <= early], 1)
+        np.add.at(less, early[low <= early] + 1, -1)
+        self.kinds = width - np.cumsum(less)[:-1]
         self.single = np.bincount(of[again], minlength=len(size)) == 0
         self.plain = np.ones(int(group[-1]) + 1, bool)  # groups where every passage has `width` shingles
         self.plain[group[~self.single]] = False
@@ -617,6 +624,10 @@ class Gathered:
         total = np.concatenate([[0], np.cumsum(cells)])
         return total[self.start + self.width] - total[self.start]
 
+    def shown(self, r: int) -> Piece:
+        a, z = self.first[r], self.first[r] + self.size[r]
+        return Piece(self.x[a:z], self.width, self.ids[r], self.s[r], self.kinds[a : z - self.width + 1], self.single[r])
+
     def led(self) -> tuple[np.ndarray, np.ndarray]:
         """(starts with a near-duplicate, groups that need no other comparison). Each piece is laid beside the first
         of its group that has a passage to compare, at the distance where most shingles agree; what agrees there is a
@@ -698,7 +709,16 @@ def _verify(width: int, min_words: int, threshold: float):
         hit, done = parts.led()
         sides = low[order] != high[order]
         done[group[sides]] = False
-        # groups that the first comparison settles
+        some = np.bincount(parts.of[parts.able], minlength=len(size)) > 0
+        rest = np.flatnonzero(some & ~done[group])
+        if len(rest):  # pieces that could match are all in spans of one class: nothing new, whatever the others are
+            new = np.flatnonzero(np.diff(group[rest], prepend=-1))
+            low_, high_ = np.minimum.reduceat(state[rest], new), np.maximum.reduceat(state[rest], new)
+            old = np.repeat((low_ == high_) & (low_ & 1 > 0), np.diff(new, append=len(rest)))
+            done[group[rest[old]]] = True
+            hit |= np.isin(parts.of, rest[old])
+            rest = rest[~old]
+        # groups that are settled
         row = parts.of[hit & done[group[parts.of]]]
         start = (s[parts.of] + parts.start - parts.first[parts.of])[hit & done[group[parts.of]]]
         linked = np.unique(row)
@@ -709,8 +729,6 @@ def _verify(width: int, min_words: int, threshold: float):
             a, z = joined(row * wide + start, row * wide + start + min_words)
             who, (starts, ends) = _lists(a // wide, a % wide, a % wide + z - a)
             yield pa.RecordBatch.from_arrays([pa.array(ids[who]), starts, ends, pa.array(root[group[who]])], list(types))
-        some = np.bincount(parts.of[parts.able], minlength=len(size)) > 0
-        rest = np.flatnonzero(some & ~done[group])
         out, edge = {k: [] for k in types}, np.concatenate([[0], np.cumsum(size - width + 1)])
         for rows in np.split(rest, np.flatnonzero(np.diff(group[rest])) + 1):
             if len(rows) < 2:
@@ -721,7 +739,7 @@ def _verify(width: int, min_words: int, threshold: float):
             if side is None and parts.plain[group[rows[0]]]:  # what has hits has them with the first
                 linked = np.unique(label[[hit[edge[r] : edge[r + 1]].any() for r in rows]])
                 label[np.isin(label, linked)] = linked.min(initial=len(rows))
-            starts, label = compare([Piece(parts.x[parts.first[r] : parts.first[r] + size[r]], width, ids[r], s[r], parts.single[r]) for r in rows], width, threshold, side, known, label)
+            starts, label = compare([parts.shown(r) for r in rows], width, threshold, side, known, label)
             root = {}
             for r, k in zip(rows, label.tolist()):
                 root[k] = min(int(ids[r]), root.get(k, int(ids[r])))

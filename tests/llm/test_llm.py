@@ -340,6 +340,28 @@ def test_pieces_known_to_be_near_are_not_compared_again(monkeypatch, covered):
     assert bool(calls) != bool(covered)
 
 
+@pytest.mark.parametrize("known, calls_", [([9, 9], 0), ([9, 11], 1), ([9, 8], 1)])
+def test_two_pieces_of_one_class_are_not_compared_again(monkeypatch, known, calls_):
+    calls, similar = [], passages.similar
+    monkeypatch.setattr(passages, "similar", lambda *a: calls.append(1) or similar(*a))
+    x = np.random.default_rng(5).integers(0, 1 << 60, 46, np.uint64)
+    zero = pa.array([0] * 2)
+    batch = pa.RecordBatch.from_arrays([zero, zero, zero, zero, pa.array([4, 5]), zero, pa.array(known), pa.array([x.tobytes(), np.roll(x, 23).tobytes()])], ["key", "low", "high", "own", "id", "s", "known", "x"])
+    got = [r for b in passages._verify(46, 50, 0.8)(iter([batch])) for r in b.to_pylist()]
+    assert {(r["id"], *r["starts"], *r["ends"], r["root"]) for r in got} == {(k, 0, 50, 4) for k in (4, 5)}
+    assert len(calls) == calls_
+
+
+def test_kinds_of_gathered_passages():
+    rng, width = np.random.default_rng(4), 46
+    size = rng.integers(width, 92, 50)
+    x = rng.integers(0, rng.integers(20, 200), int(size.sum())).astype(np.uint64)
+    parts = passages.Gathered(x, size, np.arange(50) // 5, np.arange(50), np.zeros(50, np.int64), width, 0.8)
+    for r in range(50):
+        plain, shown = passages.Piece(x[parts.first[r] : parts.first[r] + size[r]], width), parts.shown(r)
+        assert shown.size.tolist() == plain.size.tolist() and shown.single == plain.single
+
+
 def test_compact_windows_partition_all_passages():
     rng = np.random.default_rng(4)
     for n in (5, 46, 47, 200):
