@@ -661,9 +661,10 @@ class Gathered:
         def near(piece: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             """Whether passages i of the pieces and j of their leaders share enough that agrees."""
             back = j - way[piece]
-            low, high = np.maximum(i, back), np.minimum(i, back) + w
+            high = np.maximum(np.minimum(i, back) + w, 0)
+            low = np.minimum(np.maximum(i, back), high)  # back may lie beyond the piece, on either side
             at = self.first[piece]
-            share = np.where(high > low, total[at + np.maximum(high, low)] - total[at + low], 0)
+            share = total[at + high] - total[at + low]
             apart = (self.ids[piece] != self.ids[lead[piece]]) | (np.abs(self.s[piece] + i - self.s[lead[piece]] - j) >= w)
             return (share >= self.enough) & apart & self.plain[self.group[piece]]
 

@@ -362,6 +362,19 @@ def test_kinds_of_gathered_passages():
         assert shown.size.tolist() == plain.size.tolist() and shown.single == plain.single
 
 
+def test_a_leader_that_reaches_beyond_the_last_piece():
+    rng, width = np.random.default_rng(8), 46
+    lead, more = (rng.integers(0, 1 << 60, n, np.uint64) for n in (91, 30))
+    data = [lead, np.concatenate([lead[45:], more]), np.concatenate([more, lead[:16]])]
+    zero = pa.array([0] * 3)
+    batch = pa.RecordBatch.from_arrays([zero, zero, zero, zero, pa.array([4, 5, 6]), zero, pa.array([8, 10, 12]), pa.array([x.tobytes() for x in data])], ["key", "low", "high", "own", "id", "s", "known", "x"])
+    got = {r["id"]: r for b in passages._verify(width, 50, 0.8)(iter([batch])) for r in b.to_pylist()}
+    sets = [[set(x[i : i + width].tolist()) for i in range(len(x) - width + 1)] for x in data]
+    near = [[i for i, a in enumerate(own) if any(len(a & b) >= 0.8 * len(a | b) for other in sets if other is not own for b in other)] for own in sets]
+    assert near[0] and near[1] and not near[2] and got.keys() == {4, 5}
+    assert all(got[k + 4]["starts"] == [near[k][0]] and got[k + 4]["ends"] == [near[k][-1] + 50] and got[k + 4]["root"] == 4 for k in (0, 1))
+
+
 def test_compact_windows_partition_all_passages():
     rng = np.random.default_rng(4)
     for n in (5, 46, 47, 200):
