@@ -5,7 +5,8 @@ Features are hashed letter trigrams of the whole text, in lower case, with every
 space; a text is the mean of its trigrams. Families come from a table of language codes; a code that
 it lacks is a family of its own. A family is predicted by one-versus-one machines as well. The models
 are fitted on the driver from a bounded sample: `per_lang` labelled rows a language, each a vector of the 4,096 shares
-of its whole text, counted on the executors. Predictions read whole texts.
+of its whole text, counted on the executors. Only shares that are not zero are sent and kept; a machine holds the one dense
+table of its own rows, 16 KB each. Predictions read whole texts.
 
 Defined results: a text that is null or has no letter is `und` with score 0. Without labelled rows
 every text is `und`. Repeated rows get the same answer each; a null doc_id is not held out and is never
@@ -75,14 +76,32 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-class Machine:
-    """A linear SVM (squared hinge) between two classes, and a slope that turns margins to odds."""
+def packed(n: np.ndarray) -> bytes:
+    """The shares of counts by bucket: the buckets that occur, as 2-byte integers, then their shares, as 4-byte floats."""
+    at = np.flatnonzero(n)
+    return at.astype("<u2").tobytes() + (n[at] / max(1, n.sum())).astype("<f4").tobytes()
+
+
+def dense(x: list[bytes]) -> np.ndarray:
+    """A row for each packed vector: its shares by bucket, and a one."""
+    out = np.zeros((len(x), BUCKETS + 1), np.float32)
+    out[:, -1] = 1
+    for row, data in zip(out, x):
+        n = len(data) // 6
+        row[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<f4", offset=2 * n)
+    return out
+
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 150, reg: float = 1e-4):
-        n, self.mean = len(y), x.mean(0)
-        z, cost = x - self.mean, np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-        scale = float(np.sqrt((z * z).sum(1).mean())) or 1.0
-        z = np.hstack([z / scale, np.ones((n, 1), np.float32)])
+class Machine:
+    """A linear SVM (squared hinge) between two classes, and a slope that turns margins to odds. z: the rows as of
+    dense(), which are centred and scaled in place."""
+
+    def __init__(self, z: np.ndarray, y: np.ndarray, rounds: int = 150, reg: float = 1e-4):
+        x, cost = z[:, :-1], np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+        self.mean = x.mean(0)
+        x -= self.mean
+        scale = float(np.sqrt(np.concatenate([(x[k : k + 64] ** 2).sum(1) for k in range(0, len(x), 64)]).mean())) or 1.0
+        x /= scale
         w = v = np.zeros(z.shape[1], np.float32)
         y, top = y.astype(np.float32), np.ones(z.shape[1], np.float32)
         for _ in range(20):  # the largest curvature
@@ -105,15 +124,15 @@ class Machine:
 class Model:
     """The fitted machines: between families, and between the languages of each."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: list[bytes], langs: list[str]):
         named = np.array(langs, dtype=object)
         family = np.array([FAMILY_OF.get(c, c) for c in langs], dtype=object)
         self.families = {f: sorted(set(named[family == f])) for f in sorted(set(family))}
         self.pairs, weights, bias = {}, [np.zeros(BUCKETS)], [0.0]
         for of, names in [(family, list(self.families)), *((named, v) for v in self.families.values())]:
             for a, b in itertools.combinations(names, 2):
-                rows = (of == a) | (of == b)
-                m = Machine(x[rows], np.where(of[rows] == a, 1.0, -1.0))
+                rows = np.flatnonzero((of == a) | (of == b))
+                m = Machine(dense([x[k] for k in rows]), np.where(of[rows] == a, 1.0, -1.0))
                 m.w[0] = 0
                 self.pairs[a, b] = len(weights)
                 weights.append(m.w * m.slope)
@@ -149,7 +168,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shares(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, t, x): the shares of a whole text's trigrams by bucket, as 4-byte floats; t, a hash of the text."""
+    """(doc_id, lang, t, x): the shares of a whole text's trigrams by bucket, packed; t, a hash of the text."""
 
     def run(batches):
         for b in batches:
@@ -161,7 +180,7 @@ def shares(docs: DataFrame) -> DataFrame:
                 for x, y in zip(cut[:-1], cut[1:]):
                     n = np.bincount(grams[x:y], minlength=BUCKETS)
                     n[0] = 0
-                    out.append((n / max(1, n.sum())).astype("<f4").tobytes())
+                    out.append(packed(n))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["doc_id", "lang", "t", "x"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, lang string, t long, x binary")
@@ -169,7 +188,7 @@ def shares(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, per_lang: int = 400) -> Model | None:
     """Fitted on at most per_lang doc_ids of each language, those with the smallest hashes; none of them held out. They
-    are chosen from ids and languages alone, then only the vectors of their texts (16 KB each) come to the driver."""
+    are chosen from ids and languages alone, then only the vectors of their texts come to the driver, 6 bytes a bucket that occurs."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     langs = sorted(r[0] for r in known.select("lang").distinct().collect())
     chosen = None
@@ -181,7 +200,7 @@ def fit(docs: DataFrame, per_lang: int = 400) -> Model | None:
         return None
     rows = shares(docs.where(F.col("doc_id").cast("long").isin(ids)).where("lang is not null")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, r.t))
-    return Model(np.stack([np.frombuffer(r.x, "<f4") for r in rows]), [r.lang for r in rows])
+    return Model([r.x for r in rows], [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

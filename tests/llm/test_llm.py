@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -668,6 +669,18 @@ def test_language_id_of_odd_rows(spark):
     assert langid.identify(docs_of(spark, []), model).collect() == []
 
 
+def test_language_fit_holds_one_table_of_its_rows(spark):
+    rng = random.Random(14)
+    train = docs_of(spark, [(k, " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(40))) for k in range(1200)]).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("fr"))
+    own = langid.shares(train.where("doc_id < 20")).collect()
+    assert len(own) == 20 and all(len(r.x) <= 6 * 280 and abs(langid.dense([r.x])[0, :-1].sum() - 1) < 1e-5 for r in own)
+    tracemalloc.start()
+    assert langid.fit(train, per_lang=300) is not None
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 600 * 4 * langid.BUCKETS
+
+
 def test_license_scan(spark):
     mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0"]
     rows = [*ODD, (20, f"prose here\n{mit[0]}\nmore"), (21, gpl[1].replace(" ", "\n", 3)), (22, f"a\n\n{mit[1][:300]}\n{mit[1][300:]}\n\nb"), (23, "Released under the Foo License"), (24, f"{mit[0]}\n{gpl[0]}")]
