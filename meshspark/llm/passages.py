@@ -491,11 +491,13 @@ def _held(code: np.ndarray, starts: np.ndarray, width: int, kinds: int) -> np.nd
     return out
 
 
-def similar(p: Piece, q: Piece, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def similar(p: Piece, q: Piece, width: int, threshold: float, both: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(starts in p, starts in q) of passages that are as similar as the threshold. Passages of one text that
-    overlap are not compared."""
+    overlap are not compared. both: how many kinds of shingles each two passages share, where that is known."""
     i, j = p.starts, q.starts
-    if p.single and q.single:  # places that agree are shared shingles
+    if both is not None:
+        pass
+    elif p.single and q.single:  # places that agree are shared shingles
         box = np.zeros((len(p.x) + 1, len(q.x) + 1), np.int16)
         np.cumsum(np.cumsum(p.x[:, None] == q.x[None, :], 0, dtype=np.int16), 1, out=box[1:, 1:])
         rows = box[width:] - box[: len(i)]
@@ -562,7 +564,8 @@ def compare(group: list[Piece], width: int, threshold: float, side: np.ndarray |
         rest = rest[open_[k].any() | open_[rest].any(1) | (label[rest] != label[k])]
         if not len(rest):
             continue
-        shared = inside[np.unique(cells[k])].sum(0, dtype=np.int16)[rest]
+        own, table = np.unique(cells[k]), None
+        shared = inside[own].sum(0, dtype=np.int16)[rest]
         rest = rest[shared >= np.maximum(need[k].min(), need[rest].min(1))]
         if not len(rest):
             continue
@@ -573,7 +576,15 @@ def compare(group: list[Piece], width: int, threshold: float, side: np.ndarray |
             m = int(rest[at])
             if label[k] == label[m] and not (mine[at] & open_[k]).any() and not (theirs[at] & open_[m]).any():
                 continue
-            a, b = similar(group[k], group[m], width, threshold)
+            both = None
+            if not (group[k].single and group[m].single):  # by the kinds of piece k; what no other piece has is left out
+                if table is None:
+                    place = np.full(len(inside), len(own))
+                    place[own] = np.arange(len(own))
+                    place[-1] = len(own)
+                    table = _held(place[cells[k]], group[k].starts, width, len(own) + 1)[:, :-1]
+                both = table @ _held(place[cells[m]], group[m].starts, width, len(own) + 1)[:, :-1].T
+            a, b = similar(group[k], group[m], width, threshold, both)
             if len(a):
                 hit[k, a] = True
                 hit[m, b] = True
@@ -689,7 +700,6 @@ class Gathered:
 def _verify(width: int, min_words: int, threshold: float):
     """(id, starts, ends, root) of pieces with near-duplicate passages. Pieces of which all words are in spans found by
     earlier bands are only compared with those of another class, and with passages that have no near-duplicate yet."""
-    types = {"id": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "root": pa.int64()}
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
@@ -723,14 +733,9 @@ def _verify(width: int, min_words: int, threshold: float):
         row = parts.of[hit & done[group[parts.of]]]
         start = (s[parts.of] + parts.start - parts.first[parts.of])[hit & done[group[parts.of]]]
         linked = np.unique(row)
-        root = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(root, group[linked], ids[linked])
-        wide = int(s.max()) + int(size.max()) + min_words + 1
-        if len(row):
-            a, z = joined(row * wide + start, row * wide + start + min_words)
-            who, (starts, ends) = _lists(a // wide, a % wide, a % wide + z - a)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), starts, ends, pa.array(root[group[who]])], list(types))
-        out, edge = {k: [] for k in types}, np.concatenate([[0], np.cumsum(size - width + 1)])
+        least_ = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least_, group[linked], ids[linked])
+        found, root, edge = [(row, start)], least_[group], np.concatenate([[0], np.cumsum(size - width + 1)])
         for rows in np.split(rest, np.flatnonzero(np.diff(group[rest])) + 1):
             if len(rows) < 2:
                 continue
@@ -741,15 +746,17 @@ def _verify(width: int, min_words: int, threshold: float):
                 linked = np.unique(label[[hit[edge[r] : edge[r + 1]].any() for r in rows]])
                 label[np.isin(label, linked)] = linked.min(initial=len(rows))
             starts, label = compare([parts.shown(r) for r in rows], width, threshold, side, known, label)
-            root = {}
-            for r, k in zip(rows, label.tolist()):
-                root[k] = min(int(ids[r]), root.get(k, int(ids[r])))
-            for r, hits, k in zip(rows, starts, label.tolist()):
-                if len(hits):
-                    a, z = joined(s[r] + hits, s[r] + hits + min_words)
-                    for name, v in zip(out, (int(ids[r]), a.tolist(), z.tolist(), root[k])):
-                        out[name].append(v)
-        yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
+            low_ = np.full(int(label.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low_, label, ids[rows])
+            root[rows] = low_[label]
+            own_ = np.repeat(rows, [len(x) for x in starts])
+            found.append((own_, s[own_] + np.concatenate(starts)))
+        row, start = (np.concatenate(x) for x in zip(*found))
+        if len(row):
+            wide = int(s.max()) + int(size.max()) + min_words + 1
+            a, z = joined(row * wide + start, row * wide + start + min_words)
+            who, (starts, ends) = _lists(a // wide, a % wide, a % wide + z - a)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), starts, ends, pa.array(root[who])], ["id", "starts", "ends", "root"])
 
     return run
 

@@ -353,6 +353,15 @@ def test_two_pieces_of_one_class_are_not_compared_again(monkeypatch, known, call
     assert len(calls) == calls_
 
 
+def test_a_piece_with_recurring_shingles_is_spread_once(monkeypatch):
+    x = np.random.default_rng(5).integers(0, 1 << 60, 46, np.uint64)
+    x[30:35] = x[10:15]
+    group, calls, held = [passages.Piece(np.roll(x, k), 46) for k in range(0, 36, 6)], [], passages._held
+    monkeypatch.setattr(passages, "_held", lambda *a: calls.append(1) or held(*a))
+    starts, label = passages.compare(group, 46, 0.8)
+    assert [s.tolist() for s in starts] == [[0]] * 6 and set(label.tolist()) == {0} and len(calls) == 6
+
+
 def test_kinds_of_gathered_passages():
     rng, width = np.random.default_rng(4), 46
     size = rng.integers(width, 92, 50)
