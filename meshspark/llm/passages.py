@@ -786,8 +786,12 @@ def _known(work: Work, ids: DataFrame, found: list[tuple[DataFrame, DataFrame]])
 
     def tidy(batches):
         for b in batches:
-            got = [joined(*(np.concatenate([np.array(x, np.int64) for x in v.as_py()]) for v in (s, e))) for s, e in zip(b.column(1), b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k].tolist() for g in got], pa.list_(pa.int64())) for k in (0, 1))], ["id", "starts", "ends"])
+            own, (low, high) = b.column(1).flatten(), (b.column(k).flatten().flatten().to_numpy() for k in (1, 2))
+            row = np.repeat(np.repeat(np.arange(b.num_rows), b.column(1).value_lengths()), own.value_lengths())
+            wide = int(high.max(initial=0)) + 2
+            a, z = joined(row * wide + low, row * wide + high)
+            who, (starts, ends) = _lists(a // wide, a % wide, a % wide + z - a)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who)), starts, ends], ["id", "starts", "ends"])
 
     merged = spans.groupBy("id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")).mapInArrow(tidy, "id long, starts array<long>, ends array<long>")
     root = connected_components(work, links.distinct()).select(F.col("node").alias("id"), "root")
