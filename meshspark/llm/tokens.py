@@ -26,6 +26,8 @@ import os
 import re
 import struct
 import zlib
+from copy import copy
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Work, table
+from .common import Work, flat, table
 
 END, NULL_ID = 0, -(1 << 63)
 LEAST = 7  # a rule has 12 bytes, and each use of it saves a symbol of 2
@@ -43,9 +45,10 @@ HEAD = struct.Struct("<4sIqqIIIII")
 # classes agree with it; any other text goes to the library whole. So do texts that may name special tokens.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _KNOWN = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)])  # of U+00C0 to U+027F in UTF-8
-# A blank with white space on both sides: there a text can't be cut at its blanks.
 _MARKS = ".,;:!?|%$&*#"
-_BLANKS = re.compile(rb"[\t\n\r ] [\t\n\r ]")
+_UNKNOWN = np.isin(np.arange(256), list(_KNOWN), invert=True)
+# A blank with such white space on both sides: there a text can't be cut at its blanks.
+_SPACE = np.isin(np.arange(256), list(b"\t\n\r "))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -56,25 +59,30 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """The tokenizers library behind a memory of what it has seen: pieces as the pre-tokenizer cuts them,
-    and above these, words between single blanks, which are whole pieces with the blank before them. Each distinct word of a
-    batch is looked up once, and new ones go to the library together. Tokenizers other than byte-level BPE encode whole texts without any memory."""
+    """The tokenizers library behind a memory of what it has seen: pieces as the pre-tokenizer cuts them, and above these,
+    words between single blanks, which are whole pieces with the blank before them. Each distinct word of a batch is looked up
+    once, and new pieces go to the library together, as one text that it cuts at a mark; its own memory is off there, as none of
+    them comes twice. Tokenizers other than byte-level BPE encode whole texts without any memory."""
 
     _held: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str, most_pieces: int = 400_000, most_words: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok, self.pieces, self.words, self.older = Tokenizer.from_file(path), {}, {}, {}
-        self.most = most_pieces, most_words
+        self.tok, self.pieces, self.most = Tokenizer.from_file(path), {}, most_pieces
         parts = json.loads(self.tok.to_str())
         pre = parts["pre_tokenizer"] or {}
         byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         named = all("<|" in t["content"] for t in parts["added_tokens"])  # texts with such a mark go whole
         self.bare = parts["normalizer"] is None and byte_level and parts["model"]["type"] == "BPE" and named and not parts["truncation"] and not parts["padding"]
-        self.model, self.letters = self.tok.model, _byte_letters()
-        self.bpe, self.blank = Tokenizer(self.model), np.zeros(self.tok.get_vocab_size(), bool)
+        self.model, self.letters, self.seen = self.tok.model, _byte_letters(), Seen(most_words)
+        own = Tokenizer.from_file(path).model
+        if hasattr(own, "_resize_cache"):
+            own._resize_cache(0)
+        self.bpe, self.blank = Tokenizer(own), np.zeros(self.tok.get_vocab_size(), bool)
+        self.bpe.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(self.letters[0])
+        self.wide = np.array([ord(self.letters[k]) for k in range(256)], "<u2")
         self.blank[[k for t, k in self.tok.get_vocab().items() if t.startswith(self.letters[32])]] = True
 
     @classmethod
@@ -86,7 +94,7 @@ class Encoder:
     def _piece(self, p: str) -> bytes:
         got = self.pieces.get(p)
         if got is None:
-            if len(self.pieces) > self.most[0]:
+            if len(self.pieces) > self.most:
                 self.pieces.clear()
             ids = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]
             got = self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
@@ -96,42 +104,20 @@ class Encoder:
         """Ids of any text, by its pieces; new ones go to the library's model."""
         return b"".join(map(self._piece, _PIECE.findall(text)))
 
-    def _library(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, which have a blank at their start or none, in one call. They are cut where a token begins with
-        the blank; before pieces that have none a blank is put that is not kept."""
-        if not pieces:
-            return []
-        bare = [p[0] != " " for p in pieces]
-        spelled = "\0".join([" \0" + p if x else p for p, x in zip(pieces, bare)]).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
-        ids = np.array(self.bpe.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+    def _library(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, number for each piece) of pieces, in one call. A key is a piece without the blank at its start, or NUL
+        and a piece that has none. Pieces are cut where a token begins with the blank; before pieces that have none a
+        blank is put that is not kept."""
+        if not keys:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        spelled = self.wide[np.frombuffer((" " + "\0 ".join(keys)).encode(), np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self.bpe.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
         cut = np.append(np.flatnonzero(self.blank[ids]), len(ids))
-        if len(cut) != len(pieces) + 1:
-            return list(map(self._piece, pieces))
-        data, low = ids.tobytes(), cut[:-1] + bare
-        return [data[i:j] for i, j in zip((4 * low).tolist(), (4 * cut[1:]).tolist())]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters that differ, each with a blank before it. Of the words seen, the last `most_words` and
-        those before them are held."""
-        own = list(map(self.words.get, words))
-        other = [w for w, x in zip(words, own) if x is None]
-        got = list(map(self.older.get, other))
-        unseen = iter(self._library([" " + w for w, x in zip(other, got) if x is None]))
-        got = [next(unseen) if x is None else x for x in got]
-        if len(self.words) + len(other) > self.most[1]:
-            self.words, self.older = {}, self.words
-        self.words.update(zip(other, got))
-        rest = iter(got)
-        return [next(rest) if x is None else x for x in own]
-
-    def _cuts(self, words: list[str]) -> list[bytes]:
-        """Ids of any words, each with a blank before it, by their pieces."""
-        cut = [_PIECE.findall(" " + w) for w in words]
-        fresh = [p for p in dict.fromkeys([p for own in cut for p in own]) if p not in self.pieces]
-        if len(self.pieces) + len(fresh) <= self.most[0]:
-            self.pieces.update(zip(fresh, self._library(fresh)))
-        piece = self._piece
-        return [b"".join(map(piece, own)) for own in cut]
+        if len(cut) != len(keys) + 1:
+            own = [self._piece(k[1:] if k[:1] == "\0" else " " + k) for k in keys]
+            return np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
+        bare = np.fromiter([k[:1] == "\0" for k in keys], bool, len(keys))
+        return (np.delete(ids, cut[:-1][bare]) if bare.any() else ids), np.diff(cut) - bare
 
     def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, number for each word) of words that differ, each with a blank before it. Letters, and letters before
@@ -145,33 +131,47 @@ class Encoder:
         def texts(x: pa.Array) -> list[str]:
             return x.to_numpy(zero_copy_only=False).tolist()
 
-        marks, mark = np.unique([w[-n:] for w, n in zip(texts(words.filter(pa.array(tail > 0))), tail[tail > 0].tolist())], return_inverse=True)
-        own = self._words(texts(letters.dictionary))
-        part = np.full((len(words), 2), len(own) + len(marks), np.int64)  # letters or any word, and marks or none
-        part[alone, 0] = letters.indices.to_numpy()
-        part[tail > 0, 1] = len(own) + mark
-        own += [*map(self._piece, marks.tolist()), b""]
-        part[~alone, 0] = len(own) + np.arange(int((~alone).sum()))
-        own += self._cuts(texts(words.filter(pc.invert(plain))))
-        ids, n = _laid(own, part.ravel())
-        return ids, n.reshape(-1, 2).sum(1)
-
-    def _whole(self, raw: bytes) -> bytes | None:
-        """Ids of a text that can't be cut at its blanks, else None."""
-        if not self.bare or b"<|" in raw or raw.translate(None, _KNOWN):
-            return np.array(self.tok.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if (b"  " in raw or b"\n " in raw or b"\t " in raw or b"\r " in raw) and _BLANKS.search(raw):
-            return self._cut(raw.decode())
-        return None
+        marked, other = tail > 0, texts(words.filter(pc.invert(plain)))
+        marks = ["\0" + w[-n:] for w, n in zip(texts(words.filter(pa.array(marked))), tail[marked].tolist())]
+        # The other words are cut together, with a word of a letter after each, so that no white space meets.
+        cut = _PIECE.findall("".join([f" {w} a" for w in other]))
+        most = np.cumsum(np.fromiter(map(len, other), np.int64, len(other)) + 3)
+        last = np.searchsorted(np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut))), most)  # the pieces of that letter
+        self.seen.turn()
+        slot = self.seen.slots(texts(letters.dictionary), self._library)
+        keys = [*marks, *[p[1:] if p[0] == " " else "\0" + p for p in cut]]
+        number = dict(zip(once := list(dict.fromkeys(keys)), range(len(keys))))
+        more = self.seen.slots(once, self._library)[np.fromiter(map(number.get, keys), np.int64, len(keys))]
+        n = 1 + marked
+        n[~alone] = np.diff(last, prepend=-1) - 1
+        ends = np.cumsum(n)
+        part, rest = np.empty(int(ends[-1]) if len(ends) else 0, np.int64), np.repeat(~alone, n)
+        part[(ends - n)[alone]] = slot[letters.indices.to_numpy()]
+        part[ends[marked] - 1] = more[: len(marks)]
+        part[rest] = np.delete(more[len(marks) :], last)
+        ids, size = self.seen.ids(part)
+        return ids, np.diff(np.append(0, np.cumsum(size))[ends], prepend=0)
+
+    def _apart(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which texts go to the library whole, and which can't be cut at their blanks; a neighbour's end or start may put
+        a text there that need not go."""
+        whole, cut = np.full((2, len(texts)), not self.bare)
+        body, at = flat(texts)
+        if self.bare and len(body):
+            blank, mark = np.flatnonzero(body[1:-1] == 32) + 1, np.flatnonzero(body[:-1] == ord("<"))
+            blank = blank[_SPACE[body[blank - 1]]]
+            odd = [low + np.flatnonzero(_UNKNOWN[body[low : low + (1 << 16)]]) for low in range(0, len(body), 1 << 16)]
+            whole[np.searchsorted(at, np.concatenate([mark[body[mark + 1] == ord("|")], *odd]), "right") - 1] = True
+            cut[np.searchsorted(at, blank[_SPACE[body[blank + 1]]], "right") - 1] = True
+        return whole, cut
 
     def encode(self, texts: list[str], closing: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each ends), with the ids of `closing` after each text."""
-        first, rest = [], []  # what stands before the first blank, and the text if it is cut at its blanks
-        for t in texts:
-            whole = self._whole(t.encode())
-            first.append(self._cut(t.partition(" ")[0]) if whole is None else whole)
-            rest.append(t if whole is None else "")
-        words = pc.split_pattern(pa.array(rest, pa.large_string()), " ")
+        column = pa.array(texts, pa.large_string())
+        whole, cut = self._apart(column)
+        # what stands before the first blank, or all of a text that is not cut at its blanks
+        first = [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else self._cut(t if c else t.partition(" ")[0]) for t, w, c in zip(texts, whole.tolist(), cut.tolist())]
+        words = pc.split_pattern(pc.if_else(pa.array(whole | cut), "", column), " ")
         coded = words.values.dictionary_encode()
         begin = words.offsets.to_numpy()
         code = coded.indices.to_numpy().astype(np.int64)
@@ -183,29 +183,76 @@ class Encoder:
         return ids, ends[begin[1:] + np.arange(len(texts))] if len(texts) else ends
 
 
+class Seen:
+    """Rows of ids by their keys, in one table: those of at least the last `most` keys, and of those before them."""
+
+    def __init__(self, most: int):
+        self.most, self.older = most, None
+        self.slot, self.flat, self.start, self.size = {}, np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def slots(self, keys: list[str], find) -> np.ndarray:
+        """Places in the table of keys that differ. New ones are found together."""
+        out = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(out < 0)
+        missing = [keys[k] for k in new.tolist()]
+        if self.older is not None:
+            at = np.fromiter(map(self.older.slot.get, missing, repeat(-1)), np.int64, len(missing))
+            out[new[at >= 0]] = self._add([keys[k] for k in new[at >= 0].tolist()], *self.older.ids(at[at >= 0]))
+            new = new[at < 0]
+            missing = [keys[k] for k in new.tolist()]
+        out[new] = self._add(missing, *find(missing))
+        return out
+
+    def turn(self) -> None:
+        """Drop the older keys if there are enough newer ones; places change."""
+        if len(self.slot) > self.most:
+            older = copy(self)
+            older.older = None
+            self.__init__(self.most)
+            self.older = older
+
+    def _add(self, keys: list[str], ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        places = np.arange(len(self.size), len(self.size) + len(keys))
+        self.slot.update(zip(keys, places.tolist()))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, size])
+        return places
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, number for each place)"""
+        return _taken(self.flat, self.start[slots], self.size[slots])
+
+
 def _laid(own: list[bytes], code: np.ndarray, table: np.ndarray | None = None, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids in a row, number for each code) of codes, which count the entries of a table and then those of own."""
     more = np.frombuffer(b"".join(own), "<u4")
     n = np.fromiter(map(len, own), np.int64, len(own)) // 4
     table, size = (more, n) if table is None else (np.concatenate([table, more]), np.concatenate([size, n]))
-    start, n = np.cumsum(size) - size, size[code]
+    return _taken(table, (np.cumsum(size) - size)[code], size[code])
+
+
+def _taken(table: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries of a table in a row, n) of runs of n entries from each start."""
     ends = np.cumsum(n)
-    return table[np.repeat(start[code] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
+    at = np.repeat(start - (ends - n), n)
+    at += np.arange(len(at))
+    return table[at], n
 
 
-def frequent_pairs(pairs: np.ndarray, bucket: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def frequent_pairs(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pair, bucket) of those counted `least` times or more, the most frequent first, and the most frequent alone of
     those in one bucket of hashes; others have their turn in a later round. Then, for each bucket, whether it holds such a
-    pair. Buckets that are too rare leave before the exact count."""
-    full = np.bincount(bucket, minlength=BUCKETS) >= least
-    pair = np.sort(pairs[full[bucket]])
-    begin = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-    n = np.diff(begin, append=len(pair))
-    pair, n = pair[begin[n >= least]], n[n >= least]
-    pair = pair[np.lexsort((pair, -n))]
-    at = bucket_of(pair)
-    first = np.sort(np.unique(at, return_index=True)[1])
-    holds = np.zeros(BUCKETS, bool)
+    pair. Of the sorted pairs, those are frequent that are the same `least` - 1 places on."""
+    pairs = np.sort(pairs)
+    begin = np.flatnonzero(pairs[least - 1 :] == pairs[: max(0, len(pairs) - least + 1)])
+    begin = begin[(begin == 0) | (pairs[begin - 1] != pairs[begin])]
+    pair = pairs[begin]
+    n = np.searchsorted(pairs, pair, "right") - begin
+    pair = pair[np.argsort(-n, kind="stable")]
+    at, place = bucket_of(pair), np.arange(len(pair))
+    foremost, holds = np.empty(BUCKETS, np.int64), np.zeros(BUCKETS, bool)
+    foremost[at[::-1]] = place[::-1]
+    first = foremost[at] == place
     holds[at] = True
     return pair[first], at[first], holds
 
@@ -236,7 +283,7 @@ def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEAS
         narrow = terminals + len(rules) <= 1 << 16
         pairs = (left << np.uint32(16)) | right if narrow else (left.astype(np.uint64) << np.uint64(32)) | right
         bucket = bucket_of(pairs)
-        pair, in_, holds = frequent_pairs(pairs, bucket, least)
+        pair, in_, holds = frequent_pairs(pairs, least)
         none = len(pair)
         if not none:
             break
@@ -267,12 +314,17 @@ def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEAS
         after[place] = after[gone]
         before[after[place]] = place
         rules = np.concatenate([rules, new])
-        live[:] = False
-        live[at] = True
-        live[place] = True
-        live[before[place[before[place] >= 0]]] = True
-        live &= there & ~last
-        at = np.flatnonzero(live)
+        prior = before[place]
+        look = np.concatenate([at, place, prior[prior >= 0]])
+        if len(look) > len(live) >> 5:
+            live[:] = False
+            live[look] = True
+            live &= there
+            live &= ~last
+            at = np.flatnonzero(live)
+        else:
+            look = np.unique(look)
+            at = look[there[look] & ~last[look]]
     return sym[there], np.flatnonzero(last[there]) + 1, rules
 
 
@@ -364,6 +416,22 @@ def shards(data: bytes):
         at += size + 1
 
 
+def gathered(batches, most: int = 4 << 20):
+    """(doc_ids, texts) of rows in their order, about `most` bytes together: the larger, the fewer words recur in the next."""
+    names, texts, size = [], [], 0
+    for b in batches:
+        for low in range(0, b.num_rows, 500):
+            own = b.slice(low, 500)
+            names += own.column(0).to_pylist()
+            texts += [t or "" for t in own.column(1).to_pylist()]
+            size += own.nbytes
+            if size >= most:
+                yield names, texts
+                names, texts, size = [], [], 0
+    if names:
+        yield names, texts
+
+
 def write(docs: DataFrame, at: str, tokenizer: str, shard_tokens: int = 1 << 19, end: int = END) -> None:
     """Write documents (doc_id, text) as shard files, in ascending order of doc_id."""
     closing = np.array([end], "<u4").tobytes()
@@ -380,20 +448,18 @@ def write(docs: DataFrame, at: str, tokenizer: str, shard_tokens: int = 1 << 19,
             data = pack(part, place, [d for own in doc_ids for d in own], np.concatenate(ids), np.concatenate([e + x for e, x in zip(ends, before)]), terminals)
             return pa.RecordBatch.from_pydict({"shard": pa.array([data], pa.binary())})
 
-        for b in batches:
-            for low in range(0, b.num_rows, 2000):
-                own = b.slice(low, 2000)
-                ids, ends = coder.encode([t or "" for t in own.column(1).to_pylist()], closing)
-                names, first = own.column(0).to_pylist(), 0
-                while first < len(ends):  # documents up to the one that fills the shard
-                    base = int(ends[first - 1]) if first else 0
-                    stop = min(len(ends), int(np.searchsorted(ends, base + shard_tokens - size, "left")) + 1)
-                    held.append((names[first:stop], ids[base : ends[stop - 1]], ends[first:stop] - base))
-                    size += int(ends[stop - 1]) - base
-                    first = stop
-                    if size >= shard_tokens:
-                        yield shard()
-                        held, size, place = [], 0, place + 1
+        for names, texts in gathered(batches):
+            ids, ends = coder.encode(texts, closing)
+            first = 0
+            while first < len(ends):  # documents up to the one that fills the shard
+                base = int(ends[first - 1]) if first else 0
+                stop = min(len(ends), int(np.searchsorted(ends, base + shard_tokens - size, "left")) + 1)
+                held.append((names[first:stop], ids[base : ends[stop - 1]], ends[first:stop] - base))
+                size += int(ends[stop - 1]) - base
+                first = stop
+                if size >= shard_tokens:
+                    yield shard()
+                    held, size, place = [], 0, place + 1
         if held:
             yield shard()
 

@@ -489,6 +489,41 @@ def test_new_words_go_to_the_library_together():
     assert Counted.calls <= 3 * len(texts)  # what stands before the first blanks
 
 
+def test_a_piece_goes_to_the_library_once():
+    class Recorded:
+        def __init__(self, bpe):
+            self.bpe, self.sent = bpe, []
+
+        def encode_batch_fast(self, given, **more):
+            for x in given:
+                self.sent += x.split(coder.letters[0]) if isinstance(x, str) else x
+            return self.bpe.encode_batch_fast(given, **more)
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdeé", k=rng.randrange(3, 9))) for _ in range(200)]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ",", ".\n" + rng.choice(words), "'s"]) for _ in range(300)) for _ in range(10)]
+    coder = tokens.Encoder(tokens.default_tokenizer())
+    coder.bpe = Recorded(coder.bpe)
+    ids, ends = coder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == library_ids(texts)
+    sent = [p for p in coder.bpe.sent if p != coder.letters[32]]  # the blank stands before pieces that have none
+    assert len(sent) > 200 and len(sent) == len(set(sent))
+
+
+def test_rows_of_a_table_are_found_after_it_turned():
+    seen, found = tokens.Seen(3), []
+
+    def find(keys):
+        found.extend(keys)
+        return np.array([ord(c) for k in keys for c in k], "<u4"), np.array([len(k) for k in keys], np.int64)
+
+    for keys in (["ab", "c", ""], ["ab", "def"], ["c", "g"], ["ab", "hij", "k"], ["c", "lm"], ["ab", "def"]):
+        seen.turn()
+        ids, n = seen.ids(seen.slots(keys, find))
+        assert "".join(map(chr, ids)) == "".join(keys) and n.tolist() == [len(k) for k in keys]
+    assert found == ["ab", "c", "", "def", "g", "hij", "k", "lm", "def"]
+
+
 def test_grammar_rounds_look_at_pairs_that_may_be_frequent_alone(monkeypatch):
     looked, plain = [], tokens.frequent_pairs
     monkeypatch.setattr(tokens, "frequent_pairs", lambda pairs, *more: looked.append(len(pairs)) or plain(pairs, *more))
